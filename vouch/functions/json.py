@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from vouch.functions.text import or_null
+from vouch.functions.text import let, or_null
 
 # How a number, flag, list or object that counts as "no value"
 # reads as text.
@@ -52,10 +52,13 @@ def is_object(value: Column) -> Column:
 
 
 def strict_parse(text: Column) -> Column:
-    """The one JSON value in ``text``, wrapped in a list; NULL if anything follows it.
+    """A list of the one JSON value in ``text``; NULL when it is broken or more follows.
 
-    The parser stops after the first complete value, so text such as
-    ``{"a": 1} x`` would pass.  Inside brackets the rest makes it fail.
+    The parser stops after the first complete value, so text such as ``{"a": 1} x`` would
+    pass.  Inside brackets the rest makes it fail.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), wrapped)
+    return let(
+        F.try_variant_get(wrapped, "$", "array<variant>"),
+        lambda values: F.when(F.size(values) == 1, values),
+    )

@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from vouch.functions.text import tokenize
 from vouch.session import small_rows
@@ -25,9 +25,9 @@ from vouch.session import small_rows
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 6
 
-POSTINGS = T.StructType.fromDDL("term string, doc_id string, tf bigint, dl int")
-TERMS = T.StructType.fromDDL("term string, df bigint")
-STATS = T.StructType.fromDDL("n_docs bigint, avgdl double")
+POSTINGS = "term string, doc_id string, tf bigint, dl int"
+TERMS = "term string, df bigint"
+STATS = "n_docs bigint, avgdl double"
 
 
 @dataclass(frozen=True)

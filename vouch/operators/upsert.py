@@ -15,16 +15,20 @@ def latest(df: DataFrame, key: str, seq: str) -> DataFrame:
     return df.groupBy(key).agg(newest).select(key, *[F.col(f"row.{c}").alias(c) for c in columns])
 
 
-def upsert(existing: DataFrame, updates: DataFrame, key: str, seq: str) -> DataFrame:
-    """``existing`` with whole rows replaced or added from ``updates``.
+def replace_rows(existing: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """``existing`` with whole rows replaced or added from ``fresh``, one row per key.
 
-    Within ``updates`` the highest ``seq`` wins.  Existing rows only meet an anti join:
-    small updates are broadcast and the table is not shuffled at all.
+    Existing rows only meet an anti join: few fresh rows are broadcast and the table is
+    not shuffled at all.
     """
     columns = [c for c in existing.columns if c != "shard"]
-    fresh = latest(updates, key, seq).select(*columns)
     kept = existing.select(*columns).join(fresh.select(key), key, "left_anti")
-    return kept.select(*columns).unionByName(fresh)
+    return kept.select(*columns).unionByName(fresh.select(*columns))
+
+
+def upsert(existing: DataFrame, updates: DataFrame, key: str, seq: str) -> DataFrame:
+    """Upsert of ``updates``, of which the highest ``seq`` per key counts."""
+    return replace_rows(existing, latest(updates, key, seq), key)
 
 
 def upsert_counts(existing: DataFrame, updates: DataFrame, key: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vouch.operators.bm25 import Index
-from vouch.operators.upsert import upsert
+from vouch.operators.upsert import latest, replace_rows
 from vouch.plans.indexing import index_reviews
-from vouch.schemas import PLACES, REVIEWS, conform, now_utc
+from vouch.schemas import KEYS, PLACES, REVIEWS, conform, now_utc
+from vouch.session import materialize
 from vouch.sources.entries import entry_places, entry_reviews
 from vouch.sources.tables import TableStore
 
@@ -55,33 +56,35 @@ def import_stats(entries: DataFrame) -> DataFrame:
     return places.withColumn("reviews_upserted", reviews.scalar())
 
 
+def fresh_rows(
+    entries: DataFrame, scraped_at: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The place and review rows an import brings, one per key, in table form."""
+    return (
+        conform(latest(place_updates(entries, scraped_at), "place_id", "seq"), PLACES),
+        conform(latest(review_updates(entries, scraped_at), "review_id", "seq"), REVIEWS),
+    )
+
+
 def import_entries(
     entries: DataFrame, places: DataFrame, reviews: DataFrame, scraped_at: Column | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tables after the import, and its counts."""
-    new_places = upsert(
-        places, _typed(place_updates(entries, scraped_at), PLACES), "place_id", "seq"
-    )
-    new_reviews = upsert(
-        reviews, _typed(review_updates(entries, scraped_at), REVIEWS), "review_id", "seq"
-    )
-    return conform(new_places, PLACES), conform(new_reviews, REVIEWS), import_stats(entries)
-
-
-def _typed(updates: DataFrame, schema) -> DataFrame:
-    return updates.select(
-        "seq", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+    new_places, new_reviews = fresh_rows(entries, scraped_at)
+    return (
+        replace_rows(conform(places, PLACES), new_places, "place_id"),
+        replace_rows(conform(reviews, REVIEWS), new_reviews, "review_id"),
+        import_stats(entries),
     )
 
 
 def import_into(store: TableStore, entries: DataFrame, scraped_at: Column | None = None) -> DataFrame:
     """Import and commit both tables; returns the counts."""
-    places, reviews, stats = import_entries(
-        entries, store.read("places"), store.read("reviews"), scraped_at
-    )
-    store.commit("places", places)
-    store.commit("reviews", reviews)
-    return stats
+    for name, rows in zip(("places", "reviews"), fresh_rows(entries, scraped_at)):
+        # written first, as the rows are used twice and their number decides the join
+        fresh = materialize(rows, f"fresh-{name}")
+        store.commit(name, replace_rows(store.read(name), fresh, KEYS[name]))
+    return import_stats(entries)
 
 
 def import_and_index(

@@ -14,12 +14,10 @@ REVIEW_LISTS = ("user_reviews_extended", "UserReviewsExtended", "user_reviews",
 
 def entries_from_lines(lines: DataFrame) -> DataFrame:
     """Entries from a ``seq, line`` table; blank, broken and non-object lines are skipped."""
-    stripped = lines.select("seq", strip(F.col("line")).alias("line"))
-    return (
-        stripped.filter(F.col("line").startswith("{"))
-        .select("seq", F.try_variant_get(strict_parse(F.col("line")), "$[0]", "variant").alias("entry"))
-        .filter(F.col("entry").isNotNull())
+    objects = lines.select("seq", strip(F.col("line")).alias("line")).filter(
+        F.col("line").startswith("{")
     )
+    return objects.select("seq", F.explode(strict_parse(F.col("line"))).alias("entry"))
 
 
 def entries_from_documents(documents: DataFrame) -> DataFrame:
@@ -28,10 +26,10 @@ def entries_from_documents(documents: DataFrame) -> DataFrame:
     A file that is one JSON list gives its objects, one that is a JSON object gives
     itself; any other file is read line by line.
     """
-    parsed = documents.select("seq", "body", strict_parse(strip(F.col("body"))).alias("doc"))
-    parsed = parsed.select(
-        "seq", "body", F.try_variant_get("doc", "$[0]", "variant").alias("doc")
-    ).withColumn("kind", F.schema_of_variant("doc"))
+    values = documents.select(
+        "seq", "body", F.explode_outer(strict_parse(strip(F.col("body")))).alias("doc")
+    )
+    parsed = values.withColumn("kind", F.schema_of_variant("doc"))
     parsed = parsed.withColumn(
         "kind",
         F.when(F.col("kind").startswith("ARRAY"), "list")
