@@ -181,10 +181,9 @@ def _(spark, sf):
 @query(
     "j1_hit_reviews",
     with_views(
-        """SELECT qid, rank, doc_id AS review_id, score, text, rating FROM ranked JOIN reviews_v ON doc_id = review_id
-           WHERE rank <= 10 AND rating IS NOT NULL""".replace("doc_id = review_id", "ranked.doc_id = review_id").replace(
-            "doc_id AS review_id", "ranked.doc_id AS review_id"
-        ),
+        """SELECT h.qid, h.rank, h.doc_id AS review_id, h.score, r.text, r.rating
+           FROM ranked h JOIN reviews_v r ON h.doc_id = r.review_id
+           WHERE h.rank <= 10 AND r.rating IS NOT NULL""",
         SCORES,
     ),
 )

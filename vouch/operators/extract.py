@@ -122,7 +122,7 @@ def assemble_reviews(fields: DataFrame, places: DataFrame) -> DataFrame:
             "published_date",
             "reviewer_name",
             "owner_response",
-            F.col("block_pos").alias("pos"),
+            F.struct("page_id", "block_pos").alias("pos"),
         )
     )
 
