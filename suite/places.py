@@ -19,6 +19,7 @@ from suite.views import places_v, reviews_v, table, with_views
 from vouch.operators import exact, ranking
 from vouch.operators.status import listed_places, table_counts
 from vouch.plans.recommend import (
+    details,
     quotes,
     quotes_display,
     ranked_places,
@@ -83,30 +84,31 @@ def bearing(spark: SparkSession, sf: str) -> DataFrame:
     return touched(stored(spark, sf)[0], asked_variants(spark), saved_index(spark, sf))
 
 
-def candidate_places(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bearing(spark, sf)
-    hits = exact.place_hits(exact.variant_hits(rows))
-    return ranking.candidates(hits, ranking.best_score(rows))
-
-
-@query("j4_candidate_places", with_views("SELECT * FROM candidates", POOL))
+@query(
+    "j4_candidate_places",
+    with_views("SELECT qid, place_id, exact_hits, exact_reviews, bm25_top, score FROM pool", POOL),
+)
 def _(spark, sf):
-    return flat_map(candidate_places(spark, sf))
+    return ranking.candidates(bearing(spark, sf))
 
 
 @query("u2_candidate_keys", with_views("SELECT qid, place_id FROM candidates", POOL))
 def _(spark, sf):
-    return candidate_places(spark, sf).select("qid", "place_id")
+    return ranking.candidates(bearing(spark, sf)).select("qid", "place_id")
 
 
 @query("j5_candidate_details", with_views("SELECT * FROM pool", POOL))
 def _(spark, sf):
-    return flat_map(ranking.with_place(candidate_places(spark, sf), places_v(spark, sf)))
+    rows, places = bearing(spark, sf), places_v(spark, sf)
+    pool = ranking.with_rating(ranking.candidates(rows), places).withColumn("rank", F.lit(0))
+    hits = exact.place_hits(exact.variant_hits(rows))
+    return flat_map(ranking.with_place(pool, hits, places)).drop("rank")
 
 
 @query("w4_best_places", with_views("SELECT * FROM best", BEST))
 def _(spark, sf):
-    return flat_map(ranked_places(bearing(spark, sf), places_v(spark, sf)))
+    rows, places = bearing(spark, sf), places_v(spark, sf)
+    return flat_map(details(rows, ranked_places(rows, places), places))
 
 
 @query(
@@ -118,13 +120,14 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return flat_map(ranked_places(bearing(spark, sf), places_v(spark, sf), 5, "score"))
+    rows, places = bearing(spark, sf), places_v(spark, sf)
+    return flat_map(details(rows, ranked_places(rows, places, 5, "score"), places))
 
 
 @query("w3_evidence", with_views("SELECT qid, place_id, review_id, score, n FROM picked", QUOTES))
 def _(spark, sf):
     rows = bearing(spark, sf)
-    return ranking.evidence(rows, ranked_places(rows, places_v(spark, sf)))
+    return ranking.evidence(ranking.of_places(rows, ranked_places(rows, places_v(spark, sf))))
 
 
 @query(
@@ -134,7 +137,8 @@ def _(spark, sf):
 def _(spark, sf):
     # only places with exact hits have quotes without a text score
     rows = bearing(spark, sf)
-    picked = ranking.evidence(rows, ranked_places(rows, places_v(spark, sf)))
+    best = ranked_places(rows, places_v(spark, sf))
+    picked = ranking.evidence(ranking.of_places(rows, best))
     return picked.filter(F.col("score") == 0).select("qid", "place_id", "review_id", "n")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vouch.operators import bm25
 from vouch.operators.queries import query_table, with_variants
-from vouch.operators.ranking import best_places, evidence
+from vouch.operators.ranking import best_places, evidence, of_places
 from vouch.plans.indexing import build_index, index_reviews
 from vouch.plans.recommend import recommend, touched
 from vouch.plans.search import search
@@ -195,7 +195,7 @@ def test_copies_are_quoted_once_and_text_hits_first(spark):
         rows, "qid int, place_id string, place_name string, review_id string, copy_key string, found array<string>, score double"
     )
     chosen = spark.createDataFrame([(0, "p")], "qid int, place_id string")
-    got = [(r.n, r.review_id, r.score) for r in evidence(touched_rows, chosen).orderBy("n").collect()]
+    got = [(r.n, r.review_id, r.score) for r in evidence(of_places(touched_rows, chosen)).orderBy("n").collect()]
     assert got == [(1, "4", 0.9), (2, "2", 0.5), (3, "3", 0.0)]
 
 

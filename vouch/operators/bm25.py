@@ -50,10 +50,18 @@ def canonical(terms: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def count_terms(corpus: DataFrame, stop=None, vocab: DataFrame | None = None) -> DataFrame:
-    """The postings of ``corpus(id, contents)``."""
-    docs = corpus.select(
-        F.col("id").cast("string").alias("doc_id"), tokenize(F.col("contents"), stop).alias("tokens")
-    ).withColumn("dl", F.size("tokens"))
+    """The postings of ``corpus(id, contents)``, all of a document in one partition.
+
+    The documents are spread by id before their words become rows, so that counting the
+    words needs no further shuffle: the text moves once and the far larger postings
+    never do.
+    """
+    docs = (
+        corpus.select(F.col("id").cast("string").alias("doc_id"), "contents")
+        .repartition("doc_id")
+        .select("doc_id", tokenize(F.col("contents"), stop).alias("tokens"))
+        .withColumn("dl", F.size("tokens"))
+    )
     tokens = docs.select(
         "doc_id", "dl", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term")
     )
@@ -84,12 +92,13 @@ def build(corpus: DataFrame, stop=None, vocab: DataFrame | None = None) -> Index
 def save(index: Index, path: str) -> Index:
     """Write the index below ``path``.
 
-    Postings are cut by (term, document), so a term found in very many documents
-    fills several files, and sorted, so that readers skip to the terms they want.
+    Each file holds the postings of its own documents, sorted by term.  A reader skips to
+    the pages of the terms it wants in every file; the documents of a frequent term are
+    spread evenly over all files, and the terms of a document meet in one file, where
+    their scores are added up before any shuffle.
     """
     spark = index.postings.sparkSession
-    ordered = index.postings.repartitionByRange("term", "doc_id")
-    ordered.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    index.postings.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
     written = index_of(spark.read.schema(POSTINGS).parquet(f"{path}/postings"))
     written.terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
     written.stats.write.parquet(f"{path}/stats")

@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vouch.functions.text import TOKEN
 from vouch.operators.bm25 import Index
 from vouch.operators.exact import COPY_PREFIX, TOUCHED, has_variant
-from vouch.session import small_rows
+from vouch.session import materialize, small_rows
 from vouch.sources.tables import keyed_join
 
 _EDGE = r"[\p{L}\p{N}]"
 
+# characters of a word that are looked up; the rest is compared afterwards
+_LOOKED_UP = {"head": 4, "tail": 4, "inside": 6}
+
 
 def _words(variant: Column) -> Column:
     """The words of a phrase with the way each is found: whole, tail, head or inside."""
@@ -42,11 +45,22 @@ def _words(variant: Column) -> Column:
 
 
 def anchors(queries: DataFrame) -> DataFrame:
-    """``variant, how, size, piece``: the word each distinct phrase is looked up by."""
+    """``variant, how, word, piece``: the word each distinct phrase is looked up by.
+
+    ``piece`` is the part of the word that is matched by equality.
+    """
     variants = queries.select(F.explode("variants").alias("variant")).distinct()
-    return variants.withColumn("anchor", F.array_max(_words(F.col("variant")))).select(
-        "variant", "anchor.how", "anchor.size", "anchor.piece"
+    found = variants.withColumn("anchor", F.array_max(_words(F.col("variant")))).select(
+        "variant", "anchor.how", F.col("anchor.piece").alias("word")
+    )
+    how, word = F.col("how"), F.col("word")
+    piece = (
+        F.when(how == "tail", F.right(word, F.lit(_LOOKED_UP["tail"])))
+        .when(how == "head", F.substring(word, 1, _LOOKED_UP["head"]))
+        .when(how == "inside", F.substring(word, 1, _LOOKED_UP["inside"]))
+        .otherwise(word)
     )
+    return found.withColumn("piece", piece)
 
 
 def _part(how: str, piece: Column) -> Column:
@@ -73,20 +87,25 @@ def candidate_documents(index: Index, queries: DataFrame) -> DataFrame:
     if index.stop or index.vocab is not None:
         raise ValueError("phrases need an index of all words as written")
     looked_up = anchors(queries).filter(F.col("piece").isNotNull())
-    # at most a few lengths of words, whatever the number of phrases
-    lengths = looked_up.groupBy("how").agg(F.collect_set("size").alias("sizes")).collect()
-    sizes = {row["how"]: sorted(row["sizes"]) for row in lengths}
+    # a handful of kinds and lengths, whatever the number of phrases
+    lengths = looked_up.groupBy("how").agg(F.collect_set(F.length("piece")).alias("sizes"))
+    sizes = {row["how"]: sorted(row["sizes"]) for row in lengths.collect()}
     vocabulary = index.terms.select("term", F.inline(_pieces(F.col("term"), sizes)))
     few = small_rows(looked_up) is not None
-    wanted = looked_up.select("variant", "how", "piece")
-    tokens = vocabulary.join(F.broadcast(wanted) if few else wanted, ["how", "piece"]).select(
-        "term", "variant"
+    joined = vocabulary.join(F.broadcast(looked_up) if few else looked_up, ["how", "piece"])
+    how, term, word = F.col("how"), F.col("term"), F.col("word")
+    fits = (
+        F.when(how == "head", term.startswith(word))
+        .when(how == "tail", term.endswith(word))
+        .when(how == "inside", F.contains(term, word))
+        .otherwise(F.lit(True))
     )
-    rows = small_rows(tokens.select("term").distinct()) if few else None
-    postings = index.postings.filter(F.col("term") != "")
+    tokens = materialize(joined.filter(fits).select("term", "variant").distinct(), "tokens")
+    rows = small_rows(tokens.select("term").distinct(), 1000)
+    postings = index.postings.filter(F.col("term") != "").select("term", "doc_id")
     if rows is not None:
         postings = postings.filter(F.col("term").isin([row["term"] for row in rows]))
-    return postings.select("term", "doc_id").join(tokens, "term").select("variant", "doc_id").distinct()
+    return postings.join(tokens, "term").select("variant", "doc_id").distinct()
 
 
 def touched_by_index(index: Index, reviews: DataFrame, queries: DataFrame) -> DataFrame:

@@ -33,28 +33,69 @@ def best_score(touched: DataFrame) -> DataFrame:
     )
 
 
-def candidates(exact: DataFrame, scored: DataFrame) -> DataFrame:
-    """Places with exact hits or with a scored review; a missing side counts nothing."""
-    return exact.join(scored, ["qid", "place_id"], "full_outer").select(
-        "qid",
-        "place_id",
-        "place_name",
-        F.coalesce("exact_hits", F.lit(0)).alias("exact_hits"),
-        F.coalesce("exact_reviews", F.lit(0)).alias("exact_reviews"),
-        F.coalesce("variant_hits", F.create_map().cast("map<string,bigint>")).alias("variant_hits"),
-        F.coalesce("bm25_top", F.lit(0.0)).alias("bm25_top"),
+def candidates(touched: DataFrame) -> DataFrame:
+    """Places with exact hits or a positive text score, the missing side as zero.
+
+    Both signals come from one aggregate over numbers; the hits per spelling and the
+    names are looked up later, for the places that are shown.
+    """
+    hits = F.size("found")
+    return (
+        touched.groupBy("qid", "place_id")
+        .agg(
+            F.sum(hits).cast("bigint").alias("exact_hits"),
+            F.count_if(hits > 0).alias("exact_reviews"),
+            F.coalesce(F.max(F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0)).alias(
+                "bm25_top"
+            ),
+        )
+        .filter((F.col("exact_hits") > 0) | (F.col("bm25_top") > 0))
+        .withColumn("score", F.col("exact_hits") * HIT_WEIGHT + F.col("bm25_top"))
+    )
+
+
+def with_rating(candidate: DataFrame, places: DataFrame) -> DataFrame:
+    return candidate.join(places.select("place_id", "rating"), "place_id", "left")
+
+
+def best_places(rated: DataFrame, top_places: int = 10, order_by: str = "hits") -> DataFrame:
+    """The first places of each query by hits, best text score and rating, with ``rank``."""
+    by_hits = [
+        F.desc("exact_hits"),
+        F.desc("bm25_top"),
+        F.desc(F.coalesce("rating", F.lit(0.0))),
+        F.col("place_id"),
+    ]
+    orders = {"hits": by_hits, "score": [F.desc("score"), *by_hits]}
+    window = W.partitionBy("qid").orderBy(*orders[order_by])
+    return rated.withColumn("rank", F.row_number().over(window)).filter(
+        F.col("rank") <= top_places
     )
 
 
-def with_place(candidate: DataFrame, places: DataFrame) -> DataFrame:
-    """Stored place data next to each candidate, and the combined score."""
-    meta = places.select("place_id", "name", "address", "rating", "review_count", "maps_url")
+def with_place(best: DataFrame, hits: DataFrame, places: DataFrame) -> DataFrame:
+    """Stored place data and the hits per spelling next to each place.
+
+    ``hits`` has ``qid, place_id, variant_hits, place_name`` of places with exact hits.
+    """
+    meta = places.select(
+        *[c for c in ("shard", "place_id") if c in places.columns],
+        "name",
+        "address",
+        "review_count",
+        "maps_url",
+        F.lit(True).alias("stored"),
+    )
+    mine = keyed_join(best.select("place_id").distinct(), meta, "place_id")
+    joined = best.join(mine, "place_id", "left").join(
+        hits.select("qid", "place_id", "variant_hits", "place_name"), ["qid", "place_id"], "left"
+    )
     name = F.nullif(F.coalesce("name", "place_name"), F.lit(""))
-    joined = candidate.join(meta.withColumn("stored", F.lit(True)), "place_id", "left")
     # text of a stored place stays as stored; of an unknown place it is empty
     text = lambda c: F.when(F.col("stored").isNull(), "").otherwise(F.col(c))
     return joined.select(
         "qid",
+        "rank",
         "place_id",
         F.coalesce(name, F.lit("?")).alias("name"),
         text("address").alias("address"),
@@ -63,29 +104,19 @@ def with_place(candidate: DataFrame, places: DataFrame) -> DataFrame:
         text("maps_url").alias("maps_url"),
         "exact_hits",
         "exact_reviews",
-        "variant_hits",
+        F.coalesce("variant_hits", F.create_map().cast("map<string,bigint>")).alias("variant_hits"),
         "bm25_top",
-        (F.col("exact_hits") * HIT_WEIGHT + F.col("bm25_top")).alias("score"),
+        "score",
     )
 
 
-def best_places(ranked: DataFrame, top_places: int = 10, order_by: str = "hits") -> DataFrame:
-    """The first places of each query by hits, best text score and rating, with ``rank``."""
-    by_hits = [
-        F.desc("exact_hits"),
-        F.desc("bm25_top"),
-        F.desc(F.coalesce("rating", F.lit(0.0))),
-        F.col("place_id"),
-    ]
-    orders = {"hits": by_hits, "score": [F.desc("score"), *by_hits]}
-    window = W.partitionBy("qid").orderBy(*orders[order_by])
-    return ranked.withColumn("rank", F.row_number().over(window)).filter(
-        F.col("rank") <= top_places
-    )
+def of_places(touched: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The touched reviews of the chosen places."""
+    return touched.join(chosen.select("qid", "place_id"), ["qid", "place_id"], "left_semi")
 
 
-def evidence(touched: DataFrame, chosen: DataFrame, per_place: int = 3) -> DataFrame:
-    """The reviews to quote for each chosen place: ``qid, place_id, review_id, score, n``.
+def evidence(touched: DataFrame, per_place: int = 3) -> DataFrame:
+    """The reviews to quote for each place: ``qid, place_id, review_id, score, n``.
 
     Text hits by score come first, then exact matches; of reviews that start alike
     only the first counts.  Copies are folded by an aggregate, so a text repeated very
@@ -98,8 +129,7 @@ def evidence(touched: DataFrame, chosen: DataFrame, per_place: int = 3) -> DataF
         (-F.coalesce("score", F.lit(0.0))).alias("order"),
         F.col("review_id").alias("review_id"),
     )
-    mine = touched.join(chosen.select(*keys), keys, "left_semi")
-    first = mine.groupBy(*keys, "copy_key").agg(F.min(row).alias("row")).select(*keys, "row.*")
+    first = touched.groupBy(*keys, "copy_key").agg(F.min(row).alias("row")).select(*keys, "row.*")
     window = W.partitionBy(*keys).orderBy("tier", "order", "review_id")
     return (
         first.withColumn("n", F.row_number().over(window))

@@ -13,11 +13,12 @@ from vouch.operators.phrase_index import touched_by_index
 from vouch.operators.queries import with_variants
 from vouch.operators.ranking import (
     best_places,
-    best_score,
     candidates,
     evidence,
     located_hits,
+    of_places,
     with_place,
+    with_rating,
 )
 from vouch.plans.search import ranked_hits
 from vouch.session import materialize, small_rows
@@ -57,9 +58,9 @@ def ranked_places(
     rows: DataFrame, places: DataFrame, top_places: int = 10, order_by: str = "hits"
 ) -> DataFrame:
     """The best places per query out of touched reviews, as a written table."""
-    exact = place_hits(variant_hits(rows))
-    pool = with_place(candidates(exact, best_score(rows)), places)
-    best = materialize(best_places(pool, top_places, order_by), "best")
+    rated = with_rating(candidates(rows), places)
+    best = materialize(best_places(rated, top_places, order_by), "best")
+    # the filter repeats the cut, so that the planner knows the table to be selective
     return best.filter(F.col("rank") <= top_places)
 
 
@@ -72,12 +73,11 @@ def quotes(
     redact: bool = False,
 ) -> DataFrame:
     """The evidence of each ranked place with text and snippet, one row per quote."""
-    picked = materialize(evidence(rows, best, per_place), "quotes").filter(
+    picked = materialize(evidence(of_places(rows, best), per_place), "quotes").filter(
         F.col("n") <= per_place
     )
-    told = reviews.select(
-        *[c for c in reviews.columns if c not in ("place_id", "place_name", "owner_response", "scraped_at")]
-    )
+    columns = ("shard", "review_id", "text", "rating", "published_date", "reviewer_name")
+    told = reviews.select(*[c for c in columns if c in reviews.columns])
     return (
         keyed_join(picked, told, "review_id")
         .join(asked.select("qid", "variants"), "qid")
@@ -96,6 +96,12 @@ def quotes(
     )
 
 
+def details(rows: DataFrame, best: DataFrame, places: DataFrame) -> DataFrame:
+    """The ranked places with their stored data and hits per spelling."""
+    hits = place_hits(variant_hits(of_places(rows, best)))
+    return with_place(best, hits, places)
+
+
 def recommend(
     reviews: DataFrame,
     places: DataFrame,
@@ -125,11 +131,12 @@ def recommend(
         F.array_sort(F.collect_list(F.struct(*columns))).alias("snippets")
     )
     nothing = F.array().cast(listed.schema["snippets"].dataType)
+    shown = details(rows, best, places)
     return (
-        best.join(listed, ["qid", "place_id"], "left")
+        shown.join(listed, ["qid", "place_id"], "left")
         .withColumn("snippets", F.coalesce("snippets", nothing))
         .join(asked.select("qid", "query", "variants"), "qid")
-        .select("qid", "query", "variants", *[c for c in best.columns if c != "qid"], "snippets")
+        .select("qid", "query", "variants", *[c for c in shown.columns if c != "qid"], "snippets")
     )
 
 
