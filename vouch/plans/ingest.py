@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vouch.functions.ids import UNKNOWN_PLACE
 from vouch.operators.bm25 import Index
 from vouch.operators.upsert import latest, replace_rows
 from vouch.plans.indexing import index_reviews
 from vouch.schemas import KEYS, PLACES, REVIEWS, conform, now_utc
 from vouch.session import materialize
-from vouch.sources.entries import entry_places, entry_reviews
+from vouch.sources.entries import entry_places, entry_reviews, parsed_entries
 from vouch.sources.tables import TableStore
 
 
@@ -46,14 +47,17 @@ def first_in_entry(reviews: DataFrame) -> DataFrame:
 
 
 def import_stats(entries: DataFrame) -> DataFrame:
-    """``entries`` read, of those ``unknown_places`` without any id, and ``reviews_upserted``."""
-    places = entry_places(entries).agg(
+    """``entries`` read, of those ``unknown_places`` without any id, and ``reviews_upserted``.
+
+    Repeats within an entry count once; that is settled inside each row.
+    """
+    rows = entries if "reviews" in entries.columns else parsed_entries(entries)
+    sent = F.size(F.array_distinct(F.transform("reviews", lambda review: review["review_id"])))
+    return rows.agg(
         F.count("*").alias("entries"),
-        F.count_if(F.col("place_id") == "unknown").alias("unknown_places"),
+        F.count_if(F.col("place_id") == UNKNOWN_PLACE).alias("unknown_places"),
+        F.coalesce(F.sum(sent), F.lit(0)).alias("reviews_upserted"),
     )
-    sent = entry_reviews(entries).select("seq", "review_id").distinct()
-    reviews = sent.agg(F.count("*").alias("reviews_upserted"))
-    return places.withColumn("reviews_upserted", reviews.scalar())
 
 
 def fresh_rows(
@@ -79,12 +83,17 @@ def import_entries(
 
 
 def import_into(store: TableStore, entries: DataFrame, scraped_at: Column | None = None) -> DataFrame:
-    """Import and commit both tables; returns the counts."""
-    for name, rows in zip(("places", "reviews"), fresh_rows(entries, scraped_at)):
+    """Import and commit both tables; returns the counts.
+
+    The parsed entries are written first, so that the raw text is read and parsed once
+    for both tables and the counts.
+    """
+    parsed = materialize(parsed_entries(entries), "parsed")
+    for name, rows in zip(("places", "reviews"), fresh_rows(parsed, scraped_at)):
         # written first, as the rows are used twice and their number decides the join
         fresh = materialize(rows, f"fresh-{name}")
         store.commit(name, replace_rows(store.read(name), fresh, KEYS[name]))
-    return import_stats(entries)
+    return import_stats(parsed)
 
 
 def import_and_index(

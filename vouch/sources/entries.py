@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouch.functions.json import field, first_truthy, is_object, number, pick, strict_parse, truthy
 from vouch.functions.ids import content_review_id, entry_link, entry_place_id
-from vouch.functions.text import or_null, strip
+from vouch.functions.text import let, or_null, strip
 
 # Fields that may hold reviews, better ones first.
 REVIEW_LISTS = ("user_reviews_extended", "UserReviewsExtended", "user_reviews", "UserReviews")
@@ -79,11 +79,77 @@ def load_entries(spark: SparkSession, path: str | list[str], format: str = "auto
     raise ValueError(f"unknown format {format!r}")
 
 
-def entry_places(entries: DataFrame) -> DataFrame:
-    """One place row per entry, with its ``seq``."""
+def _numbered(items: Column, list_no: int) -> Column:
+    return F.transform(
+        F.coalesce(items, F.array().cast("array<variant>")),
+        lambda item, pos: F.struct(
+            F.lit(list_no).alias("list_no"), pos.alias("pos"), item.alias("item")
+        ),
+    )
+
+
+def _first(value: Column, *keys: str) -> Column:
+    return F.coalesce(*[or_null(field(value, key)) for key in keys], F.lit(""))
+
+
+def _review(numbered: Column, place_id: Column) -> Column:
+    """The normalised fields of one raw review object, NULL if it is no object."""
+
+    def normalised(item: Column) -> Column:
+        when = F.coalesce(
+            *[truthy(item, key) for key in ("When", "when", "date", "published_date")], F.lit("")
+        )
+        rating = F.when(pick(item, "Rating").isNotNull(), field(item, "Rating", "int")).otherwise(
+            field(item, "rating", "int")
+        )
+        return F.struct(
+            numbered["list_no"].alias("list_no"),
+            numbered["pos"].alias("pos"),
+            strip(_first(item, "Description", "description", "text", "body")).alias("text"),
+            rating.alias("rating"),
+            when.alias("published_date"),
+            _first(item, "Name", "name", "reviewer_name").alias("reviewer_name"),
+            F.coalesce(truthy(item, "OwnerResponse"), truthy(item, "owner_response")).alias(
+                "owner_response"
+            ),
+        )
+
+    def identified(review: Column) -> Column:
+        made = content_review_id(
+            place_id, review["text"], review["reviewer_name"], review["published_date"]
+        )
+        return F.struct(made.alias("review_id"), *[review[c].alias(c) for c in _REVIEW_FIELDS])
+
+    return F.when(is_object(numbered["item"]), let(normalised(numbered["item"]), identified))
+
+
+_REVIEW_FIELDS = (
+    "list_no",
+    "pos",
+    "text",
+    "rating",
+    "published_date",
+    "reviewer_name",
+    "owner_response",
+)
+
+
+def parsed_entries(entries: DataFrame) -> DataFrame:
+    """One row per entry: ``seq``, the place columns and the list ``reviews``.
+
+    Everything an import needs of an entry, so that the raw text is parsed once.
+    Reviews are in the order of lists and positions; blank ones are left out, repeats
+    are still in.
+    """
     entry = F.col("entry")
     text = lambda *keys: F.coalesce(first_truthy(entry, *keys), F.lit(""))
-    return entries.select(
+    lists = F.concat(
+        *[
+            _numbered(field(entry, key, "array<variant>"), list_no)
+            for list_no, key in enumerate(REVIEW_LISTS)
+        ]
+    )
+    placed = entries.select(
         "seq",
         entry_place_id(entry).alias("place_id"),
         text("title", "Title").alias("name"),
@@ -92,20 +158,33 @@ def entry_places(entries: DataFrame) -> DataFrame:
         number(entry, "int", "review_count", "ReviewCount").alias("review_count"),
         entry_link(entry).alias("maps_url"),
         text("category", "Category").alias("category"),
+        lists.alias("items"),
+    )
+    reviews = F.filter(
+        F.transform("items", lambda item: _review(item, F.col("place_id"))),
+        lambda review: F.length(review["text"]) > 0,
     )
+    return placed.withColumn("reviews", reviews).drop("items")
 
 
-def _numbered(items: Column, list_no: int) -> Column:
-    return F.transform(
-        F.coalesce(items, F.array().cast("array<variant>")),
-        lambda item, pos: F.struct(
-            F.lit(list_no).alias("list_no"), pos.alias("pos"), item.alias("item")
-        ),
+def _parsed(entries: DataFrame) -> DataFrame:
+    return entries if "reviews" in entries.columns else parsed_entries(entries)
+
+
+def entry_places(entries: DataFrame) -> DataFrame:
+    """One place row per entry, raw or parsed, with its ``seq``."""
+    return _parsed(entries).drop("reviews")
+
+
+def entry_reviews(entries: DataFrame) -> DataFrame:
+    """Review rows of all entries, raw or parsed, repeats still in."""
+    return _parsed(entries).select(
+        "seq", "place_id", F.col("name").alias("place_name"), F.inline("reviews")
     )
 
 
 def review_items(entries: DataFrame) -> DataFrame:
-    """The review objects of each entry: ``seq, place_id, place_name, list_no, pos, item``."""
+    """The raw review objects: ``seq, place_id, place_name, list_no, pos, item``."""
     entry = F.col("entry")
     lists = [
         _numbered(field(entry, key, "array<variant>"), list_no)
@@ -119,35 +198,3 @@ def review_items(entries: DataFrame) -> DataFrame:
     )
     items = named.select("seq", "place_id", "place_name", F.inline(F.concat(*lists)))
     return items.filter(is_object(F.col("item")))
-
-
-def entry_reviews(entries: DataFrame) -> DataFrame:
-    """Review rows of all entries, blank ones left out, repeats still in."""
-    item = F.col("item")
-    first = lambda *keys: F.coalesce(
-        F.coalesce(*[or_null(field(item, key)) for key in keys]), F.lit("")
-    )
-    when = F.coalesce(*[truthy(item, key) for key in ("When", "when", "date", "published_date")])
-    rows = review_items(entries).select(
-        "seq",
-        "list_no",
-        "pos",
-        "place_id",
-        "place_name",
-        strip(first("Description", "description", "text", "body")).alias("text"),
-        F.when(pick(item, "Rating").isNotNull(), field(item, "Rating", "int"))
-        .otherwise(field(item, "rating", "int"))
-        .alias("rating"),
-        F.coalesce(when, F.lit("")).alias("published_date"),
-        first("Name", "name", "reviewer_name").alias("reviewer_name"),
-        F.coalesce(truthy(item, "OwnerResponse"), truthy(item, "owner_response")).alias(
-            "owner_response"
-        ),
-    )
-    rows = rows.filter(F.length("text") > 0)
-    return rows.withColumn(
-        "review_id",
-        content_review_id(
-            F.col("place_id"), F.col("text"), F.col("reviewer_name"), F.col("published_date")
-        ),
-    )
