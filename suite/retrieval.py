@@ -290,6 +290,33 @@ def _(spark, sf):
     return rows.drop("score")
 
 
+def asked_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sentence of every benchmark item as a phrase, one query per item."""
+    items = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("qid"),
+        F.lit("").alias("query"),
+        F.split("text", "[.,]").alias("synonyms"),
+    )
+    return with_variants(items)
+
+
+@query(
+    "j7_matching_many_phrases",
+    r"""WITH parts AS (
+          SELECT DISTINCT item_id AS qid, trim(regexp_replace(lower(unnest(string_split_regex(text, '[.,]'))), '\s+', ' ', 'g')) AS phrase
+          FROM benchmark),
+        forms AS (
+          SELECT DISTINCT qid, unnest([phrase, replace(phrase, ' ', '-'), replace(phrase, ' ', '')]) AS variant
+          FROM parts WHERE phrase <> '')
+        SELECT qid, cast(doc_id AS varchar) AS review_id, cast(doc_id % 120 AS varchar) AS place_id,
+               'Place ' || cast(doc_id % 120 AS varchar) AS place_name, substr(text, 1, 120) AS copy_key,
+               list_sort(list(variant)) AS found
+        FROM documents JOIN forms ON contains(lower(text), variant) GROUP BY ALL""",
+)
+def _(spark, sf):
+    return touched(reviews_v(spark, sf).drop("doc_id"), asked_items(spark, sf), None).drop("score")
+
+
 def hits_per_variant(spark: SparkSession, sf: str) -> DataFrame:
     return exact.variant_hits(exact.touched_reviews(reviews_v(spark, sf), asked_variants(spark)))
 

@@ -123,6 +123,7 @@ def test_phrases_by_index_equal_a_scan(spark, asked):
     keep = ["qid", "review_id", "place_id", "copy_key", "found"]
     scan = touched(reviews, queries, None, match="scan").select(*keep)
     indexed = touched(reviews, queries, index, bm25_top_n=0, match="index").select(*keep)
+    automaton = touched(reviews, queries, None, match="automaton").select(*keep)
     wanted = sorted(
         (q.qid, r[0], r[1], r[3][:120], [v for v in q.variants if v in r[3].lower()])
         for q in queries.collect()
@@ -131,6 +132,7 @@ def test_phrases_by_index_equal_a_scan(spark, asked):
     )
     assert sorted(map(tuple, scan.collect())) == wanted
     assert sorted(map(tuple, indexed.collect())) == wanted
+    assert sorted(map(tuple, automaton.collect())) == wanted
 
 
 def test_samples(spark):

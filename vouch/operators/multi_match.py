@@ -1,0 +1,76 @@
+"""Exact phrase hits of many phrases at once.
+
+Comparing a text with every phrase costs a pass over the text per phrase.  With many
+phrases an Aho-Corasick automaton finds all of them in one pass; it runs in Arrow
+batches over the partitions of the reviews.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from vouch.operators.exact import COPY_PREFIX, TOUCHED
+
+try:
+    import ahocorasick
+except ImportError:  # the scan with built-in functions gives the same rows
+    ahocorasick = None
+
+# with fewer phrases than this, built-in functions are faster
+MANY_PHRASES = 24
+
+
+def _finder(asked: list):
+    """A function from lower-cased texts to the queries and phrases each text holds."""
+    owners = defaultdict(list)
+    for number, row in enumerate(asked):
+        for variant in row["variants"]:
+            owners[variant].append(number)
+    phrases = sorted(owners)
+    queries_of = [owners[phrase] for phrase in phrases]
+
+    def matches(automaton, text: str | None) -> list[dict]:
+        if not text:
+            return []
+        found = defaultdict(list)
+        for i in sorted({i for _, i in automaton.iter(text)}):
+            for number in queries_of[i]:
+                found[number].append(phrases[i])
+        return [{"number": number, "found": held} for number, held in found.items()]
+
+    @F.pandas_udf("array<struct<number:int,found:array<string>>>")
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for i, phrase in enumerate(phrases):
+            automaton.add_word(phrase, i)
+        automaton.make_automaton()
+        for batch in texts:
+            yield pd.Series([matches(automaton, text) for text in batch], dtype=object)
+
+    return find
+
+
+def touched_by_automaton(reviews: DataFrame, asked: list, qid_type) -> DataFrame:
+    """What ``touched_reviews`` finds by scanning, without text hits.
+
+    ``asked`` are the rows ``qid, variants`` of a query table small enough for the driver.
+    """
+    find = _finder(asked)
+    held = reviews.select(
+        "place_id",
+        "place_name",
+        "review_id",
+        F.substring("text", 1, COPY_PREFIX).alias("copy_key"),
+        find(F.lower("text")).alias("held"),
+    )
+    qids = F.array(*[F.lit(row["qid"]).cast(qid_type) for row in asked])
+    return (
+        held.select("place_id", "place_name", "review_id", "copy_key", F.inline("held"))
+        .withColumn("qid", F.get(qids, F.col("number")))
+        .withColumn("score", F.lit(None).cast("double"))
+        .select(*TOUCHED)
+    )

@@ -9,6 +9,7 @@ from vouch.functions.text import snippet
 from vouch.operators.bm25 import Index, build
 from vouch.operators.corpus import corpus
 from vouch.operators.exact import place_hits, touched_reviews, variant_hits
+from vouch.operators.multi_match import MANY_PHRASES, ahocorasick, touched_by_automaton
 from vouch.operators.phrase_index import touched_by_index
 from vouch.operators.queries import with_variants
 from vouch.operators.ranking import (
@@ -24,9 +25,15 @@ from vouch.plans.search import ranked_hits
 from vouch.session import materialize, small_rows
 from vouch.sources.tables import keyed_join
 
-# beyond this many queries their phrases are looked up in the index, since a scan
-# compares every text with every phrase
-SCAN_QUERIES = 500
+def _way_to_match(asked: DataFrame, wildcards: bool) -> str:
+    """How to find the phrases: by their number, which only the driver side can tell."""
+    phrases = small_rows(asked.select(F.explode("variants")).distinct())
+    if wildcards:
+        return "scan"
+    if phrases is None:
+        return "index"
+    many = len(phrases) > MANY_PHRASES and ahocorasick is not None
+    return "automaton" if many else "scan"
 
 
 def touched(
@@ -37,20 +44,29 @@ def touched(
     wildcards: bool = False,
     match: str = "auto",
 ) -> DataFrame:
-    """Reviews bearing on the queries ``asked(qid, query, variants)``, as a written table."""
+    """Reviews bearing on the queries ``asked(qid, query, variants)``, as a written table.
+
+    ``match`` says how phrases are found, all with the same result: ``scan`` compares
+    each text with each phrase, ``automaton`` looks for many phrases in one pass, and
+    ``index`` looks up words of the phrases in the index, for query tables that are too
+    large for the driver or phrases known to be rare.
+    """
     hits = None if index is None else ranked_hits(index, asked, bm25_top_n)
     if match == "auto":
-        many = small_rows(asked.select("qid"), SCAN_QUERIES) is None
-        match = "index" if many and not wildcards else "scan"
+        match = _way_to_match(asked, wildcards)
     if match == "scan":
-        rows = touched_reviews(reviews, asked, hits, wildcards)
-    else:
-        words = index
-        if index is None or index.stop or index.vocab is not None:
-            words = build(corpus(reviews))
+        return materialize(touched_reviews(reviews, asked, hits, wildcards), "touched")
+    if match == "automaton":
+        pairs = asked.select("qid", "variants")
+        rows = touched_by_automaton(reviews, pairs.collect(), asked.schema["qid"].dataType)
+    elif match == "index":
+        plain = index is not None and not index.stop and index.vocab is None
+        words = index if plain else build(corpus(reviews))
         rows = touched_by_index(words, reviews, asked)
-        if hits is not None:
-            rows = rows.unionByName(located_hits(hits, reviews))
+    else:
+        raise ValueError(f"unknown way to match {match!r}")
+    if hits is not None:
+        rows = rows.unionByName(located_hits(hits, reviews))
     return materialize(rows, "touched")
 
 

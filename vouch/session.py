@@ -23,6 +23,8 @@ def session(app: str = "vouch", **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         # long IN lists reach the Parquet reader value by value, not as min..max
         .config("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
+        # texts can be long, so Arrow batches hold fewer of them
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         # a repeated key in a JSON object keeps its last value
         .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
