@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from suite import query
 from suite.texts import PAGE_LINK, page_link
 from suite.views import STAMP, WS, table
+from vouch.functions.ids import slug_id, url_place_id
 from vouch.operators.extract import (
     assemble_reviews,
     block_fields,
@@ -147,15 +148,24 @@ def _(spark, sf):
 
 # listings without an id in their link are stored already
 _KNOWN = """
-known AS (SELECT place_id FROM first_listings WHERE id_kind = 'slug')"""
+known AS (
+  SELECT DISTINCT ON (l.place_id) l.place_id, t.title AS name, t.link AS maps_url
+  FROM first_listings l JOIN titled t ON l.pos // 2 = t.page_id WHERE id_kind = 'slug'
+  ORDER BY l.place_id, t.page_id DESC)"""
 
 
 def known_places(spark: SparkSession, sf: str) -> DataFrame:
-    every = first_listings(listings_v(spark, sf), max_places=10**9)
+    pages = titled(spark, sf)
+    named = pages.filter(url_place_id(F.col("link")).isNull() & (F.length("title") > 0))
     stored = latest(
-        every.filter(F.col("id_kind") == "slug").withColumn("seq", F.struct("query_id", "rank")),
+        named.select(
+            slug_id(F.col("link")).alias("place_id"),
+            F.col("title").alias("name"),
+            F.col("link").alias("maps_url"),
+            "page_id",
+        ),
         "place_id",
-        "seq",
+        "page_id",
     )
     return conform(stored, PLACES, F.lit("before"))
 
@@ -181,8 +191,7 @@ def _(spark, sf):
 @query(
     "q7_discover_incremental",
     f"""WITH {LISTINGS}, {_FIRST}, {_KNOWN}, {_NEW} SELECT place_id, name, maps_url, scraped_at FROM fresh
-        UNION ALL SELECT * FROM (SELECT DISTINCT ON (place_id) place_id, name, maps_url, 'before' FROM first_listings
-          WHERE id_kind = 'slug' ORDER BY place_id, query_id DESC, rank DESC)""",
+        UNION ALL SELECT place_id, name, maps_url, 'before' FROM known""",
 )
 def _(spark, sf):
     places, _ = discover_incremental(

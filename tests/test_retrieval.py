@@ -229,3 +229,16 @@ def test_plans(spark):
     physical = scan._jdf.queryExecution().sparkPlan().toString()
     assert physical.count("FileScan parquet") == 1 and "Python" not in physical
     assert "CartesianProduct" not in physical and "NestedLoop" not in physical
+
+
+def test_scan_in_blocks_of_queries(spark, monkeypatch):
+    from vouch.plans import recommend as plans
+
+    reviews = reviews_of(spark, PHRASED)
+    queries = with_variants(query_table(spark, ["ortho k", "orthok", "a", "what?!", "50%"]))
+    index = build_index(reviews)
+    whole = sorted(map(str, touched(reviews, queries, index, match="scan").collect()))
+    monkeypatch.setattr(plans, "SMALL_ROWS", 4)
+    monkeypatch.setattr(plans, "small_rows", lambda df, limit=0: None)
+    assert len(plans._blocks(queries)) == 3
+    assert sorted(map(str, touched(reviews, queries, index, match="scan").collect())) == whole

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vouch.functions.ids import absolute_href, id_kind, listing_id
 from vouch.functions.listing import base_url, clean_name, label_key, match_key
-from vouch.functions.text import or_null
 
 # Key lengths tried when names are compared, best first.
 KEY_SIZES = (12, 10, 8)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from vouch.functions import display
@@ -22,9 +24,18 @@ from vouch.operators.ranking import (
     with_rating,
 )
 from vouch.plans.search import ranked_hits
-from vouch.session import materialize, small_rows
+from vouch.session import SMALL_ROWS, materialize, small_rows
 from vouch.sources.tables import keyed_join
 
+def _blocks(asked: DataFrame) -> list[DataFrame]:
+    """The query table in blocks small enough to be a constant in each task of a scan."""
+    if small_rows(asked.select("qid")) is not None:
+        return [asked]
+    count = asked.count() // (SMALL_ROWS // 2) + 1
+    block = F.pmod(F.xxhash64("qid"), F.lit(count))
+    return [asked.filter(block == number) for number in range(count)]
+
+
 def _way_to_match(asked: DataFrame, wildcards: bool) -> str:
     """How to find the phrases: by their number, which only the driver side can tell."""
     phrases = small_rows(asked.select(F.explode("variants")).distinct())
@@ -55,10 +66,13 @@ def touched(
     if match == "auto":
         match = _way_to_match(asked, wildcards)
     if match == "scan":
-        return materialize(touched_reviews(reviews, asked, hits, wildcards), "touched")
+        blocks = [touched_reviews(reviews, block, hits, wildcards) for block in _blocks(asked)]
+        return materialize(reduce(DataFrame.unionByName, blocks), "touched")
     if match == "automaton":
-        pairs = asked.select("qid", "variants")
-        rows = touched_by_automaton(reviews, pairs.collect(), asked.schema["qid"].dataType)
+        pairs = small_rows(asked.select("qid", "variants"))
+        if pairs is None:
+            raise ValueError("too many queries for the driver: match them by index")
+        rows = touched_by_automaton(reviews, pairs, asked.schema["qid"].dataType)
     elif match == "index":
         plain = index is not None and not index.stop and index.vocab is None
         words = index if plain else build(corpus(reviews))
