@@ -57,7 +57,7 @@ def test_place_fields(spark):
     assert [r.rating for r in rows] == [None, 0.0, None, None, None]
     assert [r.review_count for r in rows] == [None, 5, 4, None, None]
     assert [r.place_id for r in rows[:3]] == ["0xA:0xb", "12", "9"]
-    assert rows[3].place_id.startswith("gosom_") and rows[4].place_id == "unknown"
+    assert rows[3].place_id.startswith("link_") and rows[4].place_id == "unknown"
     assert rows[0].name == "T"
 
 

@@ -105,7 +105,7 @@ def test_absolute_href(spark, href, wanted):
 
 
 def test_id_kinds(spark):
-    kinds = {"unknown": "unknown", "slug_a": "slug", "gosom_1": "link_hash", "0xA:0xb": "hex_pair", "12": "cid", "ChIJ": "api"}
+    kinds = {"unknown": "unknown", "slug_a": "slug", "link_1": "link_hash", "0xA:0xb": "hex_pair", "12": "cid", "ChIJ": "api"}
     for key, kind in kinds.items():
         assert value(spark, ids.id_kind(F.lit(key))) == kind
 
@@ -113,7 +113,7 @@ def test_id_kinds(spark):
 def test_link_hash_is_stable(spark):
     made = value(spark, ids.link_hash_id(F.lit("https://x")))
     assert made == value(spark, ids.link_hash_id(F.lit("https://x")))
-    assert made.startswith("gosom_") and int(made[6:]) < 10**12
+    assert made.startswith("link_") and int(made[5:]) < 10**12
 
 
 @pytest.mark.parametrize(

@@ -12,7 +12,7 @@ LINK_HEX_PAIR = r"(?i)1s(0x[0-9a-f]+:0x[0-9a-f]+)"
 URL_HEX_PAIR = r"(?i)!1s(0x[0-9a-f]+:0x[0-9a-f]+)"
 URL_DATA_ID = r"/place/[^/]+/(@[^/]+/)?data=![^!]*!1s([^!]+)"
 UNKNOWN_PLACE = "unknown"
-HASH_PREFIX = "gosom_"
+HASH_PREFIX = "link_"
 SLUG_PREFIX = "slug_"
 SITE = "https://www.google.com"
 PLACE_LINK = "https://www.google.com/maps/place/?q=place_id:"
