@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vouch.llm.near_dup import near_duplicates
+from vouch.llm.spans import remove_repeated_spans
 from vouch.llm.toxicity import score, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +57,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+# --- 4: substring dedup ---------------------------------------------------------------
+
+
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_spans(docs, counts=True)
+
+
 # --- 8: toxicity ----------------------------------------------------------------------
 
 
