@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 # broadcast hint in this package is preceded by a check against this bound.
 SMALL_ROWS = 20_000
 
-_local_dirs: dict[str, str] = {}
 
 
 def session(app: str = "vouch", **conf: str) -> SparkSession:
@@ -34,17 +32,9 @@ def session(app: str = "vouch", **conf: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors, as named in ``spark.checkpoint.dir``."""
+    """Folder shared by driver and executors: ``spark.checkpoint.dir``, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="vouch-")
-    return _local_dirs[app]
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/work").rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
