@@ -13,6 +13,7 @@ from vouch.llm.sketch import Shingler, band_keys, band_plan, overlap, sketch
 from vouch.session import materialize
 
 BINS = 125  # bins of a sketch
+FILTER_BITS = 26  # bits of the filter on the second pass: 8 MB, whatever the data
 BLOCK = 512  # members of a bucket on each side of one grid cell
 _WORDS_AT_ONCE = 400_000
 
@@ -61,24 +62,49 @@ def _features(n: int, bands: int, rows: int):
     return run
 
 
-def _sets(n: int):
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """``2 ** FILTER_BITS`` bits, packed; those of the hashed ``key`` values are set."""
+    spot = F.pmod("key", F.lit(1 << FILTER_BITS)) + 1
+    rows = (
+        keys.select(spot.alias("spot"))
+        .groupBy(F.bitmap_bucket_number("spot").alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+        .collect()
+    )
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in rows:
+        bits = np.frombuffer(row["bits"], np.uint8)
+        start = (row["part"] - 1) * len(bits)
+        out[start : start + len(bits)] = bits
+    return out
+
+
+def _sets(n: int, wanted):
+    """Sets of the texts whose key is set in the bitmap ``wanted``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
+        bitmap = wanted.value
         for batch in batches:
+            spot = np.mod(batch.column("text_key").to_numpy(), 1 << FILTER_BITS)
+            batch = batch.filter(pa.array((bitmap[spot >> 3] >> (spot & 7)) & 1 == 1))
             first, sets, size = 0, [], 0
-            rep = batch.column("rep")
+
+            def out() -> pa.RecordBatch:
+                part = batch.slice(first, len(sets))
+                return pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_key"), pa.array(sets, pa.binary())],
+                    names=["doc_id", "text_key", "items"],
+                )
+
             for text in _binary(batch.column("text")):
                 sets.append(shingler(text).tobytes())
                 size += len(sets[-1])
                 if size > 8 * _WORDS_AT_ONCE:
-                    yield pa.RecordBatch.from_arrays(
-                        [rep.slice(first, len(sets)), pa.array(sets, pa.binary())], names=["rep", "items"]
-                    )
+                    yield out()
                     first, sets, size = first + len(sets), [], 0
             if sets:
-                yield pa.RecordBatch.from_arrays(
-                    [rep.slice(first, len(sets)), pa.array(sets, pa.binary())], names=["rep", "items"]
-                )
+                yield out()
 
     return run
 
@@ -246,11 +272,13 @@ def _links(own: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
         reps.select(F.col("rid").alias("rep"), "doc_id", "text_key"), "rep"
     )
     needed = materialize(needed, "needed").withColumnsRenamed({"doc_id": "id", "text_key": "key"})
+    # a second pass over the texts: their sets move only where the bitmap, of a fixed size, lets them
+    wanted = own.sparkSession.sparkContext.broadcast(_bitmap(needed))
     same = (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
     sets = materialize(
-        own.join(needed, same)
-        .select("rep", "text")
-        .mapInArrow(_sets(n), "rep bigint, items binary")
+        own.mapInArrow(_sets(n, wanted), "doc_id bigint, text_key bigint, items binary")
+        .join(needed, same)
+        .select("rep", "items")
         .dropDuplicates(["rep"]),
         "sets",
     )
