@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vouch.llm.mixing import mix_documents
 from vouch.llm.near_dup import near_duplicates
+from vouch.llm.queries import MIX, label_domains, piece_model
+from vouch.llm.sentencepiece import decode, encode
 from vouch.llm.spans import remove_repeated_spans
 from vouch.llm.toxicity import keep_clean, train
 from vouch.session import materialize
@@ -29,10 +32,26 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return remove_repeated_spans(docs)
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that good and poor ones have their target shares of the tokens; none is dropped."""
+    labels = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mix_documents(docs, labels, MIX, min_rate=1.0)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their ids and whether decoding gives the text back."""
+    model = piece_model(spark)
+    decoded = decode(encode(docs, model), model)
+    same = F.col("decoded").eqNullSafe(F.col("text"))
+    return decoded.withColumn("n_tokens", F.size("ids")).withColumn("round_trip", same).drop("decoded")
+
+
 STAGES = [
     ("toxicity", toxicity),
     ("minhash_near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
+    ("mixing", mixing),
+    ("sentencepiece", sentencepiece),
 ]
 
 # A trained classifier, a sketch and a tokenizer have no SQL; tests hold the stages against brute force.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vouch.llm.mixing import copies, document_rates
 from vouch.llm.near_dup import near_duplicates
+from vouch.llm.sentencepiece import decode, encode, load_model
 from vouch.llm.spans import remove_repeated_spans
 from vouch.llm.toxicity import score, train
 
@@ -28,6 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 2: SentencePiece -------------------------------------------------------------------
+
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def piece_model(spark: SparkSession, name: str = "piece_bpe_32k.model"):
+    return load_model(spark, f"file://{TOKENIZERS}/{name}")
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model(spark)
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return decode(encoded, model).select(
+        "doc_id",
+        F.size("ids").alias("n_tokens"),
+        "ids",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 # --- 3: near duplicates -------------------------------------------------------------
 
 _NEAR_DUP_SQL = r"""
@@ -80,3 +104,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
+
+
+# --- 9: mixing ------------------------------------------------------------------------
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """``id, domain``: good or poor by the label of quality."""
+    domain = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select(F.col("doc_id").alias("id"), domain.alias("domain"))
+
+
+MIX = {"good": 0.9, "poor": 0.1}
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = label_domains(table(spark, sf_dir, "labels"))
+    return document_rates(table(spark, sf_dir, "documents"), labels, MIX).withColumn(
+        "copies", copies(F.col("rate"), F.col("doc_id"))
+    )
