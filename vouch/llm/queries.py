@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vouch.llm.mixing import copies, document_rates
 from vouch.llm.near_dup import near_duplicates
 from vouch.llm.sentencepiece import decode, encode, load_model
+from vouch.llm.sharding import balanced_shards
 from vouch.llm.spans import remove_repeated_spans
 from vouch.llm.toxicity import score, train
+from vouch.llm.url_filter import judge_urls
+from vouch.llm.warc import plan_records, read_archives, write_archives
+from vouch.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +128,98 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_rates(table(spark, sf_dir, "documents"), labels, MIX).withColumn(
         "copies", copies(F.col("rate"), F.col("doc_id"))
     )
+
+
+# --- 5: sharding ----------------------------------------------------------------------
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = balanced_shards(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+# --- 6: URL filter --------------------------------------------------------------------
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def _level_sql(k: int) -> str:
+    """One level of the template tree, as named queries."""
+    node = ", ".join(["host", *[f"m{i}" for i in range(k)]])
+    bound = "sqrt(ln(2 / 0.05::double) / 2)"
+    return f"""
+b{k} AS (SELECT {node}, s{k}, sum(rows) AS rows, sum(n) AS n, sum(bad) AS bad FROM t{k} GROUP BY {node}, s{k}),
+n{k} AS (SELECT {node}, sum(rows) AS all_rows, sum(n) AS all_n, sum(bad) AS all_bad, count(*) AS width FROM b{k} GROUP BY {node}),
+t{k + 1} AS (
+  SELECT t{k}.*, CASE WHEN (width > 16 AND b{k}.rows * 16 < all_rows) OR b{k}.n = 0 OR
+      abs(b{k}.bad / greatest(b{k}.n, 1)::double - all_bad / greatest(all_n, 1)::double)
+      <= {bound} * (1 / sqrt(greatest(b{k}.n, 1)::double) + 1 / sqrt(greatest(all_n, 1)::double))
+    THEN '*' ELSE s{k} END AS m{k}
+  FROM t{k} JOIN b{k} USING ({node}, s{k}) JOIN n{k} USING ({node}))"""
+
+
+_URL_SQL = f"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+v AS (SELECT *, string_split(regexp_replace(substr(path, 2), '[0-9]+', '<n>', 'g'), '/') AS p FROM u),
+w AS (
+  SELECT page_id, host, path, l.bad, p[1] AS s0, coalesce(p[2], '<end>') AS s1, coalesce(p[3], '<end>') AS s2,
+    CASE WHEN len(p) < 4 THEN '<end>' ELSE array_to_string(p[4:], '/') END AS s3
+  FROM v LEFT JOIN l ON page_id = doc_id),
+t0 AS (SELECT host, s0, s1, s2, s3, count(*) AS rows, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM w GROUP BY ALL),
+{",".join(_level_sql(k) for k in range(4))},
+g AS (SELECT coalesce(sum(bad), 0) / greatest(sum(n), 1)::double AS share FROM t4),
+q AS (
+  SELECT host, m0, m1, m2, m3, (sum(bad) + 8.0::double * any_value(share)) / (sum(n) + 8.0::double) AS purity
+  FROM t4, g GROUP BY host, m0, m1, m2, m3),
+f AS (
+  SELECT page_id, w.host, path, m0 || '/' || m1 || '/' || m2 || '/' || m3 AS template, purity,
+    CASE WHEN (w.host = 'example.net' OR w.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN (w.host = 'example.com' OR w.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN (w.host = 'org' OR w.host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN (w.host = 'net' OR w.host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM w JOIN t4 USING (host, s0, s1, s2, s3) JOIN q USING (host, m0, m1, m2, m3))
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END AS verdict, template
+FROM f"""
+
+
+@query("op6_url_filter", _URL_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents stand for the pages of the same number: poor or toxic ones are bad."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    judged = judge_urls(
+        table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("id"), bad.alias("bad")), RULES
+    )
+    return judged.drop("purity")
+
+
+# --- 10: WARC -------------------------------------------------------------------------
+
+
+@query("op10_warc")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = plan_records(table(spark, sf_dir, "pages"))
+    archives = write_archives(records, new_path(spark, "warc"))
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
+    return read_archives(archives).select(
+        number("record_id").alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        number("refers_to").alias("refers_to"),
+    )
