@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vouch.llm.ann import approximate_top_k
+from vouch.llm.impact_search import exact_top_k
 from vouch.llm.mixing import copies, document_rates
 from vouch.llm.near_dup import near_duplicates
 from vouch.llm.sentencepiece import decode, encode, load_model
@@ -223,3 +225,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type").alias("record_type"),
         number("refers_to").alias("refers_to"),
     )
+
+
+# --- 1: exact top-k search ------------------------------------------------------------
+
+_TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::bigint AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5"""
+
+
+@query("op1_exact_top_k", _TOP_K_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+# --- 7: approximate nearest neighbours ----------------------------------------------------
+
+
+@query("op7_nearest_neighbours")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approximate_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
