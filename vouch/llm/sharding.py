@@ -19,6 +19,14 @@ def _ranges(df: DataFrame, *order: str) -> DataFrame:
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
+def _few_rows(spark, columns: str, rows: list[tuple]) -> DataFrame:
+    """A table of whole numbers given by the driver, as literals of a query."""
+    if not rows:
+        return spark.sql(f"SELECT * FROM VALUES ({', '.join('0L' for _ in columns.split(','))}) AS t({columns}) WHERE false")
+    values = ", ".join("(" + ", ".join(f"{v}L" for v in row) + ")" for row in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})"))
+
+
 class _Sizes:
     """Running sums of ordered groups: totals of the ranges here, the rest in a table."""
 
@@ -36,7 +44,7 @@ class _Sizes:
             self.ends.append(total)
         self.total, self.largest = total, max([0, *(r["m"] for r in sums)])
         spark = groups.sparkSession
-        offsets = F.broadcast(spark.createDataFrame(before, "range int, offset bigint"))
+        offsets = _few_rows(spark, "range, offset", before)
         so_far = F.sum("bytes").over(Window.partitionBy("range").orderBy("first", "first_row"))
         self.table = materialize(
             ordered.join(offsets, "range").select("g1", "g2", "g3", "range", (so_far + F.col("offset")).alias("upto")),
@@ -55,9 +63,9 @@ class _Sizes:
         if not asked:
             return out
         spark = self.table.sparkSession
-        wanted = F.broadcast(spark.createDataFrame(asked, "i int, range int, limit bigint"))  # TRIES rows at most
+        wanted = _few_rows(spark, "i, range, most", asked)  # TRIES rows at most
         some = self.table.where(F.col("range").isin(sorted({r for _, r, _ in asked})))
-        rows = some.join(wanted, "range").where("upto <= limit").groupBy("i").agg(F.max("upto").alias("upto"))
+        rows = some.join(wanted, "range").where("upto <= most").groupBy("i").agg(F.max("upto").alias("upto"))
         for row in rows.collect():
             out[row["i"]] = max(out[row["i"]], row["upto"])
         return out
@@ -150,11 +158,11 @@ def balanced_shards(
     for c in counts.orderBy("range", "shard").collect():  # ranges plus shards at most
         offsets.append((c["range"], c["shard"], seen.get(c["shard"], 0) - c["start"]))
         seen[c["shard"]] = seen.get(c["shard"], 0) + c["n"]
-    known = F.broadcast(docs.sparkSession.createDataFrame(offsets, "range int, shard int, offset bigint"))
+    known = _few_rows(docs.sparkSession, "range, shard, offset", offsets)
     return placed.join(known, ["range", "shard"]).select(
         F.col("id").alias(id_col),
         "size",
         F.col("crc").alias("text_crc32"),
-        "shard",
+        F.col("shard").cast("int").alias("shard"),
         (F.col("at") + F.col("offset")).alias("slot"),
     )
