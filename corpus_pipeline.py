@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vouch.llm.mixing import mix_documents
 from vouch.llm.near_dup import near_duplicates
 from vouch.llm.queries import MIX, label_domains, piece_model
-from vouch.llm.sentencepiece import decode, encode
+from vouch.llm.sentencepiece import encode
 from vouch.llm.spans import remove_repeated_spans
 from vouch.llm.toxicity import keep_clean, train
 from vouch.session import materialize
@@ -41,9 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their ids and whether decoding gives the text back."""
     model = piece_model(spark)
-    decoded = decode(encode(docs, model), model)
-    same = F.col("decoded").eqNullSafe(F.col("text"))
-    return decoded.withColumn("n_tokens", F.size("ids")).withColumn("round_trip", same).drop("decoded")
+    return encode(docs, model, check_col="round_trip").withColumn("n_tokens", F.size("ids"))
 
 
 STAGES = [

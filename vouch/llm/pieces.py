@@ -25,6 +25,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _NONE = -1
 _MEMO_BITS = 20
+_PART_BITS = 17
 
 
 def _powers(n: int) -> np.ndarray:
@@ -111,14 +112,37 @@ class PieceModel:
             self._prepare_merges(text_of)
         keys = np.array([self._hash(t) for t in self.number], np.uint64)
         numbers = np.array(list(self.number.values()), np.int64)
+        keys = keys * _MIX
         order = np.argsort(keys)
         self._keys, self._numbers = keys[order], numbers[order]
         if (self._keys[1:] == self._keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        # where the sorted keys of each leading part begin; the sentinel at the end matches nothing
+        leading = (self._keys >> np.uint64(64 - _PART_BITS)).astype(np.int64)
+        self._begin = np.searchsorted(leading, np.arange((1 << _PART_BITS) + 1)).astype(np.int32)
+        self._crowd = int(np.diff(self._begin).max(initial=0))
         codes = np.array([ord(text_of[n]) for n in range(len(single))], np.int64)
         by_code = np.argsort(codes)
         self._codes, self._code_numbers = codes[by_code], by_code
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, or ``_NONE``, by probing the sorted keys."""
+        h = (h * _MIX).reshape(-1)
+        part = (h >> np.uint64(64 - _PART_BITS)).astype(np.int64)
+        out = np.full(len(h), _NONE, np.int32)
+        begin, end = self._begin[part], self._begin[part + 1]
+        left = np.flatnonzero(begin < end)
+        begin, end, h = begin[left], end[left], h[left]
+        for _ in range(self._crowd):
+            hit = self._keys[begin] == h
+            out[left[hit]] = self._numbers[begin[hit]]
+            begin = begin + 1
+            more = ~hit & (begin < end)
+            if not more.any():
+                break
+            left, begin, end, h = left[more], begin[more], end[more], h[more]
+        return out
+
     @staticmethod
     def _hash(text: str) -> int:
         h = 0
@@ -222,10 +246,9 @@ class PieceModel:
         found = {1: letters}
         for length in range(2, min(size, self.longest) + 1):
             h = prefix[:, length:] - prefix[:, :-length] * self._power[length]
-            at = np.minimum(np.searchsorted(self._keys, h), len(self._keys) - 1)
-            found[length] = np.where(self._keys[at] == h, self._numbers[at], _NONE)
+            found[length] = self.find(h).reshape(h.shape)
         last = np.full((n, size + 1), _NONE, np.int64)
-        back = np.zeros((n, size + 1), np.int64)
+        back = np.zeros((n, size + 1), np.int32)
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
         for end in range(1, size + 1):
@@ -262,7 +285,7 @@ class Encoder:
     # A line break is a word of its own as no piece crosses it; a space belongs to what follows.
     _words = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
-    def __init__(self, model: PieceModel, most_words: int = 400_000, chunk: int = 20_000):
+    def __init__(self, model: PieceModel, most_words: int = 300_000, chunk: int = 20_000):
         self.model, self._most, self._chunk = model, most_words, chunk
         self._whole = any("\n" in p or SPACE in p.lstrip(SPACE) for p in model.number)
         self._forget()

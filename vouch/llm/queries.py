@@ -11,7 +11,7 @@ from vouch.llm.ann import approximate_top_k
 from vouch.llm.impact_search import exact_top_k
 from vouch.llm.mixing import copies, document_rates
 from vouch.llm.near_dup import near_duplicates
-from vouch.llm.sentencepiece import decode, encode, load_model
+from vouch.llm.sentencepiece import encode, load_model
 from vouch.llm.sharding import balanced_shards
 from vouch.llm.spans import remove_repeated_spans
 from vouch.llm.toxicity import score, train
@@ -49,13 +49,9 @@ def piece_model(spark: SparkSession, name: str = "piece_bpe_32k.model"):
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_model(spark)
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return decode(encoded, model).select(
-        "doc_id",
-        F.size("ids").alias("n_tokens"),
-        "ids",
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode(docs, model, check_col="round_trip")
+    return encoded.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 # --- 3: near duplicates -------------------------------------------------------------

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 
 from vouch.llm.pieces import Decoder, Encoder, PieceModel
 
-TEXTS_AT_ONCE = 256
-_CHARS_AT_ONCE = 4_000_000
+TEXTS_AT_ONCE = 1024
+_CHARS_AT_ONCE = 3_000_000
 
 
 def load_model(spark, path: str) -> PieceModel:
@@ -27,17 +27,20 @@ def _plan(docs: DataFrame, column: str, added: str, kind: str) -> tuple[DataFram
     return own, f"{schema}, added {kind}", docs.columns.index(column), [*docs.columns, added]
 
 
-def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, model: PieceModel, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None
+) -> DataFrame:
     """``docs`` and, as the last column, the ids of each whole text.
 
     Ids equal those of the ``sentencepiece`` library for the same model file; in a
     unigram model another path of the same total may be taken.  A null text has null ids, an empty one none.
-    Characters without a piece become their UTF-8 bytes if the model has byte pieces.
+    Characters without a piece become their UTF-8 bytes if the model has byte pieces.  With ``check_col`` a
+    column follows that tells whether decoding the ids gives the text back (nulls do).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
             start = 0
             while start < batch.num_rows:
@@ -51,10 +54,18 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", ids_col:
                 null = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()), mask=null)
                 part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "added"])
+                added = {"added": lists}
+                if check_col:
+                    same = [t is None or decoder(ids[a:b]) == t for t, a, b in zip(texts, offsets, offsets[1:], strict=False)]
+                    added["same"] = pa.array(same, pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *added.values()], names=[*part.schema.names, *added]
+                )
                 start += len(texts)
 
     own, schema, at, names = _plan(docs, text_col, ids_col, "array<int>")
+    if check_col:
+        schema, names = f"{schema}, same boolean", [*names, check_col]
     return own.mapInArrow(run, schema).toDF(*names)
 
 
