@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vouch.functions.text import let
 from vouch.session import materialize
 
 BINS = 32  # bins of each feature
@@ -33,7 +34,7 @@ def _measured(text: Column) -> tuple[Column, list[Column]]:
     text = F.coalesce(text, F.lit(""))
     words = F.col("_words")
     n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    count = F.when(F.trim(text) == "", F.lit(0)).otherwise(F.size(words)).cast("bigint")
+    count = F.when(F.get(words, F.lit(0)) == "", F.lit(0)).otherwise(F.size(words)).cast("bigint")
     shares = [
         n / 16384,
         F.greatest(count, F.lit(1)) / n,
@@ -65,8 +66,8 @@ class Classifier:
     prior: list[float]
     table: list[list[float]]
 
-    def posteriors(self) -> list[Column]:
-        """Of each domain, from the column ``bins``; they add up to 1."""
+    def posteriors(self) -> Column:
+        """An array with one value per domain, from the column ``bins``; they add up to 1."""
         scores = []
         for prior, table in zip(self.prior, self.table, strict=True):
             terms = F.lit(prior)
@@ -74,12 +75,9 @@ class Classifier:
             for f in range(len(table) // BINS):
                 terms = terms + F.get(values, F.get(F.col("bins"), F.lit(f)) + f * BINS)
             scores.append(terms)
-        top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        shares = [F.exp(s - top) for s in scores]
-        total = shares[0]
-        for s in shares[1:]:
-            total = total + s
-        return [s / total for s in shares]
+        shares = lambda s: F.transform(s, lambda v: F.exp(v - F.array_max(s)))
+        total = lambda p: F.aggregate(p, F.lit(0.0), lambda t, v: t + v)
+        return let(let(F.array(*scores), shares), lambda p: F.transform(p, lambda v: v / total(p)))
 
 
 def train_classifier(measured: DataFrame, labels: DataFrame, domains: list[str]) -> Classifier:
@@ -186,14 +184,14 @@ def fit_mix(
     return Mix(classifier, min_rate, target.tolist(), sums.tolist(), steps)
 
 
-def _fit(docs, labels, weights, id_col, text_col, min_rate):
+def _fit(rows, labels, weights, min_rate):
+    """From measured rows ``id, tokens, bins``: their posteriors, written, and the mix."""
     domains = sorted(weights)
     if not 1 <= len(domains) <= MOST_DOMAINS:
         raise ValueError(f"between 1 and {MOST_DOMAINS} domains")
-    rows = materialize(measure(docs, F.col(text_col), F.col(id_col).alias("id")), "measured")
     one = labels.where("id is not null and domain is not null").groupBy("id").agg(F.min("domain").alias("domain"))
     classifier = train_classifier(rows, one, domains)
-    parts = materialize(rows.select("id", "tokens", F.array(*classifier.posteriors()).alias("p")), "parts")
+    parts = materialize(rows.select("id", "tokens", classifier.posteriors().alias("p")), "parts")
     return parts, fit_mix(parts, classifier, weights, min_rate)
 
 
@@ -211,7 +209,8 @@ def document_rates(
     with the alphabetically first one, and ids or domains that are null or unknown to ``weights`` are no
     examples.  Null and empty texts have 0 tokens and don't count towards any total.
     """
-    parts, mix = _fit(docs, labels, weights, id_col, text_col, min_rate)
+    rows = materialize(measure(docs, F.col(text_col), F.col(id_col).alias("id")), "measured")
+    parts, mix = _fit(rows, labels, weights, min_rate)
     return parts.select(
         F.col("id").alias(id_col),
         "tokens",
@@ -240,12 +239,13 @@ def mix_documents(
     With ``min_rate`` 1 every row stays and scarce domains are repeated; rows equal in id
     and text get equal copies.
     """
-    _, mix = _fit(docs, labels, weights, id_col, text_col, min_rate)
     n = len(docs.columns)
     own = docs.toDF(*[f"c{i}" for i in range(n)])  # names may clash with those used here
-    key, text = F.col(f"c{docs.columns.index(id_col)}"), F.col(f"c{docs.columns.index(text_col)}")
-    rows = measure(own, text, *[F.col(f"c{i}") for i in range(n)])
-    rows = rows.withColumn("p", F.array(*mix.classifier.posteriors()))
-    rows = rows.withColumn("n", copies(mix.rate(F.col("p")), key, text))
-    out = rows.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return out.select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)
+    key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    # written with the texts, so that these are measured once
+    rows = materialize(measure(own, F.col(text), *[F.col(f"c{i}") for i in range(n)]), "measured")
+    _, mix = _fit(rows.select(F.col(key).alias("id"), "tokens", "bins"), labels, weights, min_rate)
+    number = let(let(mix.classifier.posteriors(), mix.rate), lambda rate: copies(rate, F.col(key), F.col(text)))
+    repeated = let(number, lambda c: F.when(c > 0, F.sequence(F.lit(1), c)).otherwise(F.array().cast("array<int>")))
+    out = rows.select(*[f"c{i}" for i in range(n)], F.explode(repeated).alias("copy")).drop("copy")
+    return out.toDF(*docs.columns)
