@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from vouch.llm.batches import bound_batches, values
 from vouch.llm.components import connected_components
 from vouch.llm.sketch import Shingler, band_keys, band_plan, overlap, sketch
 from vouch.session import materialize
@@ -18,8 +19,8 @@ BLOCK = 512  # members of a bucket on each side of one grid cell
 _WORDS_AT_ONCE = 400_000
 
 
-def _binary(column: pa.ChunkedArray | pa.Array) -> list:
-    return column.cast(pa.binary()).to_pylist()
+def _binary(column: pa.Array) -> Iterator:
+    return values(column.cast(pa.binary()))
 
 
 def _features(n: int, bands: int, rows: int):
@@ -221,6 +222,7 @@ def near_duplicates(
     such rows only has a null id.  Repeated rows are a class like any other.  ``kept`` is true where the id
     is the component's; of several rows with that id each is kept.  Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     bands, rows = band_plan(percent / 100, BINS)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "text_key", F.xxhash64("text")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vouch.llm.batches import bound_batches
 from vouch.llm.pieces import Decoder, Encoder, PieceModel
 
 TEXTS_AT_ONCE = 1024
@@ -37,6 +38,7 @@ def encode(
     Characters without a piece become their UTF-8 bytes if the model has byte pieces.  With ``check_col`` a
     column follows that tells whether decoding the ids gives the text back (nulls do).
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +77,7 @@ def decode(encoded: DataFrame, model: PieceModel, ids_col: str = "ids", text_col
     Encoding and decoding give a text back as it was, save that U+2581 in it becomes a space.
     Null lists have null texts; null ids in a list count as unknown.
     """
+    bound_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vouch.llm.batches import bound_batches
 from vouch.session import materialize
 
 # A sentence with the marks and white space that end it; all of them joined give the text.
@@ -134,6 +135,7 @@ def remove_repeated_spans(
     aggregate that keeps two ids of each; the second lists, per document, those that
     another document has first.
     """
+    bound_batches(docs.sparkSession)
     spans = Spans(min_sentences, min_words)
     at, n = docs.columns.index(text_col), len(docs.columns)
     # columns by position, as their names may be anything

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from vouch.llm.batches import bound_batches, values
 from vouch.llm.grams import GramHasher
 
 # Labelled rows of each class that the classifier is fitted on.
@@ -66,7 +67,7 @@ def _slot_rows(orders: tuple[int, ...], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = GramHasher(orders, bits)
         for batch in batches:
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(values(batch.column("text"))):
                 slots = hasher.slots(text).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("label").slice(i, 1), pa.array([slots.tobytes()], pa.binary())],
@@ -100,6 +101,7 @@ def train(
         .agg(F.max("label").alias("label"))
     )
     spark = docs.sparkSession
+    bound_batches(spark)
     picked = [
         row
         for label in (0, 1)
@@ -122,15 +124,15 @@ def train(
 
 
 class Scorer:
-    """Scores of texts, one list at a time."""
+    """Scores of the texts of a column."""
 
     def __init__(self, model: Model):
         self._hasher = GramHasher(model.orders, model.bits)
         self._ratio, self._product, self._bias = model.ratio, model.ratio * model.weight, model.bias
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def __call__(self, texts: pa.Array) -> np.ndarray:
         z = np.full(len(texts), self._bias)
-        for i, text in enumerate(texts):
+        for i, text in enumerate(values(texts)):
             slots = self._hasher.slots(text)
             if len(slots):
                 length = np.sqrt(np.square(self._ratio[slots], dtype=np.float64).sum()) + 1e-9
@@ -143,12 +145,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have no features and get the score of the bias.  Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits slots, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = scorer(batch.column("text").to_pylist())
+            scores = scorer(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores)], names=["id", "score"])
 
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
@@ -166,13 +169,14 @@ def keep_clean(
 
     Scores in the same pass: no join back, so repeated rows and rows without id keep their own verdict.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = scorer(batch.column(at).to_pylist())
+            scores = scorer(batch.column(at))
             yield batch.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from vouch.llm.batches import bound_batches
 from vouch.session import materialize
 
 # Fixed values of the formats.
@@ -217,6 +218,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
         if built:
             yield flush(built)
 
+    bound_batches(records.sparkSession)
     return materialize(records.mapInArrow(run, "path string, records bigint"), "archives")
 
 
