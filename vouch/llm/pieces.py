@@ -285,7 +285,7 @@ class Encoder:
     # A line break is a word of its own as no piece crosses it; a space belongs to what follows.
     _words = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
-    def __init__(self, model: PieceModel, most_words: int = 300_000, chunk: int = 20_000):
+    def __init__(self, model: PieceModel, most_words: int = 150_000, chunk: int = 20_000):
         self.model, self._most, self._chunk = model, most_words, chunk
         self._whole = any("\n" in p or SPACE in p.lstrip(SPACE) for p in model.number)
         self._forget()

@@ -12,7 +12,7 @@ from vouch.llm.batches import bound_batches
 from vouch.llm.pieces import Decoder, Encoder, PieceModel
 
 TEXTS_AT_ONCE = 1024
-_CHARS_AT_ONCE = 3_000_000
+_CHARS_AT_ONCE = 1_500_000
 
 
 def load_model(spark, path: str) -> PieceModel:

@@ -40,7 +40,7 @@ class Shingler:
     fewer than ``n`` words has its whole sequence as its only shingle, one without words none.
     """
 
-    def __init__(self, n: int, most_words: int = 250_000):
+    def __init__(self, n: int, most_words: int = 120_000):
         self.n, self._most, self._words = n, most_words, _Words()
 
     def __call__(self, text: bytes | None) -> np.ndarray:

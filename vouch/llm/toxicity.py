@@ -13,7 +13,7 @@ from vouch.llm.batches import bound_batches, values
 from vouch.llm.grams import GramHasher
 
 # Labelled rows of each class that the classifier is fitted on.
-SAMPLE_PER_CLASS = 1024
+SAMPLE_PER_CLASS = 768
 
 
 @dataclass(frozen=True)
