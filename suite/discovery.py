@@ -250,7 +250,7 @@ fields AS (
   FROM block b LEFT JOIN reviewer r USING (page_id) LEFT JOIN body t USING (page_id) LEFT JOIN longest l USING (page_id)
   LEFT JOIN dated d USING (page_id) LEFT JOIN answer a USING (page_id) LEFT JOIN marks m USING (page_id) LEFT JOIN numbers n USING (page_id)),
 assembled AS (
-  SELECT query_id || '::' || coalesce(source_id, 'gen_1') AS review_id, query_id AS place_id, 'Site ' || query_id AS place_name,
+  SELECT query_id || '::' || coalesce(source_id, 'gen_' || page_id || '_1') AS review_id, query_id AS place_id, 'Site ' || query_id AS place_name,
          text, rating, published_date, reviewer_name, owner_response, page_id
   FROM fields JOIN (SELECT page_id, regexp_extract(url, '/([a-z][a-z])/', 1) AS query_id FROM pages) USING (page_id)
   WHERE length(trim(text, {WS})) > 0)"""

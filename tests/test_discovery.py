@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from vouch.operators.extract import assemble_reviews, block_fields, cap_reviews
+from vouch.operators.extract import assemble_reviews, block_fields, cap_reviews, page_candidates
 from vouch.operators.listings import first_listings, match_listings
 
 
@@ -13,24 +13,25 @@ def key(text):
     return re.sub(r"[^a-z0-9]", "", text.lower())
 
 
-def choose(target, listings):
-    """Position of the listing of one target."""
-    _, place_id, name, url = target
-    base = url.split("?")[0].rstrip("/")
-    for _, pos, _, href in listings:
-        if (base and href.split("?")[0].rstrip("/") == base) or (place_id and place_id in href):
-            return pos
-    best, best_score = None, 0
-    for _, pos, label, _ in listings:
-        a, b = key(name), key(label.split(",")[0])
-        score = 0
-        for size in (12, 10, 8):
-            if size <= min(len(a), len(b)) and (a[:size] in b or b[:size] in a):
-                score = size
-                break
-        if score > best_score:
-            best, best_score = pos, score
-    return best if best_score else listings[0][1]
+def plain_url(text):
+    return text.split("?")[0].rstrip("/")
+
+
+def place_of(listing, target):
+    """How well a listing fits, smaller is better: (tier, -length of the common start, position).
+
+    Tier 0: same link, or the id is in the link.  Tier 1: the first 12, 10 or 8 characters of one name are in
+    the other.  Tier 2: neither.
+    """
+    (_, pos, label, href), (_, place_id, name, url) = listing, target
+    linked = plain_url(url) not in ("", None) and plain_url(href) == plain_url(url)
+    if linked or place_id and place_id in href:
+        return (0, 0, pos)
+    names = key(name), key(label.split(",")[0])
+    common = [
+        n for n in (8, 10, 12) if n <= min(map(len, names)) and any(x[:n] in y for x, y in (names, names[::-1]))
+    ]
+    return (1, -max(common), pos) if common else (2, 0, pos)
 
 
 def test_match_equals_plain_rules(spark):
@@ -50,7 +51,9 @@ def test_match_equals_plain_rules(spark):
         spark.createDataFrame(listings, "query_id string, pos int, label string, href string"),
     )
     got = {(r.query_id, r.place_id): r.pos for r in found.collect()}
-    wanted = {(t[0], t[1]): choose(t, [x for x in listings if x[0] == t[0]]) for t in targets}
+    wanted = {
+        (t[0], t[1]): min(place_of(x, t) for x in listings if x[0] == t[0])[2] for t in targets
+    }
     assert got == wanted
 
 
@@ -112,9 +115,22 @@ def test_assembly_and_cap(spark):
     places = spark.createDataFrame([(1, "p", "P")], "page_id int, place_id string, name string")
     rows = assemble_reviews(fields, places)
     ids = lambda n, by: [r.review_id for r in cap_reviews(rows, n, by).orderBy("rank").collect()]
-    assert ids(9, "relevant") == ["p::s0", "p::gen_2", "p::s4"]
-    assert ids(2, "highest_rating") == ["p::gen_2", "p::s0"]
-    assert ids(2, "lowest_rating") == ["p::s0", "p::gen_2"]
+    assert ids(9, "relevant") == ["p::s0", "p::gen_1_2", "p::s4"]
+    assert ids(2, "highest_rating") == ["p::gen_1_2", "p::s0"]
+    assert ids(2, "lowest_rating") == ["p::s0", "p::gen_1_2"]
     assert [r.text for r in cap_reviews(rows, 1, "relevant").collect()] == ["t0"]
     stamped = rows.withColumn("scraped_at", F.when(F.col("review_id") == "p::s4", "2").otherwise("1"))
     assert cap_reviews(stamped, 1, "newest").first().review_id == "p::s4"
+
+
+def test_reviews_of_several_blocks_and_pages(spark):
+    html = "".join(f"<li><p>text {i} of it</p><i>{a}</i></li>" for i, a in enumerate(["2 months ago", "a day ago", "soon"]))
+    pages = spark.createDataFrame([(1, html), (2, html), (3, "<p>none</p>")], "page_id int, html string")
+    places = spark.createDataFrame([(n, "p", "P") for n in (1, 2, 3)], "page_id int, place_id string, name string")
+    found = page_candidates(
+        pages, [("text", 0, "<p>([^<]*)</p>"), ("date", 0, "<i>([^<]*)</i>")], block="<li>.*?</li>"
+    )
+    rows = assemble_reviews(block_fields(found), places)
+    assert {r.review_id for r in rows.collect()} == {f"p::gen_{p}_{b}" for p in (1, 2) for b in (1, 2, 3)}
+    newest = [r.text for r in cap_reviews(rows, 4).orderBy("rank").collect()]
+    assert newest == ["text 1 of it"] * 2 + ["text 0 of it"] * 2

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from vouch.operators import bm25
+from vouch.operators import bm25, phrase_index
 from vouch.operators.queries import query_table, with_variants
 from vouch.operators.ranking import best_places, evidence, of_places
 from vouch.plans.indexing import build_index, index_reviews
@@ -103,11 +103,11 @@ def reviews_of(spark, rows):
 
 
 PHRASED = [
-    ("1", "p", "P", "Ortho-k here, orthok there"),
-    ("2", "p", "P", "ORTHO K"),
-    ("3", "q", "Q", "unortho keen"),
-    ("4", "q", "Q2", "co-ortho k"),
-    ("5", "r", "R", "wait... what?! orthokeratology"),
+    ("1", "p", "P", "Aqua-k here, aquak there"),
+    ("2", "p", "P", "AQUA K"),
+    ("3", "q", "Q", "unaqua keen"),
+    ("4", "q", "Q2", "co-aqua k"),
+    ("5", "r", "R", "wait... what?! aquakeratology"),
     ("6", "r", "R", "50% sure"),
     ("7", "s", "S", "plain"),
 ]
@@ -115,7 +115,7 @@ PHRASED = [
 
 @pytest.mark.parametrize(
     "asked",
-    [["ortho k"], [("ortho k", ["orthok", "orthokeratology"])], ["...", "?!"], ["what?!", "50%", "a", "-"], ["zzz"], ["tho ke", "o k", "re, ortho"]],
+    [["aqua k"], [("aqua k", ["aquak", "aquakeratology"])], ["...", "?!"], ["what?!", "50%", "a", "-"], ["zzz"], ["qua ke", "o k", "re, aqua"]],
 )
 def test_phrases_by_index_equal_a_scan(spark, asked):
     reviews, queries = reviews_of(spark, PHRASED), with_variants(query_table(spark, asked))
@@ -135,6 +135,30 @@ def test_phrases_by_index_equal_a_scan(spark, asked):
     assert sorted(map(tuple, automaton.collect())) == wanted
 
 
+def test_hits_come_from_the_reviews_and_not_from_an_older_index(spark):
+    older = build_index(reviews_of(spark, PHRASED[:1]))
+    reviews, queries = reviews_of(spark, PHRASED), with_variants(query_table(spark, ["aqua k"]))
+    ids = lambda how: sorted(
+        r.review_id for r in touched(reviews, queries, older, bm25_top_n=0, match=how).collect()
+    )
+    assert ids("index") == ids("scan") == ids("auto") and len(ids("scan")) > 1
+
+
+def test_phrases_without_letters_are_found_in_every_number(spark, monkeypatch):
+    monkeypatch.setattr(phrase_index, "SMALL_ROWS", 4)  # two of them in a block
+    signs = ["...", "?!", "%", "-", "#", "*", "$", "!!"]
+    reviews, queries = reviews_of(spark, PHRASED), with_variants(query_table(spark, signs))
+    found = lambda how: sorted(
+        (r.qid, r.review_id) for r in touched(reviews, queries, None, match=how).collect()
+    )
+    assert found("index") == found("scan") and len(found("scan")) >= 4
+
+
+def test_nothing_to_look_for(spark):
+    queries = with_variants(query_table(spark, ["x"])).withColumn("variants", F.array().cast("array<string>"))
+    assert touched(reviews_of(spark, PHRASED), queries, None, match="automaton").collect() == []
+
+
 def test_samples(spark):
     store = TableStore(spark, new_path(spark, "store"), shards=2)
     load_samples(store, F.lit("s"))
@@ -235,7 +259,7 @@ def test_scan_in_blocks_of_queries(spark, monkeypatch):
     from vouch.plans import recommend as plans
 
     reviews = reviews_of(spark, PHRASED)
-    queries = with_variants(query_table(spark, ["ortho k", "orthok", "a", "what?!", "50%"]))
+    queries = with_variants(query_table(spark, ["aqua k", "aquak", "a", "what?!", "50%"]))
     index = build_index(reviews)
     whole = sorted(map(str, touched(reviews, queries, index, match="scan").collect()))
     monkeypatch.setattr(plans, "SMALL_ROWS", 4)

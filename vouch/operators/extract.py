@@ -24,10 +24,13 @@ SPANS = "span"
 BLOCK = ["page_id", "block_pos"]
 
 
-def page_candidates(pages: DataFrame, selectors: list[tuple[str, int, str]]) -> DataFrame:
-    """Candidates of stored HTML, one block per page.
+def page_candidates(
+    pages: DataFrame, selectors: list[tuple[str, int, str]], block: str | None = None
+) -> DataFrame:
+    """Candidates of stored HTML.
 
     ``selectors`` are (field, rank, pattern); group 1 of the pattern is the text.
+    ``block`` is the pattern of one review's part of a page; without it a page is one block.
     """
     lists = F.array(
         *[
@@ -39,8 +42,13 @@ def page_candidates(pages: DataFrame, selectors: list[tuple[str, int, str]]) ->
             for name, rank, pattern in selectors
         ]
     )
+    if block is None:
+        parts = pages.select("page_id", F.lit(0).alias("block_pos"), "html")
+    else:
+        found = F.regexp_extract_all("html", F.lit(f"(?s){block}"), 0)
+        parts = pages.select("page_id", F.posexplode(found).alias("block_pos", "html"))
     return (
-        pages.select("page_id", F.lit(0).alias("block_pos"), F.inline(lists))
+        parts.select("page_id", "block_pos", F.inline(lists))
         .select("*", F.posexplode("texts").alias("pos", "text"))
         .select(*BLOCK, "field", "selector_rank", "pos", "text")
     )
@@ -107,9 +115,10 @@ def assemble_reviews(fields: DataFrame, places: DataFrame) -> DataFrame:
     """Review rows of the blocks of each place's page; blocks without text are dropped.
 
     ``places(page_id, place_id, name)``.  A block without an id of its own gets one from
-    its position.
+    its page and position.
     """
-    source = F.coalesce("source_id", F.concat(F.lit("gen_"), (F.col("block_pos") + 1).cast("string")))
+    spot = F.concat_ws("_", F.lit("gen"), F.col("page_id"), F.col("block_pos") + 1)
+    source = F.coalesce("source_id", spot)
     return (
         fields.filter(~is_blank(F.col("text")))
         .join(places.select("page_id", "place_id", F.col("name").alias("place_name")), "page_id")
@@ -127,13 +136,33 @@ def assemble_reviews(fields: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
+def age_in_days(date: Column) -> Column:
+    """Days of ``3 months ago``, ``a week ago`` and the like; NULL for anything else."""
+    low = F.lower(date)
+    shape = r"(\d+|an?) (minute|hour|day|week|month|year)s? ago"
+    count = F.regexp_extract(low, shape, 1)
+    number = F.when(count.isin("a", "an"), F.lit(1)).otherwise(count.try_cast("int"))
+    unit = F.regexp_extract(low, shape, 2)
+    days = {"minute": 1 / 1440, "hour": 1 / 24, "day": 1.0, "week": 7.0, "month": 30.0, "year": 365.0}
+    size = F.lit(None).cast("double")
+    for name, length in days.items():
+        size = F.when(unit == name, F.lit(length)).otherwise(size)
+    return number * size
+
+
 def cap_reviews(
     reviews: DataFrame, max_reviews: int = 100, sort_by: str = "newest", newest: str = "scraped_at"
 ) -> DataFrame:
-    """At most ``max_reviews`` per place, each source review once, in the order asked for."""
+    """At most ``max_reviews`` per place, each source review once, in the order asked for.
+
+    The newest reviews are those with the latest ``newest``, where there is such a column, then those whose
+    date tells the smallest age.
+    """
+    stamp = [F.desc(newest)] if newest in reviews.columns else []
+    age = [F.asc_nulls_last(age_in_days(F.col("published_date")))] if "published_date" in reviews.columns else []
     orders = {
         "relevant": [],
-        "newest": [F.desc(newest)] if newest in reviews.columns else [],
+        "newest": stamp + age,
         "highest_rating": [F.desc_nulls_last("rating")],
         "lowest_rating": [F.asc_nulls_last("rating")],
     }

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vouch.functions.text import TOKEN
 from vouch.operators.bm25 import Index
 from vouch.operators.exact import COPY_PREFIX, TOUCHED, has_variant
-from vouch.session import materialize, small_rows
+from vouch.session import SMALL_ROWS, materialize, small_rows
 from vouch.sources.tables import keyed_join
 
 _EDGE = r"[\p{L}\p{N}]"
@@ -119,11 +119,14 @@ def touched_by_index(index: Index, reviews: DataFrame, queries: DataFrame) -> Da
     )
     # a phrase without letters or digits has no word to look up
     wordless = anchors(queries).filter(F.col("piece").isNull()).select("variant")
-    rows = small_rows(wordless)
-    if rows:
-        signs = F.array(*[F.lit(row["variant"]) for row in rows])
-        scanned = texts.select(
-            "*", F.explode(F.filter(signs, lambda v: has_variant(F.lower("text"), v))).alias("variant")
+    wordless = materialize(wordless, "wordless")
+    count = wordless.count()
+    blocks = -(-count // (SMALL_ROWS // 2))  # each a constant of bounded length in the tasks of a scan
+    for number in range(blocks):
+        block = wordless.filter(F.pmod(F.xxhash64("variant"), F.lit(blocks)) == number)
+        signs = block.agg(F.collect_list("variant")).scalar()
+        scanned = texts.withColumn("signs", signs).select(
+            "*", F.explode(F.filter(F.col("signs"), lambda v: has_variant(F.lower("text"), v))).alias("variant")
         )
         confirmed = confirmed.select("variant", "review_id", "place_id", "place_name", "text").unionByName(
             scanned.select("variant", "review_id", "place_id", "place_name", "text")

@@ -59,24 +59,25 @@ def touched(
 
     ``match`` says how phrases are found, all with the same result: ``scan`` compares
     each text with each phrase, ``automaton`` looks for many phrases in one pass, and
-    ``index`` looks up words of the phrases in the index, for query tables that are too
-    large for the driver or phrases known to be rare.
+    ``index`` looks up words of the phrases in an index of these reviews, for query tables
+    that are too large for the driver.  Hits come from the reviews given in every way.
     """
     hits = None if index is None else ranked_hits(index, asked, bm25_top_n)
     if match == "auto":
         match = _way_to_match(asked, wildcards)
+    if match == "automaton":
+        pairs = small_rows(asked.select("qid", "variants"))
+        # too many for the driver, or nothing to look for
+        if pairs is None or not any(row["variants"] for row in pairs):
+            match = "scan"
     if match == "scan":
         blocks = [touched_reviews(reviews, block, hits, wildcards) for block in _blocks(asked)]
         return materialize(reduce(DataFrame.unionByName, blocks), "touched")
     if match == "automaton":
-        pairs = small_rows(asked.select("qid", "variants"))
-        if pairs is None:
-            raise ValueError("too many queries for the driver: match them by index")
         rows = touched_by_automaton(reviews, pairs, asked.schema["qid"].dataType)
     elif match == "index":
-        plain = index is not None and not index.stop and index.vocab is None
-        words = index if plain else build(corpus(reviews))
-        rows = touched_by_index(words, reviews, asked)
+        # from the reviews given: a saved index may be older than they are
+        rows = touched_by_index(build(corpus(reviews)), reviews, asked)
     else:
         raise ValueError(f"unknown way to match {match!r}")
     if hits is not None:

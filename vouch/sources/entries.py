@@ -12,8 +12,14 @@ from vouch.functions.text import let, or_null, strip
 REVIEW_LISTS = ("user_reviews_extended", "UserReviewsExtended", "user_reviews", "UserReviews")
 
 
+def _last_key_wins(df: DataFrame) -> None:
+    """A repeated key in a JSON object keeps its last value, whoever made the session."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def entries_from_lines(lines: DataFrame) -> DataFrame:
     """Entries from a ``seq, line`` table; blank, broken and non-object lines are skipped."""
+    _last_key_wins(lines)
     objects = lines.select("seq", strip(F.col("line")).alias("line")).filter(
         F.col("line").startswith("{")
     )
@@ -26,6 +32,7 @@ def entries_from_documents(documents: DataFrame) -> DataFrame:
     A file that is one JSON list gives its objects, one that is a JSON object gives
     itself; any other file is read line by line.
     """
+    _last_key_wins(documents)
     values = documents.select(
         "seq", "body", F.explode_outer(strict_parse(strip(F.col("body")))).alias("doc")
     )
