@@ -18,7 +18,7 @@ from suite.views import (
 )
 from vouch.functions.json import is_object, pick
 from vouch.operators.status import place_ids
-from vouch.operators.upsert import latest, not_stored, upsert, upsert_counts
+from vouch.operators.upsert import latest, not_stored, upsert_counts
 from vouch.plans import ingest
 from vouch.schemas import PLACES, REVIEWS, conform
 from vouch.session import materialize, new_path
@@ -233,8 +233,9 @@ def _(spark, sf):
 
 
 _ENTRY_PLACES = with_views(
-    """SELECT DISTINCT o.seq, p.place_id, p.name, p.address, p.rating, p.review_count, p.maps_url, p.category
-       FROM occ o JOIN places_v p ON o.place_id = p.place_id""",
+    """SELECT DISTINCT o.seq, o.place_id, coalesce(p.name, '') AS name, coalesce(p.address, '') AS address, p.rating,
+              p.review_count, coalesce(p.maps_url, '') AS maps_url, coalesce(p.category, '') AS category
+       FROM occ o LEFT JOIN places_v p ON o.place_id = p.place_id""",
     ENTRIES,
 )
 
@@ -378,9 +379,7 @@ updates AS (
 def _(spark, sf):
     store = TableStore(spark, new_path(spark, "store"))
     store.commit("reviews", reviews_v(spark, sf))
-    store.commit(
-        "reviews", upsert(store.read("reviews"), review_updates_v(spark, sf), "review_id", "seq")
-    )
+    store.upsert("reviews", materialize(latest(review_updates_v(spark, sf), "review_id", "seq"), "updates"))
     return store.read("reviews").drop("shard")
 
 
@@ -429,8 +428,7 @@ def customer_places(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark, sf):
     store = TableStore(spark, new_path(spark, "store"))
     store.commit("places", customer_places(spark, sf))
-    updates = places_v(spark, sf).withColumn("seq", F.lit(0))
-    store.commit("places", upsert(store.read("places"), updates, "place_id", "seq"))
+    store.upsert("places", materialize(places_v(spark, sf), "updates"))
     return store.read("places").drop("shard")
 
 
@@ -481,10 +479,34 @@ def _(spark, sf):
 
 @query(
     "q1_import_places",
-    with_views("SELECT * FROM places_v WHERE place_id IN (SELECT place_id FROM occ)", ENTRIES),
+    with_views(
+        f"""SELECT o.place_id, coalesce(p.name, '') AS name, coalesce(p.address, '') AS address, p.rating, p.review_count,
+                  coalesce(p.maps_url, '') AS maps_url, coalesce(p.category, '') AS category, '{STAMP}' AS scraped_at
+           FROM (SELECT DISTINCT place_id FROM occ) o LEFT JOIN places_v p ON o.place_id = p.place_id""",
+        ENTRIES,
+    ),
 )
 def _(spark, sf):
     entries = raw_entries(spark, sf)
     none = places_v(spark, sf).limit(0), conform(reviews_v(spark, sf), REVIEWS).limit(0)
     places, _, _ = ingest.import_entries(entries, *none, F.lit(STAMP))
     return places
+
+
+@query(
+    "q6_import_and_index",
+    with_views(
+        r"""SELECT term, doc_id, count(*) AS tf FROM (
+             SELECT review_id AS doc_id, unnest(regexp_extract_all(lower(concat_ws(' | ', nullif(place_name, ''),
+                      'rating ' || rating || '/5', nullif(published_date, ''), text,
+                      'owner response: ' || nullif(owner_response, ''))), '[\p{L}\p{N}]+')) AS term
+             FROM imported) GROUP BY ALL""",
+        ENTRIES,
+        _FIRST_IN_ENTRY,
+        _LAST_ENTRY,
+    ),
+)
+def _(spark, sf):
+    store = TableStore(spark, new_path(spark, "store"))
+    _, index = ingest.import_and_index(store, raw_entries(spark, sf), new_path(spark, "index"), F.lit(STAMP))
+    return index.postings.filter(F.col("term") != "").select("term", "doc_id", "tf")

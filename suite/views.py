@@ -129,7 +129,8 @@ def entry_lines(spark: SparkSession, sf: str) -> DataFrame:
         _nested(labelled, _SNAKE).alias("snake_extended"),
         _nested(basic, _SNAKE).alias("snake_basic"),
     )
-    entries = nested.join(places_v(spark, sf), "place_id")
+    # an entry of an unknown place has its id and its reviews only
+    entries = nested.join(places_v(spark, sf), "place_id", "left")
     snake = F.to_json(
         F.struct(
             F.col("name").alias("title"),
@@ -166,9 +167,9 @@ def entry_lines(spark: SparkSession, sf: str) -> DataFrame:
 # The same as flat rows: one per occurrence of a review in a list of an entry.
 ENTRIES = f"""
 occ AS (
-  SELECT r.*, r.doc_id // {PART} AS part, p.name AS entry_name,
+  SELECT r.*, r.doc_id // {PART} AS part, coalesce(p.name, '') AS entry_name,
          (r.doc_id // {PART}) * 1000000 + cast(r.place_id AS bigint) AS seq
-  FROM reviews_v r JOIN places_v p ON r.place_id = p.place_id),
+  FROM reviews_v r LEFT JOIN places_v p ON r.place_id = p.place_id),
 items AS (
   SELECT *, CASE WHEN cast(place_id AS bigint) % 2 = 0 THEN 0 ELSE 1 END AS list_no,
          row_number() OVER (PARTITION BY seq ORDER BY doc_id) - 1 AS pos

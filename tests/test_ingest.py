@@ -1,12 +1,13 @@
 """Reading result files, import and upsert."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from vouch.operators.upsert import upsert, upsert_counts
 from vouch.plans.ingest import first_in_entry, import_and_index, import_entries, import_into, import_stats
-from vouch.schemas import PLACES, REVIEWS, empty
+from vouch.schemas import PLACES, REVIEWS, conform, empty
 from vouch.session import new_path
 from vouch.sources.entries import entries_from_lines, entry_places, entry_reviews, load_entries
 from vouch.sources.listings import load_queries, places_from_pages, variant_list
@@ -133,6 +134,49 @@ def test_store_and_index(spark):
     assert "PartitionFilters: [isnotnull(shard" in store.lookup("reviews", key)._jdf.queryExecution().toString()
 
 
+def test_upsert_touches_only_its_shards(spark):
+    store = TableStore(spark, new_path(spark, "store"), shards=16)
+    rows = lambda *names: conform(
+        spark.createDataFrame([(n, "new" if len(names) < 9 else "old") for n in names], "place_id string, name string"), PLACES
+    )
+    old = store.commit("places", rows(*[f"p{i}" for i in range(200)]))
+    new = store.upsert("places", rows("p7", "extra"))
+    before, after = set(old.inputFiles()), set(new.inputFiles())
+    touched = {path.split("/shard=")[1].split("/")[0] for path in after - before}
+    assert len(touched) <= 2 and len(before & after) == len(before) - len(touched)
+    values = {r.place_id: r.name for r in new.collect()}
+    assert len(values) == new.count() == 201 and old.count() == 200
+    assert {k for k, v in values.items() if v == "new"} == {"p7", "extra"}
+    assert store.upsert("places", rows()).count() == 201 and len(store.snapshots("places")) == 2
+    store.expire("places")
+    assert len(store.snapshots("places")) == 1 and store.read("places").count() == 201
+    assert store.commit("places", store.read("places")).count() == 201
+
+
+def test_shards_grow_with_the_files(spark, monkeypatch):
+    from vouch.sources import tables
+
+    store = TableStore(spark, new_path(spark, "store"))
+    few = store.commit("places", spark.range(50).select(F.col("id").alias("place_id")))
+    assert tables.shard_count(few) == tables.LEAST_SHARDS
+    monkeypatch.setattr(tables, "SHARD_BYTES", 1000)
+    more = store.commit("places", few)
+    assert tables.shard_count(more) > tables.LEAST_SHARDS and more.count() == 50
+    # an upsert keeps the number of its table
+    assert tables.shard_count(store.upsert("places", few.limit(1))) == tables.shard_count(more)
+
+
+def test_refresh_takes_the_newer_file(spark, tmp_path):
+    store = TableStore(spark, new_path(spark, "store"), shards=2)
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    for name, title, age in (("b", "older", 100), ("a", "newer", 50)):
+        (drop / f"{name}.json").write_text(json.dumps({"place_id": "p", "title": title}) + "\n")
+        os.utime(drop / f"{name}.json", (1_700_000_000 - age,) * 2)
+    assert refresh(store, str(drop), str(tmp_path / "state")).awaitTermination(120)
+    assert [r.name for r in store.read("places").collect()] == ["newer"]
+
+
 def test_refresh_reads_each_file_once(spark, tmp_path):
     store = TableStore(spark, new_path(spark, "store"), shards=2)
     drop, state = tmp_path / "drop", str(tmp_path / "state")

@@ -8,7 +8,7 @@ from vouch.functions.ids import UNKNOWN_PLACE
 from vouch.operators.bm25 import Index
 from vouch.operators.upsert import latest, replace_rows
 from vouch.plans.indexing import index_reviews
-from vouch.schemas import KEYS, PLACES, REVIEWS, conform, now_utc
+from vouch.schemas import PLACES, REVIEWS, conform, now_utc
 from vouch.session import materialize
 from vouch.sources.entries import entry_places, entry_reviews, parsed_entries
 from vouch.sources.tables import TableStore
@@ -90,9 +90,9 @@ def import_into(store: TableStore, entries: DataFrame, scraped_at: Column | None
     """
     parsed = materialize(parsed_entries(entries), "parsed")
     for name, rows in zip(("places", "reviews"), fresh_rows(parsed, scraped_at)):
-        # written first, as the rows are used twice and their number decides the join
+        # written first, as the rows are used twice and their size decides the join
         fresh = materialize(rows, f"fresh-{name}")
-        store.commit(name, replace_rows(store.read(name), fresh, KEYS[name]))
+        store.upsert(name, fresh)
     return import_stats(parsed)
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from vouch.operators.upsert import upsert
-from vouch.schemas import KEYS, PLACES, REVIEWS, conform
+from vouch.schemas import PLACES, REVIEWS, conform
 from vouch.sources.samples import sample_places, sample_reviews
 from vouch.sources.tables import TableStore
 
@@ -29,5 +28,4 @@ def sample_tables(
 def load_samples(store: TableStore, scraped_at: Column | None = None) -> None:
     """Upsert the sample data into the store."""
     for name, rows in zip(("places", "reviews"), sample_tables(store.spark, scraped_at)):
-        updates = rows.withColumn("seq", F.lit(0))
-        store.commit(name, upsert(store.read(name), updates, KEYS[name], "seq"))
+        store.upsert(name, rows)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from vouch.operators.upsert import replace_rows
 from vouch.schemas import KEYS, SCHEMAS, conform, empty
 
+SHARD_BYTES = 1 << 30
+LEAST_SHARDS = 8
+
+# one row per shard folder of a snapshot, so at most as many as there are shards
+FOLDERS = "commit string, shard int"
+
 
 def shard_of(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
@@ -16,34 +24,43 @@ def shard_of(key: Column, shards: int) -> Column:
 
 @dataclass(frozen=True)
 class TableStore:
-    """``places`` and ``reviews`` below ``root``, each commit a new snapshot folder.
+    """``places`` and ``reviews`` below ``root``.
 
-    Rows are spread over ``shards`` folders by a hash of their key and sorted by key
-    inside, so that a join from a few keys reads only their folders (dynamic partition
-    pruning) and only the pages holding them.  Choose ``shards`` so that one holds
-    about 1 GB.  A reader keeps its snapshot while a writer commits the next one.
+    Rows are spread over shards by a hash of their key and sorted by key inside, so that a
+    join from a few keys reads only their folders (dynamic partition pruning) and only the
+    pages holding them.  A snapshot is a list of shard folders: an upsert writes the
+    shards of its keys anew and takes the other folders over as they are.  A reader keeps
+    its snapshot while a writer commits the next one.
+
+    ``shards`` is the number for a new table or a full commit; None derives it from the
+    size of the files that the rows come from, about 1 GB each.
     """
 
     spark: SparkSession
     root: str
-    shards: int = 8
+    shards: int | None = None
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def _files(self):
+        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _children(self, folder: str) -> list[str]:
+        files, path = self._files(), self._path(folder)
+        if not files.exists(path):
+            return []
+        return sorted(status.getPath().toString() for status in files.listStatus(path))
 
     def snapshots(self, name: str) -> list[str]:
         """Finished snapshots, oldest first."""
-        folder = self._path(name)
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return []
-        paths = [status.getPath() for status in files.listStatus(folder)]
-        done = [
-            path.toString()
-            for path in paths
-            if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
-        ]
-        return sorted(done)
+        files = self._files()
+        lists = self._children(f"{self.root}/{name}/snapshots")
+        return [path for path in lists if files.exists(self._path(f"{path}/_SUCCESS"))]
+
+    def _folders(self, snapshot: str) -> list[tuple[str, int]]:
+        rows = self.spark.read.schema(FOLDERS).parquet(snapshot).collect()
+        return [(row["commit"], row["shard"]) for row in rows]
 
     def read(self, name: str) -> DataFrame:
         """The newest snapshot; an empty table when there is none."""
@@ -51,17 +68,76 @@ class TableStore:
         if not existing:
             return empty(self.spark, SCHEMAS[name])
         schema = StructType([*SCHEMAS[name].fields, StructField("shard", IntegerType())])
-        table = self.spark.read.schema(schema).parquet(existing[-1])
+        data = f"{self.root}/{name}/data"
+        paths = [f"{data}/commit={c}/shard={s}" for c, s in self._folders(existing[-1])]
+        if paths:
+            table = self.spark.read.schema(schema).option("basePath", data).parquet(*paths)
+        else:
+            table = empty(self.spark, schema)
+        table = table.select(*schema.fieldNames())
         return table.withMetadata("shard", {"shards": _shards_in(existing[-1])})
 
-    def commit(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` as the newest snapshot and return it."""
-        existing = self.snapshots(name)
-        number = int(existing[-1].rsplit("/", 1)[1].split("-")[1]) + 1 if existing else 1
-        target = f"{self.root}/{name}/snapshot-{number:08d}-shards-{self.shards}"
-        write_sharded(conform(df, SCHEMAS[name]), KEYS[name], self.shards, target)
+    def _write(
+        self, name: str, df: DataFrame, shards: int, others: list[tuple[str, int]]
+    ) -> DataFrame:
+        commit = uuid.uuid4().hex
+        target = f"{self.root}/{name}/data/commit={commit}"
+        write_sharded(df, KEYS[name], shards, target)
+        written = [path.rsplit("=", 1)[1] for path in self._children(target) if "/shard=" in path]
+        folders = [*others, *[(commit, int(shard)) for shard in written]]
+        every = self._children(f"{self.root}/{name}/snapshots")
+        number = int(every[-1].rsplit("/", 1)[1].split("-")[1]) + 1 if every else 1
+        snapshot = f"{self.root}/{name}/snapshots/snapshot-{number:08d}-shards-{shards}"
+        # the list comes last: a commit that fails before it leaves the table as it was
+        self.spark.createDataFrame(folders, FOLDERS).coalesce(1).write.parquet(snapshot)
         return self.read(name)
 
+    def commit(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` as the whole table and return it; also the way to change ``shards``."""
+        return self._write(name, conform(df, SCHEMAS[name]), self.shards or self._fitting(df), [])
+
+    def upsert(self, name: str, fresh: DataFrame) -> DataFrame:
+        """Replace or add the rows ``fresh``, one per key, and return the table.
+
+        Reads and writes only the shards of their keys.  ``fresh`` is evaluated twice: give a
+        written table.
+        """
+        table, key = self.read(name), KEYS[name]
+        shards = shard_count(table)
+        if not shards:
+            return self.commit(name, fresh)
+        rows = conform(fresh, SCHEMAS[name])
+        touched = {
+            row["shard"] for row in rows.select(shard_of(F.col(key), shards).alias("shard")).distinct().collect()
+        }
+        if not touched:
+            return table
+        others = [(c, s) for c, s in self._folders(self.snapshots(name)[-1]) if s not in touched]
+        stored = table.filter(F.col("shard").isin(sorted(touched)))
+        return self._write(name, replace_rows(stored, rows, key), shards, others)
+
+    def _fitting(self, df: DataFrame) -> int:
+        conf = self.spark._jsc.hadoopConfiguration()
+        # the files of a table lie in a few folders, or are a folder's only ones
+        folders = [self._path(path) for path in {path.rsplit("/", 1)[0] for path in df.inputFiles()}]
+        size = sum(path.getFileSystem(conf).getContentSummary(path).getLength() for path in folders)
+        return max(LEAST_SHARDS, -(-size // SHARD_BYTES))
+
+    def expire(self, name: str, keep: int = 1) -> None:
+        """Delete all but the newest ``keep`` snapshots, and the shards only they hold.
+
+        Call it when no reader uses them any more.
+        """
+        if keep < 1:
+            raise ValueError("keep must be at least 1")
+        files, existing = self._files(), self.snapshots(name)
+        used = {folder for path in existing[-keep:] for folder in self._folders(path)}
+        old = {folder for path in existing[:-keep] for folder in self._folders(path)}
+        for path in existing[:-keep]:
+            files.delete(self._path(path), True)
+        for commit, shard in old - used:
+            files.delete(self._path(f"{self.root}/{name}/data/commit={commit}/shard={shard}"), True)
+
     def lookup(self, name: str, key: str) -> DataFrame:
         """The row with this key, if any; reads one shard."""
         column = KEYS[name]

@@ -23,12 +23,18 @@ def refresh(store: TableStore, folder: str, checkpoint: str, files_per_batch: in
         store.spark.readStream.format("text")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
+        .select(
+            "value",
+            F.col("_metadata.file_modification_time").alias("modified"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+        )
     )
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.select(
-            F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line")
-        )
+        # of equal keys the newer file counts, however the files were packed into tasks
+        seq = F.struct("modified", "file", "block", F.monotonically_increasing_id().alias("row"))
+        numbered = batch.select(seq.alias("seq"), F.col("value").alias("line"))
         import_into(store, entries_from_lines(numbered))
 
     return (
