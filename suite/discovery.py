@@ -209,55 +209,60 @@ def _(spark, sf):
     return not_stored(found, known_places(spark, sf), "place_id").select("query_id", "place_id")
 
 
-# Field candidates of stored pages: (field, rank, pattern).
+# A review's part of a stored page, and its field candidates: (field, rank, pattern).
+BLOCK = "<(?:p|li|h1|footer)>.*?</(?:p|li|h1|footer)>"
 SELECTORS = [
-    ("name", 0, "<h2>([^<]*)</h2>"),
-    ("name", 1, "<h1>([^<]*)</h1>"),
-    ("name", 2, "<title>([^<]*)</title>"),
-    ("text", 0, "<blockquote>([^<]*)</blockquote>"),
-    ("text", 1, "<p>([^<]{0,60})</p>"),
-    ("span", 0, "<p>([^<]*)</p>"),
-    ("date", 0, "<!-- ([^>]*) -->"),
-    ("response", 0, "<footer>([^<]*)</footer>"),
-    ("rating", 0, r"track(\([0-9]+\))"),
-    ("source_id", 0, r"track\(([0-9]+)\)"),
+    ("name", 0, "<h1>([^<]*)</h1>"),
+    ("name", 1, "<b>([^<]*)<br>"),
+    ("name", 2, '<a href="/([^"]*)">'),
+    ("text", 0, "<br><p>([^<]*)</p>"),
+    ("text", 1, "<footer>([^<]*)</footer>"),
+    ("span", 0, ">([^<]+)<"),
+    ("date", 0, "&copy; ([^&]*) &middot;"),
+    ("response", 0, "&middot; ([^<]*)<"),
+    ("rating", 0, "([0-9]+)"),
+    ("source_id", 0, "([0-9]{3,})"),
 ]
 
 _LISTED = " UNION ALL ".join(
-    f"SELECT page_id, 0 AS block_pos, '{field}' AS field, {rank} AS selector_rank, "
+    f"SELECT page_id, block_pos, '{field}' AS field, {rank} AS selector_rank, "
     f"unnest(range(len(regexp_extract_all(html, '{pattern}', 1)))) AS pos, "
-    f"unnest(regexp_extract_all(html, '{pattern}', 1)) AS text FROM pages"
+    f"unnest(regexp_extract_all(html, '{pattern}', 1)) AS text FROM blocks"
     for field, rank, pattern in SELECTORS
 )
 
 FIELDS = f"""
+blocks AS (SELECT page_id, unnest(range(len(found))) AS block_pos, unnest(found) AS html FROM (
+  SELECT page_id, regexp_extract_all(html, '(?s){BLOCK}', 0) AS found FROM pages)),
 candidate_strings AS ({_LISTED}),
 cleaned AS (SELECT page_id, block_pos, field, selector_rank, pos, trim(text, {WS}) AS text FROM candidate_strings),
 firsts AS (SELECT * FROM cleaned WHERE field = 'span' OR pos = 0),
 block AS (SELECT DISTINCT page_id, block_pos FROM firsts),
-reviewer AS (SELECT page_id, arg_min(text, selector_rank) AS v FROM firsts
-  WHERE field = 'name' AND length(text) BETWEEN 1 AND 119 AND NOT regexp_matches(text, '^[0-9]') GROUP BY 1),
-body AS (SELECT page_id, arg_min(text, selector_rank) AS v FROM firsts WHERE field = 'text' AND length(text) > 2 GROUP BY 1),
-longest AS (SELECT page_id, arg_max(text, length(text) * 1000 - pos) AS v FROM firsts
-  WHERE field = 'span' AND pos < 40 AND length(text) > 15 AND NOT regexp_matches(lower(text), 'photo|local guide|reviews|star|more') GROUP BY 1),
-dated AS (SELECT page_id, arg_min(text, selector_rank) AS v FROM firsts WHERE field = 'date' AND length(text) BETWEEN 1 AND 79 GROUP BY 1),
-answer AS (SELECT page_id, arg_min(text, selector_rank) AS v FROM firsts WHERE field = 'response' AND length(text) > 0 GROUP BY 1),
-marks AS (SELECT page_id, cast(regexp_extract(text, '([0-9]+)', 1) AS integer) AS v FROM firsts WHERE field = 'rating'),
-numbers AS (SELECT page_id, text AS v FROM firsts WHERE field = 'source_id'),
+reviewer AS (SELECT page_id, block_pos, arg_min(text, selector_rank) AS v FROM firsts
+  WHERE field = 'name' AND length(text) BETWEEN 1 AND 119 AND NOT regexp_matches(text, '^[0-9]') GROUP BY 1, 2),
+body AS (SELECT page_id, block_pos, arg_min(text, selector_rank) AS v FROM firsts WHERE field = 'text' AND length(text) > 2 GROUP BY 1, 2),
+longest AS (SELECT page_id, block_pos, arg_max(text, length(text) * 1000 - pos) AS v FROM firsts
+  WHERE field = 'span' AND pos < 40 AND length(text) > 15 AND NOT regexp_matches(lower(text), 'photo|local guide|reviews|star|more') GROUP BY 1, 2),
+dated AS (SELECT page_id, block_pos, arg_min(text, selector_rank) AS v FROM firsts WHERE field = 'date' AND length(text) BETWEEN 1 AND 79 GROUP BY 1, 2),
+answer AS (SELECT page_id, block_pos, arg_min(text, selector_rank) AS v FROM firsts WHERE field = 'response' AND length(text) > 0 GROUP BY 1, 2),
+marks AS (SELECT page_id, block_pos, try_cast(regexp_extract(text, '([0-9]+)', 1) AS integer) AS v FROM firsts WHERE field = 'rating'),
+numbers AS (SELECT page_id, block_pos, text AS v FROM firsts WHERE field = 'source_id'),
 fields AS (
   SELECT b.page_id, b.block_pos, coalesce(r.v, '') AS reviewer_name, coalesce(t.v, l.v, '') AS text, coalesce(d.v, '') AS published_date,
          a.v AS owner_response, m.v AS rating, n.v AS source_id
-  FROM block b LEFT JOIN reviewer r USING (page_id) LEFT JOIN body t USING (page_id) LEFT JOIN longest l USING (page_id)
-  LEFT JOIN dated d USING (page_id) LEFT JOIN answer a USING (page_id) LEFT JOIN marks m USING (page_id) LEFT JOIN numbers n USING (page_id)),
+  FROM block b LEFT JOIN reviewer r USING (page_id, block_pos) LEFT JOIN body t USING (page_id, block_pos)
+  LEFT JOIN longest l USING (page_id, block_pos) LEFT JOIN dated d USING (page_id, block_pos) LEFT JOIN answer a USING (page_id, block_pos)
+  LEFT JOIN marks m USING (page_id, block_pos) LEFT JOIN numbers n USING (page_id, block_pos)),
 assembled AS (
-  SELECT query_id || '::' || coalesce(source_id, 'gen_' || page_id || '_1') AS review_id, query_id AS place_id, 'Site ' || query_id AS place_name,
-         text, rating, published_date, reviewer_name, owner_response, page_id
+  SELECT query_id || '::' || coalesce(source_id, 'gen_' || page_id || '_' || (block_pos + 1)) AS review_id, query_id AS place_id,
+         'Site ' || query_id AS place_name, text, rating, published_date, reviewer_name, owner_response, page_id, block_pos
   FROM fields JOIN (SELECT page_id, regexp_extract(url, '/([a-z][a-z])/', 1) AS query_id FROM pages) USING (page_id)
-  WHERE length(trim(text, {WS})) > 0)"""
+  WHERE length(trim(text, {WS})) > 0),
+once AS (SELECT * FROM assembled QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY page_id, block_pos) = 1)"""
 
 
 def candidates_v(spark: SparkSession, sf: str) -> DataFrame:
-    return page_candidates(table(spark, sf, "pages"), SELECTORS)
+    return page_candidates(table(spark, sf, "pages"), SELECTORS, BLOCK)
 
 
 def sites_v(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,14 +295,14 @@ for _name, _column in (
     _field(_name, _column)
 
 
-@query("x6_assembled_reviews", f"WITH {FIELDS} SELECT * EXCLUDE (page_id) FROM assembled")
+@query("x6_assembled_reviews", f"WITH {FIELDS} SELECT * EXCLUDE (page_id, block_pos) FROM assembled")
 def _(spark, sf):
     return assemble_reviews(block_fields(candidates_v(spark, sf)), sites_v(spark, sf)).drop("pos")
 
 
 def _capped(order: str, limit: int) -> str:
     return f"""WITH {FIELDS} SELECT review_id, place_id, text, rating, rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY {order} page_id) AS rank FROM assembled)
+      SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY {order} page_id, block_pos) AS rank FROM once)
       WHERE rank <= {limit}"""
 
 
@@ -313,10 +318,18 @@ def _(spark, sf):
     return cap_reviews(rows, 50, "relevant").select("review_id", "place_id", "text", "rating", "rank")
 
 
+@query("w7_capped_newest", _capped("length(text) % 12,", 40))
+def _(spark, sf):
+    rows = assemble_reviews(block_fields(candidates_v(spark, sf)), sites_v(spark, sf))
+    age = F.concat((F.length("text") % 12).cast("string"), F.lit(" months ago"))
+    dated = rows.withColumn("published_date", age)
+    return cap_reviews(dated, 40, "newest").select("review_id", "place_id", "text", "rating", "rank")
+
+
 @query(
     "q9_extract_reviews",
-    f"""WITH {FIELDS} SELECT * EXCLUDE (page_id, rank), '{STAMP}' AS scraped_at FROM (
-      SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY page_id) AS rank FROM assembled) WHERE rank <= 50""",
+    f"""WITH {FIELDS} SELECT * EXCLUDE (page_id, block_pos, rank), '{STAMP}' AS scraped_at FROM (
+      SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY page_id, block_pos) AS rank FROM once) WHERE rank <= 50""",
 )
 def _(spark, sf):
     return extract_reviews(
@@ -328,7 +341,7 @@ def _(spark, sf):
     "a9_discovery_stats",
     f"""WITH {LISTINGS}, {_FIRST}, {_KNOWN}, {_NEW}, {FIELDS}
         SELECT (SELECT count(*) FROM fresh) AS places_scraped,
-               (SELECT sum(least(n, 50)) FROM (SELECT count(*) AS n FROM assembled GROUP BY place_id))::bigint AS reviews_added""",
+               (SELECT sum(least(n, 50)) FROM (SELECT count(*) AS n FROM once GROUP BY place_id))::bigint AS reviews_added""",
 )
 def _(spark, sf):
     fresh = new_places(
