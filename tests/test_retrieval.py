@@ -72,6 +72,8 @@ def test_salted_join_gives_the_same_scores(spark, monkeypatch):
     direct = sorted(map(tuple, bm25.scores(index, asked).collect()))
     monkeypatch.setattr(bm25, "small_rows", lambda df: None)
     assert sorted(map(tuple, bm25.scores(index, asked).collect())) == direct
+    monkeypatch.setattr(bm25, "SMALL_BYTES", 0)
+    assert sorted(map(tuple, bm25.scores(index, asked).collect())) == direct
 
 
 def test_top_hits_are_nested_and_ties_ordered(spark):
@@ -240,11 +242,19 @@ def plan(df):
 def test_plans(spark):
     store = TableStore(spark, new_path(spark, "store"), shards=4)
     load_samples(store, F.lit("s"))
-    index = index_reviews(store.read("reviews"), new_path(spark, "index"))
+    index_path = new_path(spark, "index")
+    index = index_reviews(store.read("reviews"), index_path, buckets=3)
     asked = query_table(spark, ["keyboard repair"])
     top = plan(bm25.top_hits(index, asked))
     assert "PushedFilters: [IsNotNull(term), Not(EqualTo(term,)), In(term, [keyboard,repair])" in top
     assert top.count("WindowGroupLimit") >= 2 and "BroadcastHashJoin" in top
+    # scores are added up and cut within the buckets: documents never move
+    bm25.top_hits(index, asked).collect()
+    executed = bm25.top_hits(index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in executed and "hashpartitioning(qid" in executed
+    assert not re.search(r"hashpartitioning\([^)]*doc_id", executed)
+    again = bm25.load(spark, index_path)
+    assert again.buckets == index.buckets and again.postings.count() == index.postings.count()
     hits = spark.createDataFrame([("x", 1)], "review_id string, rank int").filter("rank <= 3")
     assert "dynamicpruning" in plan(keyed_join(hits, store.read("reviews"), "review_id"))
     from vouch.operators.exact import touched_reviews, variant_hits

@@ -14,13 +14,14 @@ sums added up in another order differ in the last bits.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from vouch.functions.text import tokenize
-from vouch.session import small_rows
+from vouch.session import SMALL_BYTES, file_bytes, materialize, small_rows
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 6
@@ -28,6 +29,8 @@ SCORE_DIGITS = 6
 POSTINGS = "term string, doc_id string, tf bigint, dl int"
 TERMS = "term string, df bigint"
 STATS = "n_docs bigint, avgdl double"
+# kept beside the statistics of a saved index
+LAYOUT = f"{STATS}, buckets int"
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,7 @@ class Index:
     stats: DataFrame
     stop: tuple[str, ...] = ()
     vocab: DataFrame | None = None
+    buckets: int | None = None
 
     @property
     def docs(self) -> DataFrame:
@@ -49,7 +53,9 @@ def canonical(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return mapped.withColumn("term", F.coalesce("canonical", "term")).drop("canonical")
 
 
-def count_terms(corpus: DataFrame, stop=None, vocab: DataFrame | None = None) -> DataFrame:
+def count_terms(
+    corpus: DataFrame, stop=None, vocab: DataFrame | None = None, buckets: int | None = None
+) -> DataFrame:
     """The postings of ``corpus(id, contents)``, all of a document in one partition.
 
     The documents are spread by id before their words become rows, so that counting the
@@ -58,7 +64,7 @@ def count_terms(corpus: DataFrame, stop=None, vocab: DataFrame | None = None) ->
     """
     docs = (
         corpus.select(F.col("id").cast("string").alias("doc_id"), "contents")
-        .repartition("doc_id")
+        .repartition(*([buckets] if buckets else []), "doc_id")
         .select("doc_id", tokenize(F.col("contents"), stop).alias("tokens"))
         .withColumn("dl", F.size("tokens"))
     )
@@ -74,45 +80,72 @@ def count_terms(corpus: DataFrame, stop=None, vocab: DataFrame | None = None) ->
     return counted.select("term", "doc_id", "tf", "dl")
 
 
-def index_of(postings: DataFrame, stop=None, vocab: DataFrame | None = None) -> Index:
+def index_of(
+    postings: DataFrame, stop=None, vocab: DataFrame | None = None, buckets: int | None = None
+) -> Index:
     terms = (
         postings.filter(F.col("term") != "").groupBy("term").agg(F.count("*").alias("df"))
     )
     stats = postings.filter(F.col("term") == "").agg(
         F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")
     )
-    return Index(postings, terms, stats, tuple(stop or ()), vocab)
+    return Index(postings, terms, stats, tuple(stop or ()), vocab, buckets)
 
 
-def build(corpus: DataFrame, stop=None, vocab: DataFrame | None = None) -> Index:
+def build(
+    corpus: DataFrame, stop=None, vocab: DataFrame | None = None, buckets: int | None = None
+) -> Index:
     """An index that is computed when used."""
-    return index_of(count_terms(corpus, stop, vocab), stop, vocab)
+    return index_of(count_terms(corpus, stop, vocab, buckets), stop, vocab, buckets)
+
+
+def _postings_table(path: str, buckets: int) -> str:
+    """Name of the saved postings in the session's catalog."""
+    return f"postings_{hashlib.md5(path.encode()).hexdigest()}_{buckets}"
 
 
 def save(index: Index, path: str) -> Index:
     """Write the index below ``path``.
 
-    Each file holds the postings of its own documents, sorted by term.  A reader skips to
-    the pages of the terms it wants in every file; the documents of a frequent term are
-    spread evenly over all files, and the terms of a document meet in one file, where
-    their scores are added up before any shuffle.
+    The postings are bucketed by document and sorted by term.  A reader skips to the pages
+    of the terms it wants in every bucket; the documents of a frequent term are spread
+    evenly over all buckets, and as the planner knows that the terms of a document meet in
+    one bucket, scores are added up and cut to the best ones without a shuffle.
+
+    The number of buckets is that of the index, else the shuffle partitions; a bucket
+    of about 1 GB is a good size.
     """
     spark = index.postings.sparkSession
-    index.postings.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    buckets = index.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        index.postings.write.bucketBy(buckets, "doc_id")
+        .sortBy("term", "doc_id")
+        .option("path", f"{path}/postings")
+        .saveAsTable(_postings_table(path, buckets))
+    )
     written = index_of(spark.read.schema(POSTINGS).parquet(f"{path}/postings"))
     written.terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    written.stats.write.parquet(f"{path}/stats")
+    written.stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
     return load(spark, path, index.stop, index.vocab)
 
 
 def load(spark: SparkSession, path: str, stop=None, vocab: DataFrame | None = None) -> Index:
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    stats = read("stats", LAYOUT)
+    buckets = stats.first()["buckets"]
+    name = _postings_table(path, buckets)
+    location = f"{path}/postings".replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({POSTINGS}) USING parquet CLUSTERED BY (doc_id)"
+        f" SORTED BY (term, doc_id) INTO {buckets} BUCKETS LOCATION '{location}'"
+    )
     return Index(
-        read("postings", POSTINGS),
+        spark.table(name),
         read("terms", TERMS),
-        read("stats", STATS),
+        stats.select("n_docs", "avgdl"),
         tuple(stop or ()),
         vocab,
+        buckets,
     )
 
 
@@ -137,9 +170,9 @@ def scores(
 ) -> DataFrame:
     """``qid, doc_id, score`` of every document that holds a query term.
 
-    Query terms up to a fixed number are listed in the scan filter and broadcast.
-    Beyond it they are joined by shuffle, each term cut into ``salts`` parts so that
-    no task gets all the documents of a frequent one.
+    Query terms up to a fixed number are listed in the scan filter.  More of them are written
+    and broadcast up to a fixed size.  Beyond it they are joined by shuffle, each term cut into
+    ``salts`` parts so that no task gets all the documents of a frequent one.
     """
     wanted = query_terms(queries, index.stop, index.vocab)
     rows = small_rows(wanted)
@@ -155,7 +188,11 @@ def scores(
     weighted = wanted.join(terms, "term").select(
         "qid", "term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
-    if rows is not None:
+    small = rows is not None
+    if not small:
+        weighted = materialize(weighted, "terms")
+        small = file_bytes(weighted) <= SMALL_BYTES
+    if small:
         matched = postings.join(F.broadcast(weighted), "term")
     else:
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
@@ -175,5 +212,3 @@ def top_hits(
     order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     scored = scores(index, queries, k1, b)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
-
-

@@ -8,16 +8,22 @@ from vouch.operators import bm25
 from vouch.operators.corpus import corpus
 
 
-def build_index(reviews: DataFrame, stop=None, vocab: DataFrame | None = None) -> bm25.Index:
+def build_index(
+    reviews: DataFrame, stop=None, vocab: DataFrame | None = None, buckets: int | None = None
+) -> bm25.Index:
     """Index of the reviews, computed when used."""
-    return bm25.build(corpus(reviews), stop, vocab)
+    return bm25.build(corpus(reviews), stop, vocab, buckets)
 
 
 def index_reviews(
-    reviews: DataFrame, path: str, stop=None, vocab: DataFrame | None = None
+    reviews: DataFrame,
+    path: str,
+    stop=None,
+    vocab: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> bm25.Index:
     """Index of the reviews written below ``path``; fails when there is nothing to index."""
-    index = bm25.save(build_index(reviews, stop, vocab), path)
+    index = bm25.save(build_index(reviews, stop, vocab, buckets), path)
     if index.stats.filter(F.col("n_docs") > 0).isEmpty():
         raise RuntimeError("no reviews with text to index")
     return index

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Rows that may be collected to the driver or hinted for broadcast.  Every
 # broadcast hint in this package is preceded by a check against this bound.
 SMALL_ROWS = 20_000
-
+# The same for written tables of any number of rows: bytes of their files.
+SMALL_BYTES = 32 << 20
 
 
 def session(app: str = "vouch", **conf: str) -> SparkSession:
@@ -56,3 +57,11 @@ def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
     """The rows of ``df`` if there are at most ``limit`` of them, else None."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Bytes in the folders of the files that ``df`` is read from."""
+    spark = df.sparkSession
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    folders = [path(folder) for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}]
+    return sum(f.getFileSystem(conf).getContentSummary(f).getLength() for f in folders)

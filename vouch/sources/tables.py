@@ -10,6 +10,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from vouch.operators.upsert import replace_rows
 from vouch.schemas import KEYS, SCHEMAS, conform, empty
+from vouch.session import file_bytes
 
 SHARD_BYTES = 1 << 30
 LEAST_SHARDS = 8
@@ -94,7 +95,8 @@ class TableStore:
 
     def commit(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` as the whole table and return it; also the way to change ``shards``."""
-        return self._write(name, conform(df, SCHEMAS[name]), self.shards or self._fitting(df), [])
+        shards = self.shards or max(LEAST_SHARDS, -(-file_bytes(df) // SHARD_BYTES))
+        return self._write(name, conform(df, SCHEMAS[name]), shards, [])
 
     def upsert(self, name: str, fresh: DataFrame) -> DataFrame:
         """Replace or add the rows ``fresh``, one per key, and return the table.
@@ -116,13 +118,6 @@ class TableStore:
         stored = table.filter(F.col("shard").isin(sorted(touched)))
         return self._write(name, replace_rows(stored, rows, key), shards, others)
 
-    def _fitting(self, df: DataFrame) -> int:
-        conf = self.spark._jsc.hadoopConfiguration()
-        # the files of a table lie in a few folders, or are a folder's only ones
-        folders = [self._path(path) for path in {path.rsplit("/", 1)[0] for path in df.inputFiles()}]
-        size = sum(path.getFileSystem(conf).getContentSummary(path).getLength() for path in folders)
-        return max(LEAST_SHARDS, -(-size // SHARD_BYTES))
-
     def expire(self, name: str, keep: int = 1) -> None:
         """Delete all but the newest ``keep`` snapshots, and the shards only they hold.
 
