@@ -410,3 +410,22 @@ def _(spark, sf):
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("review_id"))))
     listed = hits.groupBy("qid", "place_id").agg(order.alias("hits"))
     return listed.select("qid", "place_id", F.array_join(F.col("hits.review_id"), ",").alias("reviews"))
+
+
+@query(
+    "b7_many_words",
+    with_views(
+        """SELECT qid, doc_id, score, rank FROM (
+             SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (
+               SELECT length(term) % 4 AS qid, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2
+                        / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+               FROM postings JOIN terms USING (term) JOIN docs USING (doc_id), stats GROUP BY ALL))
+           WHERE rank <= 20""",
+        INDEX,
+    ),
+)
+def _(spark, sf):
+    # every word of the corpus is a query word, too many for the scan filter
+    index = saved_index(spark, sf)
+    words = index.terms.select((F.length("term") % 4).alias("qid"), F.col("term").alias("query"))
+    return bm25.top_hits(index, words, 20)
