@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from vouch.operators.upsert import upsert, upsert_counts
@@ -134,6 +135,18 @@ def test_store_and_index(spark):
     assert "PartitionFilters: [isnotnull(shard" in store.lookup("reviews", key)._jdf.queryExecution().toString()
 
 
+def test_whole_files_are_read_once_and_long_broken_lists_raise(spark, tmp_path, monkeypatch):
+    from vouch.sources import entries
+
+    (tmp_path / "a.json").write_text('[{"title":"a"}, {"title":"b"}')
+    read = entry_places(load_entries(spark, str(tmp_path), "auto"))
+    assert read.count() == 0
+    assert read._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    monkeypatch.setattr(entries, "LARGE_LIST", 10)
+    with pytest.raises(Exception, match="one object per line"):
+        entry_places(load_entries(spark, str(tmp_path), "auto")).collect()
+
+
 def test_upsert_touches_only_its_shards(spark):
     store = TableStore(spark, new_path(spark, "store"), shards=16)
     rows = lambda *names: conform(

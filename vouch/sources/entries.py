@@ -12,6 +12,11 @@ from vouch.functions.text import let, or_null, strip
 REVIEW_LISTS = ("user_reviews_extended", "UserReviewsExtended", "user_reviews", "UserReviews")
 
 
+# A JSON list of this many characters that cannot be parsed as a whole is reported, as the
+# engine's limit of 128 MB for one value may be the cause.
+LARGE_LIST = 64 << 20
+
+
 def _last_key_wins(df: DataFrame) -> None:
     """A repeated key in a JSON object keeps its last value, whoever made the session."""
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -30,36 +35,32 @@ def entries_from_documents(documents: DataFrame) -> DataFrame:
     """Entries from a ``seq, body`` table of whole files.
 
     A file that is one JSON list gives its objects, one that is a JSON object gives
-    itself; any other file is read line by line.
+    itself; any other file is read line by line.  A long list that cannot be parsed raises.
     """
     _last_key_wins(documents)
     values = documents.select(
         "seq", "body", F.explode_outer(strict_parse(strip(F.col("body")))).alias("doc")
     )
-    parsed = values.withColumn("kind", F.schema_of_variant("doc"))
-    parsed = parsed.withColumn(
-        "kind",
-        F.when(F.col("kind").startswith("ARRAY"), "list")
-        .when(F.col("kind").startswith("OBJECT"), "object")
-        .otherwise("lines"),
-    )
-    items = F.col("doc").try_cast("array<variant>")
-    from_list = (
-        parsed.filter(F.col("kind") == "list")
-        .select("seq", F.posexplode(items).alias("pos", "entry"))
-        .filter(is_object(F.col("entry")))
-    )
-    single = parsed.filter(F.col("kind") == "object").select(
-        "seq", F.lit(0).alias("pos"), F.col("doc").alias("entry")
-    )
-    lines = parsed.filter(F.col("kind") == "lines").select(
-        "seq", F.posexplode(F.split("body", r"\R")).alias("pos", "line")
+    kind = F.schema_of_variant("doc")
+    line = lambda text: F.when(text.startswith("{"), F.get(strict_parse(text), F.lit(0)))
+    lines = F.transform(F.split("body", r"\R"), lambda text: line(strip(text)))
+    too_large = F.lit("a JSON list is broken or too large to be read as one value: give one object per line")
+    # every file as a list, so that one pass and one explode serve all kinds
+    listed = values.select(
+        "seq",
+        F.when(kind.startswith("ARRAY"), F.col("doc"))
+        .when(kind.startswith("OBJECT"), F.to_variant_object(F.array("doc")))
+        .when((F.length("body") > LARGE_LIST) & strip(F.col("body")).startswith("["), F.raise_error(too_large))
+        .otherwise(F.to_variant_object(lines))
+        .alias("items"),
     )
-    by_line = entries_from_lines(lines.select(F.struct("seq", "pos").alias("seq"), "line")).select(
-        F.col("seq.seq").alias("seq"), F.col("seq.pos").alias("pos"), "entry"
+    # yields the elements one by one, where a cast would build an array of them all
+    items = listed.sparkSession.tvf.variant_explode(F.col("items").outer())
+    return (
+        listed.lateralJoin(items)
+        .filter(is_object(F.col("value")))
+        .select(F.struct("seq", "pos").alias("seq"), F.col("value").alias("entry"))
     )
-    every = from_list.unionByName(single).unionByName(by_line)
-    return every.select(F.struct("seq", "pos").alias("seq"), "entry")
 
 
 def load_entries(spark: SparkSession, path: str | list[str], format: str = "auto") -> DataFrame:
