@@ -100,3 +100,18 @@ def test_nearest_neighbours_recall(spark):
 def test_nearest_neighbours_without_rows(spark):
     df = frame(spark, [])
     assert approximate_top_k(df, F.col("vec_id") % 20 == 0, k=3).collect() == []
+
+
+def test_nearest_neighbours_of_many_copies_are_the_smallest_ids(spark):
+    rng = np.random.default_rng(7)
+    hot = [0.5, -0.25, 0.125]
+    data = [(i, hot if i % 3 == 0 else [float(c) for c in rng.integers(-8, 9, 3) / 8]) for i in range(900)]
+    data += [(40, [0.25, 0.25, 0.25]), (40, hot), (60, hot), (3, hot)]  # ids repeated
+    found = approximate_top_k(frame(spark, data), F.col("vec_id") % 20 == 0, k=7, reach=100).collect()
+    copies = sorted(i for i, v in data if v == hot)
+    for q in (60, 120, 300, 600, 840):
+        mine = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        better = sorted((-float(np.dot(hot, v)), i) for i, v in data if i != q)[:7]
+        assert [(-r.score, r.vec_id) for r in mine] == better
+    assert len({(r.query_id, r.rank) for r in found}) == len(found) == 45 * 7
+    assert copies[0] == 0 and all(r.vec_id != 40 for r in found if r.query_id == 40)

@@ -93,9 +93,9 @@ def _keys(longest: dict[int, float], curves: int):
     return run
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, rough: np.ndarray):
+def nearest(ids: np.ndarray, x: np.ndarray, barred: np.ndarray, q: np.ndarray, k: int, rough: np.ndarray):
     """Positions and scores of the best ``k``; ``rough`` scores only choose what is scored again, row by row."""
-    fine = np.flatnonzero(ids != query_id)
+    fine = np.flatnonzero(~barred)
     if len(fine) > k:
         edge = np.partition(rough[fine], len(fine) - k)[len(fine) - k]
         fine = fine[rough[fine] >= edge - 1e-9 * (1 + abs(edge))]
@@ -107,13 +107,17 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int
 def _windows(k: int, reach: int):
     def run(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy(zero_copy_only=False)
-        at, ids, rows = (table.column(c).to_numpy() for c in ("at", "vec_id", "row"))
+        at, rows = (table.column(c).to_numpy() for c in ("at", "row"))
+        least = table.column("least").to_numpy()
+        second, barred = (table.column(c).combine_chunks() for c in ("second", "barred"))
+        lone, free = (c.is_null().to_numpy(zero_copy_only=False) for c in (second, barred))
+        second, out_id = (c.fill_null(0).to_numpy() for c in (second, barred))
         x = table.column("v").combine_chunks()
         x = x.values.slice(x.offsets[0].as_py(), x.offsets[len(x)].as_py() - x.offsets[0].as_py())
         x = x.to_numpy().reshape(len(at), -1)
         order = np.argsort(at, kind="stable")
         cand, ask = order[~query[order]], order[query[order]]
-        out = [[], [], [], [], []]
+        out = [[], [], [], [], [], []]
         places = at[cand]
         for start in range(0, len(ask), 64):
             some = ask[start : start + 64]
@@ -124,20 +128,59 @@ def _windows(k: int, reach: int):
             rough[np.abs(at[some][:, None] - at[near][None, :]) > reach] = -np.inf
             for i, j in enumerate(some):
                 inside = np.flatnonzero(rough[i] > -np.inf)
-                found, scores = nearest(ids[near[inside]], slab[inside], ids[j], x[j], k, rough[i][inside])
-                hit = near[inside[found]]
+                these = near[inside]
+                own = (least[these] == out_id[j]) & ~free[j]
+                ids = np.where(own, second[these], least[these])
+                found, scores = nearest(ids, slab[inside], own & lone[these], x[j], k, rough[i][inside])
+                hit = these[found]
                 out[0].append(np.full(len(hit), rows[j]))
-                out[1].append(np.full(len(hit), ids[j]))
-                out[2].append(rows[hit])
-                out[3].append(ids[hit])
-                out[4].append(scores)
-        names = ["query_row", "query_id", "row", "vec_id", "score"]
-        types = [np.int64] * 4 + [np.float64]
+                out[1].append(np.full(len(hit), out_id[j]))
+                out[2].append(np.full(len(hit), free[j]))
+                out[3].append(rows[hit])
+                out[4].append(ids[found])
+                out[5].append(scores)
+        names = ["query_row", "barred", "free", "row", "first_id", "score"]
+        types = [np.int64, np.int64, np.bool_, np.int64, np.int64, np.float64]
         return pa.table({n: np.concatenate([np.zeros(0, t), *o]).astype(t) for n, t, o in zip(names, types, out, strict=True)})
 
     return run
 
 
+def _distinct(own: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct vectors, the rows that stand for each, and the queries.
+
+    A vector's number is the ``row`` of its first member by id.  Members are as many as any query can need: its ``k + 1``
+    smallest ids, of each ``k`` rows.  A query whose id has several vectors bars that id (``barred``); all others
+    of one vector share one search.  Vectors are the same if their 128-bit hashes are.
+    """
+    same = ["dims", "h1", "h2"]
+    rows = own.select("row", "vec_id", *same)
+    copy = F.row_number().over(Window.partitionBy(*same, "vec_id").orderBy("row"))
+    place = F.dense_rank().over(Window.partitionBy(*same).orderBy("vec_id"))
+    members = rows.withColumn("copy", copy).where(F.col("copy") <= k).withColumn("place", place)
+    members = materialize(members.where(F.col("place") <= k + 1), "members")
+    first = (F.col("place") == 1) & (F.col("copy") == 1)
+    # one row per vector: at most k (k + 1) members of each are read
+    stands = members.groupBy(*same).agg(
+        F.min(F.when(first, F.col("row"))).alias("rep"),
+        F.min("vec_id").alias("least"),
+        F.min(F.when(F.col("place") == 2, F.col("vec_id"))).alias("second"),
+    )
+    stands = materialize(stands, "stands")
+    members = members.join(stands.select(*same, "rep"), same).select("rep", "vec_id", "row")
+    once = F.row_number().over(Window.partitionBy("vec_id").orderBy("row"))
+    asked = own.where("asked").select("vec_id", "row", *same)
+    several = asked.groupBy("vec_id").agg((F.min(F.struct(*same)) != F.max(F.struct(*same))).alias("several"))
+    queries = asked.withColumn("n", once).where("n = 1").join(several, "vec_id").join(stands.select(*same, "rep"), same)
+    queries = materialize(
+        queries.select(F.col("vec_id").alias("query_id"), "rep", F.when(F.col("several"), F.col("vec_id")).alias("barred")),
+        "queries",
+    )
+    reps = stands.select(F.col("rep").alias("row"), "least", "second").join(own.select("row", "dims", "v"), "row")
+    reps = reps.join(queries.select(F.col("rep").alias("row"), F.lit(True).alias("asked")).distinct(), "row", "left")
+    return materialize(reps.withColumn("asked", F.coalesce("asked", F.lit(False))), "reps"), members, queries
+
+
 def approximate_top_k(
     vectors: DataFrame,
     is_query,
@@ -149,17 +192,17 @@ def approximate_top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: near rows by inner product for the rows where ``is_query`` (a condition on ``id_col``) holds.
 
-    Every vector is put on ``curves`` Hilbert curves of random projections.  Keys are range-partitioned and
+    Every distinct vector is put on ``curves`` Hilbert curves of random projections.  Keys are range-partitioned and
     numbered; blocks of positions, with ``reach`` more on either side, score their queries against the
-    positions within reach; the best of all curves are merged by exact double scores.  Work per query is
-    ``curves * 2 * reach`` products at any size of the table.
+    positions within reach; the best of all curves and the query's own vector are merged by exact double scores, and each
+    vector is replaced by its rows of the smallest ids.  Work per query is ``curves * 2 * reach`` products at any size of the table.
 
     Rows without id and vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors
     of the query's length are its candidates.  Rows with the query's own id are no candidates; a query id that is
     repeated is searched once, by its first row.  A repeated candidate row takes a place each time.
     """
     own = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), is_query.alias("asked"), F.col(vector_col).alias("v"))
-    own = own.withColumn("v", F.transform("v", lambda c: c.cast("double")))
+    own = own.withColumn("v", F.transform("v", lambda c: F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))))  # no -0.0
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
     own = own.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda c: c != 0))
@@ -170,16 +213,19 @@ def approximate_top_k(
             F.coalesce("asked", F.lit(False)).alias("asked"),
             F.size("v").alias("dims"),
             F.sqrt(square).alias("norm"),
+            F.xxhash64("v").alias("h1"),
+            F.xxhash64(F.lit(1), "v").alias("h2"),
             "v",
         ),
         "vectors",
     )
     lengths = own.groupBy("dims").agg(F.max("norm").alias("norm")).collect()  # a row per length of vectors
     longest = {r["dims"]: r["norm"] or 1.0 for r in lengths}
+    reps, members, queries = _distinct(own, k)
     ranges = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["dims", "curve", "key", "row", "query"]
     at = F.monotonically_increasing_id()
-    keyed = own.select("row", "asked", "dims", "v").mapInArrow(
+    keyed = reps.select("row", "asked", "dims", "v").mapInArrow(
         _keys(longest, curves), "dims int, curve int, key bigint, row bigint, query boolean"
     )
     placed = materialize(
@@ -205,12 +251,31 @@ def approximate_top_k(
     mine = block(F.col("at"))
     blocks = F.when(F.col("query"), F.array(mine)).otherwise(F.sequence(first, last))
     spread = placed.select("dims", "curve", "row", "query", "at", F.explode(blocks).alias("block"))
-    rows = spread.join(own.select("row", "vec_id", "v"), "row")
+    searches = queries.select(F.col("rep").alias("row"), "barred", F.lit(True).alias("query")).distinct()
+    spread = spread.join(searches, ["row", "query"], "left")  # a candidate stays one row
+    rows = spread.join(reps.select("row", "least", "second", "v"), "row")
     found = rows.groupBy("dims", "curve", "block").applyInArrow(
-        _windows(k, reach), "query_row bigint, query_id bigint, row bigint, vec_id bigint, score double"
+        _windows(k + 1, reach), "query_row bigint, barred bigint, free boolean, row bigint, first_id bigint, score double"
+    )
+    asked = reps.where("asked").select(F.col("row").alias("rep"), "least", "second", F.aggregate(
+        F.zip_with("v", "v", lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c).alias("score"))
+    own_id = F.col("least").eqNullSafe(F.col("barred"))
+    itself = searches.withColumnRenamed("row", "rep").join(asked, "rep").select(
+        F.col("rep").alias("query_row"),
+        F.coalesce("barred", F.lit(0)).alias("barred"),
+        F.col("barred").isNull().alias("free"),
+        F.col("rep").alias("row"),
+        F.when(own_id, F.col("second")).otherwise(F.col("least")).alias("first_id"),
+        "score",
+    ).where("first_id is not null")
+    search = ["query_row", "barred", "free"]
+    merged = found.unionByName(itself).groupBy(*search, "row", "first_id").agg(F.min("score").alias("score"))
+    best = F.row_number().over(Window.partitionBy(*search).orderBy(F.desc("score"), "first_id", "row"))
+    merged = merged.withColumn("n", best).where(F.col("n") <= k + 1).drop("n", "first_id")
+    merged = merged.withColumnRenamed("row", "rep").join(members, "rep").drop("rep")
+    queries = queries.select(
+        "query_id", F.col("rep").alias("query_row"), F.coalesce("barred", F.lit(0)).alias("barred"), F.col("barred").isNull().alias("free")
     )
-    merged = found.groupBy("query_id", "query_row", "row", "vec_id").agg(F.max("score").alias("score"))
-    once = Window.partitionBy("query_id")
-    place = F.row_number().over(once.orderBy(F.desc("score"), "vec_id", "row"))
-    merged = merged.withColumn("least", F.min("query_row").over(once)).where("query_row = least")
+    merged = queries.join(merged, search).where("vec_id <> query_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row"))
     return merged.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
