@@ -115,3 +115,23 @@ def test_nearest_neighbours_of_many_copies_are_the_smallest_ids(spark):
         assert [(-r.score, r.vec_id) for r in mine] == better
     assert len({(r.query_id, r.rank) for r in found}) == len(found) == 45 * 7
     assert copies[0] == 0 and all(r.vec_id != 40 for r in found if r.query_id == 40)
+
+
+def test_nearest_neighbours_recall_holds_as_rows_grow(spark, monkeypatch):
+    # production setting, scaled down: a least reach and blocks that cover a small table only
+    from vouch.llm import ann
+
+    monkeypatch.setattr(ann, "REACH", 64)
+    monkeypatch.setattr(ann, "BLOCK", 256)
+    monkeypatch.setattr(ann, "WIDEST", 1024)
+    rng = np.random.default_rng(11)
+    for n in (1500, 12000):
+        x = rng.standard_normal((n, 48))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        found = approximate_top_k(df, F.col("vec_id") % 100 == 0, k=10).collect()
+        got = {(r.query_id, r.vec_id) for r in found}
+        s = x[::100] @ x.T
+        s[np.arange(len(s)), np.arange(0, n, 100)] = -np.inf
+        true = {(100 * i, int(j)) for i in range(len(s)) for j in np.argsort(-s[i])[:10]}
+        assert len(found) == len(true) and len(got & true) / len(true) >= 0.9

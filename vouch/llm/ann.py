@@ -13,8 +13,11 @@ from vouch.session import materialize
 CURVES = 24
 CURVE_DIMS = 6  # projected dimensions of a curve
 BITS = 10  # of each
-REACH = 1024  # positions looked at on either side
-BLOCK = 4096  # positions of a block
+REACH = 1024  # positions looked at on either side at least
+RECALL = 0.95  # share of the sampled queries' true neighbours that the reach must cover
+SAMPLE = 64  # queries of each length of vectors that are answered in full for it
+BLOCK = 4096  # positions of a block at least
+WIDEST = 32768  # and at most
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -104,8 +107,9 @@ def nearest(ids: np.ndarray, x: np.ndarray, barred: np.ndarray, q: np.ndarray, k
     return fine[best], scores[best]
 
 
-def _windows(k: int, reach: int):
-    def run(table: pa.Table) -> pa.Table:
+def _windows(k: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        reach = key[2].as_py()
         query = table.column("query").to_numpy(zero_copy_only=False)
         at, rows = (table.column(c).to_numpy() for c in ("at", "row"))
         least = table.column("least").to_numpy()
@@ -181,6 +185,64 @@ def _distinct(own: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     return materialize(reps.withColumn("asked", F.coalesce("asked", F.lit(False))), "reps"), members, queries
 
 
+def _true_neighbours(sample: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """The best ``k`` of a partition's rows for each sampled query, itself apart: all rows are scored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {}
+        for batch in batches:
+            row, dims = (batch.column(c).to_numpy() for c in ("row", "dims"))
+            for d in np.unique(dims):
+                if int(d) not in sample:
+                    continue
+                asked, q = sample[int(d)]
+                mine = np.flatnonzero(dims == d)
+                flat = pa.concat_arrays([batch.column("v")[int(i)].values for i in mine])
+                scores = q @ flat.to_numpy().reshape(-1, d).T
+                scores[asked[:, None] == row[mine][None, :]] = -np.inf
+                rows = np.broadcast_to(row[mine], scores.shape)
+                if d in kept:
+                    scores, rows = np.hstack([kept[d][0], scores]), np.hstack([kept[d][1], rows])
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                kept[d] = np.take_along_axis(scores, best, 1), np.take_along_axis(rows, best, 1)
+        for d, (scores, rows) in kept.items():
+            asked = np.repeat(sample[int(d)][0], scores.shape[1])
+            real = scores.ravel() > -np.inf
+            columns = [np.full(len(asked), d, np.int32), asked, rows.ravel(), scores.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c[real]) for c in columns], names=["dims", "asked_row", "row", "score"])
+
+    return run
+
+
+def _reaches(reps: DataFrame, placed: DataFrame, k: int) -> dict[int, int]:
+    """For each length of vectors the reach that covers ``RECALL`` of the true neighbours of a sample of its queries.
+
+    A neighbour is covered if it is in reach on one of the curves.  ``REACH`` at least; lengths with
+    no more vectors than that are not sampled.
+    """
+    many = reps.groupBy("dims").agg(F.count("*").alias("n")).where(F.col("n") > REACH)
+    some = F.row_number().over(Window.partitionBy("dims").orderBy(F.xxhash64("v"), "row"))
+    picked = reps.where("asked").withColumn("n", some).where(F.col("n") <= SAMPLE).drop("n")
+    picked = picked.join(many, "dims", "left_semi").select("dims", "row", "v").collect()
+    sample = {
+        d: (np.array([r["row"] for r in picked if r["dims"] == d]), np.array([r["v"] for r in picked if r["dims"] == d]))
+        for d in {r["dims"] for r in picked}
+    }
+    if not sample:
+        return {}
+    best = F.row_number().over(Window.partitionBy("asked_row").orderBy(F.desc("score"), "row"))
+    pairs = reps.select("row", "dims", "v").mapInArrow(
+        _true_neighbours(sample, k), "dims int, asked_row bigint, row bigint, score double"
+    )
+    pairs = materialize(pairs.withColumn("n", best).where(F.col("n") <= k).select("dims", "asked_row", "row"), "pairs")
+    asked = placed.where("query").select("dims", "curve", F.col("row").alias("asked_row"), F.col("at").alias("asked_at"))
+    near = placed.where("not query").select("dims", "curve", "row", "at")
+    apart = pairs.join(asked, ["dims", "asked_row"]).join(near, ["dims", "curve", "row"])
+    apart = apart.groupBy("dims", "asked_row", "row").agg(F.min(F.abs(F.col("at") - F.col("asked_at"))).alias("apart"))
+    found = apart.groupBy("dims").agg(F.expr(f"percentile(apart, {RECALL}D)").alias("reach")).collect()  # a row per length
+    return {r["dims"]: max(REACH, int(np.ceil(r["reach"]))) for r in found}
+
+
 def approximate_top_k(
     vectors: DataFrame,
     is_query,
@@ -188,14 +250,18 @@ def approximate_top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     curves: int = CURVES,
-    reach: int = REACH,
+    reach: int | None = None,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: near rows by inner product for the rows where ``is_query`` (a condition on ``id_col``) holds.
 
     Every distinct vector is put on ``curves`` Hilbert curves of random projections.  Keys are range-partitioned and
     numbered; blocks of positions, with ``reach`` more on either side, score their queries against the
     positions within reach; the best of all curves and the query's own vector are merged by exact double scores, and each
-    vector is replaced by its rows of the smallest ids.  Work per query is ``curves * 2 * reach`` products at any size of the table.
+    vector is replaced by its rows of the smallest ids.  Work per query is ``curves * 2 * reach`` products.
+
+    Where no ``reach`` is given it follows the data: ``SAMPLE`` queries are held against all vectors, and the reach is what
+    covers ``RECALL`` of their neighbours (``_reaches``).  On vectors without any structure it grows with their
+    number, and so does the work per query; on clustered ones it hardly does.
 
     Rows without id and vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors
     of the query's length are its candidates.  Rows with the query's own id are no candidates; a query id that is
@@ -244,18 +310,28 @@ def approximate_top_k(
         seen[key] = seen.get(key, 0) + c["n"]
     if not offsets:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    known = F.broadcast(vectors.sparkSession.createDataFrame(offsets, "range int, dims int, curve int, offset bigint"))
-    placed = placed.join(known, ["range", "dims", "curve"]).withColumn("at", F.col("at") + F.col("offset"))
-    block = lambda p: F.floor(p / BLOCK).cast("int")
-    first, last = F.greatest(F.lit(0), block(F.col("at") - reach)), block(F.col("at") + reach)
+    spark = vectors.sparkSession
+    known = F.broadcast(spark.createDataFrame(offsets, "range int, dims int, curve int, offset bigint"))
+    numbered = placed.join(known, ["range", "dims", "curve"]).withColumn("at", F.col("at") + F.col("offset"))
+    reaches = _reaches(reps, numbered, k) if reach is None else {}
+    sizes = []
+    for d in longest:
+        r = reaches.get(d, REACH if reach is None else reach)
+        sizes.append((d, r, min(max(2 * r, BLOCK), WIDEST)))
+    sizes = F.broadcast(spark.createDataFrame(sizes, "dims int, reach bigint, side bigint"))
+    placed = numbered.join(sizes, "dims")
+    block = lambda p: F.floor(p / F.col("side"))
     mine = block(F.col("at"))
-    blocks = F.when(F.col("query"), F.array(mine)).otherwise(F.sequence(first, last))
-    spread = placed.select("dims", "curve", "row", "query", "at", F.explode(blocks).alias("block"))
+    others = F.sequence(F.greatest(F.lit(0), block(F.col("at") - F.col("reach"))), block(F.col("at") + F.col("reach")))
+    # a query meets the blocks in its reach one by one, so that a group never holds more than two blocks
+    spread = placed.select("dims", "curve", "reach", "row", "query", "at", mine.alias("mine"), F.explode(others).alias("other"))
+    spread = spread.withColumn("block", F.when(F.col("query"), F.col("mine")).otherwise(F.col("other")))
+    spread = spread.withColumn("met", F.when(F.col("query"), F.col("other")).otherwise(F.col("mine"))).drop("mine", "other")
     searches = queries.select(F.col("rep").alias("row"), "barred", F.lit(True).alias("query")).distinct()
     spread = spread.join(searches, ["row", "query"], "left")  # a candidate stays one row
     rows = spread.join(reps.select("row", "least", "second", "v"), "row")
-    found = rows.groupBy("dims", "curve", "block").applyInArrow(
-        _windows(k + 1, reach), "query_row bigint, barred bigint, free boolean, row bigint, first_id bigint, score double"
+    found = rows.groupBy("dims", "curve", "reach", "block", "met").applyInArrow(
+        _windows(k + 1), "query_row bigint, barred bigint, free boolean, row bigint, first_id bigint, score double"
     )
     asked = reps.where("asked").select(F.col("row").alias("rep"), "least", "second", F.aggregate(
         F.zip_with("v", "v", lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c).alias("score"))
