@@ -116,6 +116,14 @@ def test_templates_split_where_labels_differ_and_merge_elsewhere(spark):
     assert len({r.template for i, r in got.items() if i < 600}) <= 3
 
 
+def test_a_bad_section_of_a_wide_host_keeps_its_template(spark):
+    urls = [(i, f"http://wide.example/{chr(97 + i % 20)}{chr(97 + i // 20 % 2)}/{i}") for i in range(12_000)]  # 40 equal sections
+    got = judged(spark, urls, [(i, int(i % 40 == 7)) for i in range(12_000)])
+    assert all((r.verdict == "block") == (i % 40 == 7) for i, r in got.items())
+    assert {r.template.split("/")[0] for i, r in got.items() if i % 40 == 7} == {"ha"}
+    assert {r.template.split("/")[0] for i, r in got.items() if i % 40 != 7} == {"*"}
+
+
 def test_urls_of_an_empty_table(spark):
     assert judged(spark, []) == {}
 
