@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vouch.llm.ann import approximate_top_k
 from vouch.llm.impact_search import exact_top_k
+from vouch.llm.licences import NOTICES, PHRASES, RARE, SHARE, scan_licences
 from vouch.llm.mixing import copies, document_rates
 from vouch.llm.near_dup import near_duplicates
 from vouch.llm.sentencepiece import encode, load_model
@@ -248,3 +249,51 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_nearest_neighbours")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+# --- 11: licence scans ------------------------------------------------------------------
+
+_NOTICE_ROWS = ", ".join(f"({i}, '{label}', '{words}', '{key}')" for i, (label, words, key) in enumerate(NOTICES))
+_PHRASE_ROWS = ", ".join(f"('{words}', '{label}')" for words, label in PHRASES)
+_LICENCE_SQL = rf"""
+WITH notices(notice, label, words, key) AS (VALUES {_NOTICE_ROWS}),
+phrases(phrase, label) AS (VALUES {_PHRASE_ROWS}),
+docs AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+occ AS (SELECT id, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+places AS (SELECT notice, unnest(string_split(words, ' ')) AS word, unnest(range(len(string_split(words, ' ')))) AS p FROM notices),
+df AS (SELECT word, count(DISTINCT id) AS df FROM occ GROUP BY 1),
+idf AS (
+  SELECT word, coalesce(df, 0) AS df, ln(((SELECT count(*) FROM docs) + 1) / (coalesce(df, 0) + 1)::double) AS idf
+  FROM (SELECT DISTINCT word FROM places) LEFT JOIN df USING (word)),
+rare AS (
+  SELECT notice, word, idf FROM (SELECT DISTINCT notice, word FROM places) JOIN idf USING (word)
+  QUALIFY row_number() OVER (PARTITION BY notice ORDER BY df, word) <= {RARE}),
+postings AS (SELECT notice, word, p, idf FROM places JOIN rare USING (notice, word)),
+laid AS (
+  SELECT id, notice, i - p AS o, sum(idf) AS met FROM occ JOIN postings USING (word) GROUP BY ALL),
+total AS (SELECT notice, greatest(sum(idf), 1e-9) AS total FROM postings GROUP BY 1),
+near AS (
+  SELECT id, notice, o, round(met / total, 6) AS met FROM laid JOIN total USING (notice) WHERE round(met / total, 6) >= {SHARE}),
+sure AS (
+  SELECT id, list(DISTINCT label) AS more, max(met) AS best
+  FROM near JOIN notices USING (notice) JOIN docs USING (id)
+  WHERE o + len(string_split(split_part(' ' || words || ' ', ' ' || key || ' ', 1), ' ')) >= 1
+    AND array_to_string(w[o + len(string_split(split_part(' ' || words || ' ', ' ' || key || ' ', 1), ' ')) :
+        o + len(string_split(split_part(' ' || words || ' ', ' ' || key || ' ', 1), ' ')) + len(string_split(key, ' ')) - 1], ' ') = key
+  GROUP BY id),
+base AS (
+  SELECT id, label, i FROM docs, phrases, unnest(range(len(w))) AS u(i)
+  WHERE array_to_string(w[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase),
+based AS (SELECT id, count(*) AS n, min(i) AS first, max(i) AS last, list(DISTINCT label) AS labels FROM base GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n, 0)::bigint AS n_base, first AS first_word, last AS last_word,
+  coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(coalesce(labels, []) || coalesce(more, []))), ','), '') AS labels,
+  (CASE WHEN n > 0 THEN 1 ELSE least(1, coalesce(best, 0)) END)::double AS score
+FROM docs LEFT JOIN based USING (id) LEFT JOIN sure USING (id)"""
+
+
+@query("op11_licence_scan", _LICENCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
