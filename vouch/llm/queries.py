@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vouch.llm.ann import approximate_top_k
 from vouch.llm.impact_search import exact_top_k
+from vouch.llm.lexical import rank_documents
 from vouch.llm.licences import NOTICES, PHRASES, RARE, SHARE, scan_licences
 from vouch.llm.mixing import copies, document_rates
 from vouch.llm.near_dup import near_duplicates
@@ -297,3 +298,31 @@ FROM docs LEFT JOIN based USING (id) LEFT JOIN sure USING (id)"""
 @query("op11_licence_scan", _LICENCE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
+
+
+# --- 12: ranked lexical search --------------------------------------------------------------
+
+_LEXICAL_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL GROUP BY 1),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::bigint AS n_terms FROM d),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+t AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::double))::bigint AS w FROM p, s GROUP BY term, n_docs),
+x AS (
+  SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(w) * n_docs) // n_terms)) AS x
+  FROM p JOIN d USING (r), s),
+scores AS (SELECT item_id, r, doc_id, sum(c * t.w * x)::bigint AS score FROM q JOIN t USING (term) JOIN x USING (term)
+  WHERE doc_id IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::int AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10"""
+
+
+@query("op12_lexical_search", _LEXICAL_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
