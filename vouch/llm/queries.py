@@ -13,6 +13,7 @@ from vouch.llm.lexical import rank_documents
 from vouch.llm.licences import NOTICES, PHRASES, RARE, SHARE, scan_licences
 from vouch.llm.mixing import copies, document_rates
 from vouch.llm.near_dup import near_duplicates
+from vouch.llm.runs import periodic_runs, repeat_words
 from vouch.llm.sentencepiece import encode, load_model
 from vouch.llm.sharding import balanced_shards
 from vouch.llm.spans import remove_repeated_spans
@@ -326,3 +327,11 @@ SELECT * FROM ranked WHERE rank <= 10"""
 @query("op12_lexical_search", _LEXICAL_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+# --- 13: periodic runs ----------------------------------------------------------------------
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), change=repeat_words)
