@@ -1,6 +1,7 @@
 """Near duplicates, spans and components against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vouch.llm import near_dup
 from vouch.llm.components import connected_components
-from vouch.llm.near_dup import near_duplicates, shared_items
+from vouch.llm.near_dup import drop_near_duplicates, near_duplicates, shared_items
 from vouch.llm.sketch import EMPTY, Shingler, band_plan, overlap, sketch
 from vouch.llm.spans import Spans, remove_repeated_spans
 
@@ -110,6 +111,26 @@ def test_shared_items_are_exact():
     assert (shared_items(sets[:10], sets[10:], width=64) == [[overlap(a, b) for b in sets[10:]] for a in sets[:10]]).all()
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(12)
+    words = lambda: [rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(60)]
+    a, b = words(), words()
+    near_b = " ".join([*b, "more"])
+    a, b = " ".join(a), " ".join(b)
+    data = [(1, a), (7, b), (7, a), (9, near_b), (None, a), (None, None), (None, None), (3, ""), (3, ""), (11, "x")]
+    data += [(None, b + " two"), (20, " ".join(words()))] + [(None, "only without id " * 5)] * 3
+    docs = spark.createDataFrame(
+        [(i, t, 1, 2, "x", 4.0) for i, t in data],
+        "doc_id bigint, text string, ids int, lost_id int, number string, component_id double",
+    )
+    out = drop_near_duplicates(docs.repartition(3))
+    assert out.columns == docs.columns
+    got = sorted(((r[0], r[1]) for r in out.collect()), key=str)
+    wanted = [(1, a), (7, b), (None, None), (None, None), (3, ""), (3, ""), (11, "x"), data[11], data[12]]
+    assert got == sorted(wanted, key=str)
+    assert drop_near_duplicates(docs.limit(0)).collect() == []
+
+
 def test_shingles_of_short_texts():
     one = Shingler(3)
     assert len(one(b"a b c d")) == 2 and len(one(b"A b")) == 1 and len(one(b" \x0b")) == len(one(None)) == 0
@@ -132,20 +153,38 @@ def sentence(rng, k=12):
 
 
 def brute_spans(data, sentences=2, words=20):
-    cut = Spans(sentences, words)
-    seen, out = {}, []
-    order = sorted(range(len(data)), key=lambda i: data[i][0])
-    for i in order:
-        found, start, end, h = cut(data[i][1])
+    """Every run of so many sentences and words, however long, against all earlier places."""
+    seen, out = set(), []
+    for doc_id, text in sorted(data):
+        found = re.findall(r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*", text)
+        plain = [p.lower().split() for p in found]
         gone = set()
-        for s, e, x in zip(start, end, map(bytes, h)):
-            if x in seen:
-                gone |= set(range(s, e))
-            seen.setdefault(x, i)
-        out.append((data[i][0], "".join(p for k, p in enumerate(found) if k not in gone)))
+        for i in range(len(found)):
+            for j in range(i + sentences, len(found) + 1):
+                run = tuple(map(tuple, plain[i:j]))
+                if sum(map(len, run)) >= words:
+                    if run in seen:
+                        gone |= set(range(i, j))
+                    seen.add(run)
+        out.append((doc_id, "".join(p for k, p in enumerate(found) if k not in gone)))
     return sorted(out)
 
 
+def test_every_sentence_of_a_passage_goes(spark):
+    rng = random.Random(9)
+    parts = lambda *sizes: "".join(sentence(rng, k) for k in sizes)
+    tails, short, data = parts(10, 30, 5, 5), parts(9, 9), []
+    for i in range(6):
+        data.append((i, parts(7, 8) + (tails if i < 3 else short) + parts(25)))
+    for i in range(6, 30):  # sentences out of a small stock, in runs of all lengths
+        rng2 = random.Random(i % 10)
+        data.append((i, "".join(sentence(random.Random(rng2.randrange(12)), 1 + rng2.randrange(15)) for _ in range(9))))
+    out = {r.doc_id: r.text for r in remove_repeated_spans(frame(spark, data)).collect()}
+    assert sorted(out.items()) == brute_spans(data)
+    assert tails in out[0] and tails.split(". ")[3] not in out[1]
+    assert all(short in out[i] for i in (3, 4, 5))  # 18 words: no run
+
+
 def test_repeated_passages_stay_once(spark):
     rng = random.Random(3)
     passage = "".join(sentence(rng) for _ in range(5))

@@ -12,7 +12,8 @@ from vouch.llm.mixing import document_rates, mix_documents
 from vouch.llm.pieces import Decoder, Encoder, PieceModel
 from vouch.llm.queries import TOKENIZERS, piece_model
 from vouch.llm.sentencepiece import decode, encode
-from vouch.llm.toxicity import fit, keep_clean, score, train
+from vouch.llm import toxicity
+from vouch.llm.toxicity import PackedSlots, fit, keep_clean, score, train
 
 SCHEMA = "doc_id bigint, text string, ids string, c0 int, tokens int, score int"
 ODD = [(None, "some text here"), (801, None), (802, ""), (803, " \n\t "), (804, "long " * 40_000), (805, "▁<s></s>\x00 é")]
@@ -126,6 +127,44 @@ def test_models_without_both_classes(spark):
     assert score(df.limit(0), fit([], [], (3,), 10)).collect() == []
 
 
+def plain_fit(examples, size, steps=60):
+    """The same classifier on dense rows."""
+    x = np.zeros((len(examples), size))
+    for i, (_, slots) in enumerate(examples):
+        x[i, slots] = 1
+    y = np.array([label for label, _ in examples], float)
+    ratio = np.log((x[y == 1].sum(0) + 1) / ((y == 1).sum() + 2)) - np.log((x[y == 0].sum(0) + 1) / ((y == 0).sum() + 2))
+    x = x * ratio
+    x /= np.sqrt((x**2).sum(1, keepdims=True)) + 1e-9
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    w, b, dw, db = np.zeros(size), 0.0, np.zeros(size), 0.0
+    for _ in range(steps):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
+        dw, db = 0.9 * dw - 4 * (x.T @ error + 1e-4 * w), 0.9 * db - 4 * error.sum()
+        w, b = w + dw, b + db
+    return ratio, w, b
+
+
+@pytest.mark.parametrize("at_once", [50, 8_000_000])
+def test_fit_equals_a_plain_one(at_once):
+    rng = np.random.default_rng(5)
+    examples = [(int(i % 3 == 0), rng.choice(256, rng.integers(1, 60), replace=False)) for i in range(80)]
+    packed = PackedSlots([PackedSlots.pack(s, 8) for _, s in examples], 8)
+    assert all(sorted(a) == sorted(b) for a, (_, b) in zip(packed, examples, strict=True))
+    model = fit([label for label, _ in examples], packed, (3,), 8, at_once=at_once)
+    ratio, weight, bias = plain_fit(examples, 256)
+    assert np.allclose(model.ratio, ratio, atol=1e-5) and np.allclose(model.weight, weight, atol=1e-4)
+    assert model.bias == pytest.approx(bias, abs=1e-6)
+
+
+def test_one_row_of_each_sampled_id_is_fitted_on(spark, monkeypatch):
+    docs = [(i % 2, f"text {i} " + ("scumbag" if i % 2 else "fine")) for i in range(20_000)]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda labels, slots, *rest: seen.extend(labels))
+    train(frame(spark, docs), spark.createDataFrame([(0, 0), (1, 1)], "doc_id bigint, toxic int"))
+    assert seen == [0, 1]
+
+
 def test_slots_are_distinct_and_the_same_in_every_run():
     hasher = GramHasher((3, 5), 12)
     first = hasher.slots("An Example an example")

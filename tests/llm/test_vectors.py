@@ -1,10 +1,13 @@
 """Vector searches against brute force."""
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vouch.llm.ann import approximate_top_k, hilbert_keys
 from vouch.llm.impact_search import Block, exact_top_k
+from vouch.llm.queries import ORACLES
 
 SCHEMA = "vec_id bigint, embedding array<float>, score string, rank int, x int"
 ODD = [
@@ -49,6 +52,28 @@ def test_exact_top_k_with_ties_odd_rows_and_other_lengths(spark):
     assert {(r.query_id, r.rank, r.vec_id, float(r.score)) for r in found} == brute(data, queries, 4, whole)
 
 
+def test_large_components_count(spark):
+    rng = np.random.default_rng(8)
+    data = rows(120, seed=3) + [(200 + i, [float(rng.choice([1e7, -1e7, 3.0])), *[float(v) for v in rng.choice([-4e4, 5e4, 0.25], 2)]]) for i in range(60)]
+    data += [(300, [40_000.0, 50_000.0, 0.0]), (305, [3e6, -3e6, 1e6])]
+    df = frame(spark, data + data[:9])
+    found = exact_top_k(df, df.where(F.col("vec_id") % 5 == 0), k=4)
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE embeddings (vec_id bigint, embedding float[])")
+    connection.executemany("INSERT INTO embeddings VALUES (?, ?)", data + data[:9])
+    sql = ORACLES["op1_exact_top_k"].replace("vec_id % 50 = 0", "vec_id % 5 = 0").replace("<= 5", "<= 4").replace(
+        "SELECT vec_id, list_transform", "SELECT rowid AS r, vec_id, list_transform").replace(
+        "v q JOIN v c", "(SELECT vec_id, min(x) AS x FROM v GROUP BY 1) q JOIN v c")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(connection.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("size", [3e12, 3e25])
+def test_scores_beyond_a_long_raise(spark, size):
+    df = frame(spark, [(0, [size, size, 1.0]), (1, [size, size, 1.0])])
+    with pytest.raises(Exception, match="too large"):
+        exact_top_k(df, df, k=1).collect()
+
+
 def test_exact_top_k_without_rows_and_with_fewer_candidates_than_k(spark):
     df = frame(spark, rows(3))
     assert exact_top_k(df.limit(0), df.limit(0), k=5).collect() == []

@@ -14,24 +14,42 @@ from vouch.session import materialize
 BLOCK = 4096  # vectors of an index block
 BATCH = 256  # queries that travel together
 STEP = 16  # width of an impact level
-MOST = 1 << 23  # components are smaller than this, so that scores are exact
+LONG = 1 << 62  # sums that stay below are exact in 64 bits
 _CHECKS = (0.5, 0.7, 0.8, 0.9, 0.96, 1.0)  # shares of the segments after which a proof is tried
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``vec_id, x``: components turned into ``floor(scale * component)``.
 
-    Rows without id, null vectors, empty ones and those with null, non-finite or too large components are left out.
+    Rows without id, null vectors, empty ones and those with null or non-finite components are left out.  One
+    that becomes 2**62 or more in size raises.
     """
-    x = F.transform(F.col("v"), lambda c: F.floor(c.cast("double") * scale))
+    whole = lambda c: F.floor(
+        F.when(F.abs(c.cast("double") * scale) < 2.0**62, c.cast("double") * scale).otherwise(
+            F.raise_error(F.lit("a vector component is too large for a whole number"))
+        )
+    )
+    x = F.transform(F.col("v"), whole)
     fine = F.forall(
         F.col("v"),
-        lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < MOST / scale),
+        lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")),
     )
     own = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"))
     return own.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & fine).select("vec_id", x.alias("x"))
 
 
+def inner_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact products of the rows of ``x`` with ``q``; one that leaves a long raises."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    if float(np.abs(x.astype(np.float64)).max()) * float(np.abs(q.astype(np.float64)).max()) * len(q) < LONG:
+        return x @ q
+    out = x.astype(object) @ q.astype(object)  # integers of any size
+    if max(map(abs, out)) >= 1 << 63:
+        raise OverflowError("a score is too large for a long")
+    return out.astype(np.int64)
+
+
 class Block:
     """Postings of some vectors: per dimension and level of quantised value, the vectors that have it.
 
@@ -58,15 +76,20 @@ class Block:
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and exact scores of the best ``k``, ties to smaller ids."""
         n = len(self.ids)
-        weight = np.abs(q)
+        weight = np.abs(q.astype(np.float64))
         up = (q > 0)[self.dim]
         # impacts count from the end of a dimension's range at which the query gains nothing
-        base = int((q * np.where(q > 0, self.low, self.high)).sum())
-        lower = np.where(up, self.least - self.low[self.dim], self.high[self.dim] - self.most) * weight[self.dim]
-        upper = np.where(up, self.most - self.low[self.dim], self.high[self.dim] - self.least) * weight[self.dim]
+        low, high = self.low.astype(np.float64), self.high.astype(np.float64)
+        least, most = self.least.astype(np.float64), self.most.astype(np.float64)
+        ends = q * np.where(q > 0, low, high)
+        base = float(ends.sum())
+        lower = np.where(up, least - low[self.dim], high[self.dim] - most) * weight[self.dim]
+        upper = np.where(up, most - low[self.dim], high[self.dim] - least) * weight[self.dim]
+        # sums in doubles are short by at most this; where they are whole numbers, by nothing
+        sure = 1e-12 * float((np.abs(ends) + (high - low) * weight).sum())
         use = np.flatnonzero(weight[self.dim] > 0)
         order = use[np.argsort(-upper[use], kind="stable")]
-        slack = np.zeros(len(q), np.int64)
+        slack = np.zeros(len(q))
         np.maximum.at(slack, self.dim, upper - lower)  # what a level hides
         total = np.zeros(n, np.float64)
         other = self.ids != query_id
@@ -83,17 +106,17 @@ class Block:
             missing = slack.copy()
             rest = order[done:]
             np.maximum.at(missing, self.dim[rest], upper[rest])
-            reach = total + base + int(missing[weight > 0].sum())
+            reach = total + base + float(missing[weight > 0].sum()) + sure
             seen = np.flatnonzero(other)
             if len(seen) > 8 * k:
                 seen = seen[np.argpartition(-total[seen], 8 * k)[: 8 * k]]
-            scores = self.x[seen] @ q
+            scores = inner_products(self.x[seen], q)
             if len(scores) >= k:
-                floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
+                floor = max(floor, float(np.partition(scores, len(scores) - k)[len(scores) - k]))
             possible = np.flatnonzero(other & (reach >= floor))
             if len(possible) <= max(16 * k, n // 16) or done == len(order):
                 break
-        scores = self.x[possible] @ q
+        scores = inner_products(self.x[possible], q)
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return possible[best], scores[best]
 
@@ -107,7 +130,7 @@ def _packed(most: int):
                     pa.array([len(rows[0])], pa.int32()),
                     pa.array([key], pa.int64()),
                     pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                    pa.array([np.stack(rows).astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([np.stack(rows).tobytes()], pa.binary()),
                 ],
                 names=["dims", "key", "ids", "rows"],
             )
@@ -131,7 +154,7 @@ _PACKED = "dims int, key bigint, ids binary, rows binary"
 
 
 def _unpack(ids, rows, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(rows.as_buffer(), np.int32).reshape(-1, dims).astype(np.int64)
+    x = np.frombuffer(rows.as_buffer(), np.int64).reshape(-1, dims)
     return np.frombuffer(ids.as_buffer(), np.int64), x
 
 
@@ -170,7 +193,7 @@ def exact_top_k(
     """``query_id, rank, vec_id, score``: the ``k`` best rows of ``vectors`` for each row of ``queries``.
 
     Components become ``floor(scale * x)`` (see ``whole_vectors``); a score is the integer inner product with a
-    vector of the same length.  Rows with the query's own id are no candidates; of query rows with one id the
+    vector of the same length, exact whatever its size; one that leaves a long raises.  Rows with the query's own id are no candidates; of query rows with one id the
     smallest vector counts; a repeated candidate row takes a place each time.  Ties go to smaller ids.  No
     queries or no candidates give no rows.
 

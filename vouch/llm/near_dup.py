@@ -201,7 +201,7 @@ def _check_cell(percent: int):
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``.
+    """``id_col, n_shingles, component_id, kept``: one row per row of ``docs``.
 
     A document's set holds its distinct ``n``-word shingles (see ``Shingler``).  Documents are
     linked if ``100 * intersection >= percent * union``; ``component_id`` is the smallest id
@@ -256,13 +256,41 @@ def near_duplicates(
     out = smallest.join(ids, "root", "left")
     component_id = F.coalesce("first_id", "doc_id")
     return out.select(
-        "doc_id",
+        F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component_id.alias("component_id"),
         component_id.eqNullSafe(F.col("doc_id")).alias("kept"),
     )
 
 
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80
+) -> DataFrame:
+    """``docs`` with exactly one row of each component of near copies (see ``near_duplicates``), columns unchanged.
+
+    Rows are told apart by a number written beside them, not by id: the row that stays has the smallest id of its
+    component, rows without id come last, and of several rows with that id one stays.  A text that shares
+    its id with a copy of another text stays.  Rows without words are linked with nothing and all stay, repeated or
+    not.  An empty table stays empty; columns may have any name.
+    """
+    width = len(docs.columns)
+    own = docs.toDF(*[f"c{i}" for i in range(width)])
+    key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    numbered = materialize(own.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    judged = near_duplicates(numbered, "number", text, n, percent).select(F.col("number"), "component_id")
+    judged = materialize(judged, "judged")
+    # components of one row need no choice
+    several = judged.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    members = judged.join(materialize(several, "several"), "component_id").join(
+        numbered.select("number", F.col(key).cast("bigint").alias("id")), "number"
+    )
+    members = materialize(members, "near")
+    order = F.struct(F.col("id").isNull().alias("late"), F.col("id").alias("id"), F.col("number").alias("number"))
+    chosen = members.groupBy("component_id").agg(F.min(order)["number"].alias("number"))
+    lost = materialize(members.select("number").join(chosen.select("number"), "number", "left_anti"), "lost")
+    return numbered.join(lost, "number", "left_anti").drop("number").toDF(*docs.columns)
+
+
 def _links(own: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """``a, b``: links between classes that connect all that any link connects."""
     entries = materialize(reps.select(F.col("rid").alias("rep"), F.explode("bands").alias("bucket")), "entries")

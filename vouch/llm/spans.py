@@ -21,9 +21,10 @@ _ROWS_AT_ONCE = 200_000
 class Spans:
     """Runs of consecutive sentences of a text.
 
-    A run starts at each sentence and takes the fewest sentences, two at least, that hold
-    ``min_words`` words, so where it ends depends on its own words only.  Near the end of a text, where
-    no such run fits, none starts.  Case and the amount of white space don't count.
+    Of all runs of ``min_sentences`` sentences and ``min_words`` words or more, those that hold no smaller one at their end
+    or at their start are taken: the shortest from each sentence on, and the shortest up to each sentence.
+    A longer run is covered by them, so a repeated passage is marked from its first to its last sentence if it holds
+    any run whole.  Passages of fewer words or sentences are no runs.  Case and the amount of white space don't count.
     """
 
     def __init__(self, min_sentences: int = 2, min_words: int = 20):
@@ -44,6 +45,13 @@ class Spans:
         end = np.maximum(np.searchsorted(words, words[start] + self.min_words), start + self.min_sentences)
         inside = end <= len(plain)
         start, end = start[inside], end[inside]
+        last = np.arange(self.min_sentences, len(plain) + 1)
+        first = np.minimum(
+            np.searchsorted(words, words[last] - self.min_words, side="right") - 1, last - self.min_sentences
+        )
+        last, first = last[words[last] >= self.min_words], first[words[last] >= self.min_words]
+        both = np.unique(np.stack([np.append(start, first), np.append(end, last)], axis=1), axis=0)
+        start, end = both[:, 0], both[:, 1]
         hashes = b"".join(
             xxhash.xxh3_128_digest("\n".join(plain[i:j]).encode("utf-8", "replace"))
             for i, j in zip(start.tolist(), end.tolist(), strict=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,14 +27,63 @@ class Model:
     bias: float
 
 
+_SLOTS_AT_ONCE = 8_000_000  # slots of examples that the fit holds as numbers
+
+
+class PackedSlots(Sequence):
+    """Slots of examples, each as a list or, where that is longer, as a bitmap of all slots."""
+
+    def __init__(self, packed: list[bytes], bits: int):
+        self._packed, self._bitmap = packed, (1 << bits) // 8
+
+    @staticmethod
+    def pack(slots: np.ndarray, bits: int) -> bytes:
+        if 4 * len(slots) < (1 << bits) // 8:
+            return slots.astype(np.int32).tobytes()
+        held = np.zeros(1 << bits, np.uint8)
+        held[slots] = 1
+        return np.packbits(held).tobytes()
+
+    def __len__(self) -> int:
+        return len(self._packed)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        raw = self._packed[i]
+        if len(raw) < self._bitmap:
+            return np.frombuffer(raw, np.int32).astype(np.int64)
+        return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8)))
+
+
+def _parts(slots: Sequence[np.ndarray], ratio: np.ndarray, most: int):
+    """A function that gives the examples' features in parts: first row, rows, row and slot and value of each."""
+
+    def made():
+        first, held, size = 0, [], 0
+        for i in range(len(slots)):
+            held.append(slots[i])
+            size += len(held[-1])
+            if size > most or i + 1 == len(slots):
+                row = np.repeat(np.arange(len(held)), [len(s) for s in held])
+                flat = np.concatenate(held)
+                value = ratio[flat]
+                value /= (np.sqrt(np.bincount(row, value**2, len(held))) + 1e-9)[row]
+                yield first, len(held), row, flat, value
+                first, held, size = i + 1, [], 0
+
+    if sum(len(s) for s in slots) <= most:
+        once = list(made())
+        return lambda: once
+    return made
+
+
 def fit(
-    labels: list[int], slots: list[np.ndarray], orders: tuple[int, ...], bits: int, steps: int = 60
+    labels: list[int], slots: Sequence[np.ndarray], orders: tuple[int, ...], bits: int, steps: int = 60, at_once: int = _SLOTS_AT_ONCE
 ) -> Model:
     """Naive Bayes log-count ratios, then logistic regression on the scaled features.
 
     The feature vector of a text holds the ratio of each n-gram it contains and is scaled
     to length 1.  Classes weigh the same.  Without texts of both classes the
-    model scores 1 (only toxic ones) or 0.
+    model scores 1 (only toxic ones) or 0.  Features are held ``at_once`` slots at a time.
     """
     size = 1 << bits
     y = np.asarray(labels, dtype=np.float64)
@@ -46,18 +95,19 @@ def fit(
     for label, s in zip(labels, slots, strict=True):
         counts[label, s] += 1
     ratio = np.log(counts[1] / (n_pos + 2)) - np.log(counts[0] / (n_neg + 2))
-    row = np.repeat(np.arange(len(y)), [len(s) for s in slots])
-    flat = np.concatenate(slots)
-    value = ratio[flat]
-    value /= (np.sqrt(np.bincount(row, value**2, len(y))) + 1e-9)[row]
+    parts = _parts(slots, ratio, at_once)
     weight, speed = np.zeros(size), np.zeros(size)
     bias = bias_speed = 0.0
     share = np.where(y == 1, 0.5 / n_pos, 0.5 / n_neg)
     for _ in range(steps):  # gradient steps with momentum
-        z = np.bincount(row, value * weight[flat], len(y)) + bias
-        error = (1 / (1 + np.exp(-z)) - y) * share
-        speed = 0.9 * speed - 4.0 * (np.bincount(flat, value * error[row], size) + 1e-4 * weight)
-        bias_speed = 0.9 * bias_speed - 4.0 * error.sum()
+        slope, bias_slope = np.zeros(size), 0.0
+        for first, rows, row, flat, value in parts():
+            z = np.bincount(row, value * weight[flat], rows) + bias
+            error = (1 / (1 + np.exp(-z)) - y[first : first + rows]) * share[first : first + rows]
+            slope += np.bincount(flat, value * error[row], size)
+            bias_slope += error.sum()
+        speed = 0.9 * speed - 4.0 * (slope + 1e-4 * weight)
+        bias_speed = 0.9 * bias_speed - 4.0 * bias_slope
         weight += speed
         bias += bias_speed
     return Model(orders, bits, ratio.astype(np.float32), weight.astype(np.float32), float(bias))
@@ -68,9 +118,9 @@ def _slot_rows(orders: tuple[int, ...], bits: int):
         hasher = GramHasher(orders, bits)
         for batch in batches:
             for i, text in enumerate(values(batch.column("text"))):
-                slots = hasher.slots(text).astype(np.int32)
+                slots = PackedSlots.pack(hasher.slots(text), bits)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").slice(i, 1), pa.array([slots.tobytes()], pa.binary())],
+                    [batch.column("label").slice(i, 1), pa.array([slots], pa.binary())],
                     names=["label", "slots"],
                 )
 
@@ -89,10 +139,11 @@ def train(
 ) -> Model:
     """Fit on at most ``sample_per_class`` labelled rows of each class, whole texts.
 
-    The sample is the rows with the smallest hash of their id, the same for every layout of
-    the tables.  Rows without id, text or a label 0 or 1 are no examples; an id labelled
+    The sample is the ids with the smallest hash, the same for every layout of the tables, and one row
+    of each: that with the smallest hash of its text.  Rows without id, text or a label 0 or 1 are no examples; an id labelled
     twice counts as toxic if it is so once.  Only the bounded list of sampled ids is
-    broadcast, so no text is shuffled.
+    broadcast, and only their texts are shuffled, one per id and task.  The driver gets
+    ``2 * sample_per_class`` rows of ``2 ** bits / 8`` bytes at most.
     """
     one = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -116,11 +167,14 @@ def train(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     rows = (
         texts.join(chosen, "id")
-        .select("label", "text")
+        .groupBy("id", "label")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+        .select("label", F.col("one.text").alias("text"))
         .mapInArrow(_slot_rows(orders, bits), "label int, slots binary")
         .collect()
     )
-    return fit([r["label"] for r in rows], [np.frombuffer(r["slots"], np.int32) for r in rows], orders, bits)
+    rows.sort(key=lambda r: (r["label"], r["slots"]))  # one order, so that sums end in the same bits
+    return fit([r["label"] for r in rows], PackedSlots([bytes(r["slots"]) for r in rows], bits), orders, bits)
 
 
 class Scorer:
