@@ -14,8 +14,8 @@ from vouch.operators.queries import query_table, with_variants
 from vouch.plans.indexing import build_index, index_reviews, index_stats
 from vouch.plans.recommend import touched
 from vouch.plans.search import search, search_display
-from vouch.session import new_path
-from vouch.sources.tables import keyed_join
+from vouch.session import materialize, new_path
+from vouch.sources.tables import TableStore, keyed_join
 
 ASKED = [("Of  the", ["in the"]), "that is", ("para la", ["de la", "la de la"])]
 
@@ -290,6 +290,19 @@ def _(spark, sf):
     return rows.drop("score")
 
 
+@query("j7_matching_after_update", with_views("SELECT * FROM matches", MATCHES))
+def _(spark, sf):
+    # a third of the reviews is replaced after the index was built: hits follow the stored text
+    store, now = TableStore(spark, new_path(spark, "store")), reviews_v(spark, sf)
+    changed = F.col("doc_id") % 3 == 0
+    before = now.withColumn("text", F.when(changed, F.reverse("text")).otherwise(F.col("text")))
+    store.commit("reviews", before.drop("doc_id"))
+    older = index_reviews(store.read("reviews"), new_path(spark, "index"))
+    store.upsert("reviews", materialize(now.filter(changed).drop("doc_id"), "changed"))
+    rows = touched(store.read("reviews"), asked_variants(spark), older, match="index")
+    return rows.filter(F.size("found") > 0).drop("score")
+
+
 def asked_items(spark: SparkSession, sf: str) -> DataFrame:
     """Every sentence of every benchmark item as a phrase, one query per item."""
     items = table(spark, sf, "benchmark").select(

@@ -1,6 +1,7 @@
 """Index, search and recommendation on small tables, against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vouch.operators import bm25, phrase_index
+from vouch.operators.phrase_index import touched_by_index, touched_by_words
 from vouch.operators.queries import query_table, with_variants
 from vouch.operators.ranking import best_places, evidence, of_places
 from vouch.plans.indexing import build_index, index_reviews
@@ -125,7 +127,7 @@ def test_phrases_by_index_equal_a_scan(spark, asked):
     keep = ["qid", "review_id", "place_id", "copy_key", "found"]
     scan = touched(reviews, queries, None, match="scan").select(*keep)
     indexed = touched(reviews, queries, index, bm25_top_n=0, match="index").select(*keep)
-    automaton = touched(reviews, queries, None, match="automaton").select(*keep)
+    saved = touched_by_index(index, reviews, queries).select(*keep)
     wanted = sorted(
         (q.qid, r[0], r[1], r[3][:120], [v for v in q.variants if v in r[3].lower()])
         for q in queries.collect()
@@ -134,7 +136,7 @@ def test_phrases_by_index_equal_a_scan(spark, asked):
     )
     assert sorted(map(tuple, scan.collect())) == wanted
     assert sorted(map(tuple, indexed.collect())) == wanted
-    assert sorted(map(tuple, automaton.collect())) == wanted
+    assert sorted(map(tuple, saved.collect())) == wanted
 
 
 def test_hits_come_from_the_reviews_and_not_from_an_older_index(spark):
@@ -158,7 +160,39 @@ def test_phrases_without_letters_are_found_in_every_number(spark, monkeypatch):
 
 def test_nothing_to_look_for(spark):
     queries = with_variants(query_table(spark, ["x"])).withColumn("variants", F.array().cast("array<string>"))
-    assert touched(reviews_of(spark, PHRASED), queries, None, match="automaton").collect() == []
+    assert touched(reviews_of(spark, PHRASED), queries, None, match="index").collect() == []
+
+
+@pytest.mark.parametrize("limit, small", [(20_000, 32 << 20), (20, 0)])
+def test_many_phrases_equal_a_scan(spark, monkeypatch, limit, small):
+    # on both sides of the bounds: words listed in the scan and a broadcast dictionary, or a salted join by shuffle
+    monkeypatch.setattr(phrase_index, "SMALL_ROWS", limit)
+    monkeypatch.setattr(phrase_index, "SMALL_BYTES", small)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    reviews = reviews_of(spark, [(str(i), str(i % 7), "P", text(30).capitalize()) for i in range(200)])
+    asked = [(text(rng.randint(1, 3)), [text(2), word() + "-" + word()]) for _ in range(150)]
+    queries = with_variants(query_table(spark, asked))
+    keep = ["qid", "review_id", "place_id", "copy_key", "found"]
+    found = touched(reviews, queries, None, match="index").select(*keep).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, touched(reviews, queries, None, match="scan").select(*keep).collect()))
+    assert len(found) > 1_000
+
+
+def test_more_phrases_than_a_scan_takes(spark):
+    made = spark.range(21_000).select(
+        F.col("id").alias("qid"), F.array(F.concat(F.lit("aqua "), F.col("id").cast("string"))).alias("variants")
+    )
+    reviews = reviews_of(spark, PHRASED + [("8", "t", "T", "aqua 20999 aqua 7"), ("9", "t", "T", "aqua 77")])
+    found = touched(reviews, made.withColumn("query", F.lit("")), None).collect()
+    assert {(r.qid, r.review_id) for r in found} == {(20_999, "8"), (2, "8"), (20, "8"), (209, "8"), (2_099, "8"), (7, "8"), (7, "9"), (77, "9")}
+
+
+def test_phrases_never_leave_the_jvm(spark):
+    queries = with_variants(query_table(spark, [("aqua k", [f"word {i}" for i in range(30)])]))
+    plan = touched_by_words(reviews_of(spark, PHRASED), queries)._jdf.queryExecution().executedPlan().toString()
+    assert not any(name in plan for name in ("Python", "Arrow", "Pandas")), plan
 
 
 def test_samples(spark):

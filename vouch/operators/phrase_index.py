@@ -1,20 +1,21 @@
-"""Exact phrase hits through the inverted index instead of a scan of all text.
+"""Exact phrase hits of many phrases: a dictionary of their rarest words meets the words of the texts.
 
 A phrase that occurs in a text puts each of its words inside one token of the text: a
 word with phrase characters on both sides is the whole token, one at the start of the
 phrase ends it, one at the end starts it, and a phrase that is a single word lies
-anywhere in it.  So one word of each phrase is looked up in the vocabulary, the
-documents of the tokens found are fetched, and only their text is searched.
+anywhere in it.  So each word of a phrase is a way to look it up in the vocabulary; the way
+that meets the fewest documents is taken.  The tokens found make the dictionary, which the
+distinct tokens of the texts are joined with, and only the texts met are searched.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vouch.functions.text import TOKEN
+from vouch.functions.text import TOKEN, let, tokenize
 from vouch.operators.bm25 import Index
 from vouch.operators.exact import COPY_PREFIX, TOUCHED, has_variant
-from vouch.session import SMALL_ROWS, materialize, small_rows
+from vouch.session import SMALL_BYTES, SMALL_ROWS, file_bytes, materialize, small_rows
 from vouch.sources.tables import keyed_join
 
 _EDGE = r"[\p{L}\p{N}]"
@@ -34,33 +35,25 @@ def _words(variant: Column) -> Column:
         how = (
             F.when(first & last, "inside").when(first, "tail").when(last, "head").otherwise("whole")
         )
-        return F.struct(
-            F.when(how == "whole", 1).otherwise(0).alias("exact"),
-            F.length(text).alias("size"),
-            how.alias("how"),
-            text.alias("piece"),
-        )
+        return F.struct(how.alias("how"), text.alias("word"))
 
     return F.transform(words, word)
 
 
-def anchors(queries: DataFrame) -> DataFrame:
-    """``variant, how, word, piece``: the word each distinct phrase is looked up by.
-
-    ``piece`` is the part of the word that is matched by equality.
-    """
-    variants = queries.select(F.explode("variants").alias("variant")).distinct()
-    found = variants.withColumn("anchor", F.array_max(_words(F.col("variant")))).select(
-        "variant", "anchor.how", F.col("anchor.piece").alias("word")
-    )
-    how, word = F.col("how"), F.col("word")
-    piece = (
+def _piece(how: Column, word: Column) -> Column:
+    """The part of a word that is matched by equality."""
+    return (
         F.when(how == "tail", F.right(word, F.lit(_LOOKED_UP["tail"])))
         .when(how == "head", F.substring(word, 1, _LOOKED_UP["head"]))
         .when(how == "inside", F.substring(word, 1, _LOOKED_UP["inside"]))
         .otherwise(word)
     )
-    return found.withColumn("piece", piece)
+
+
+def ways(queries: DataFrame) -> DataFrame:
+    """``variant, how, word``: every word by which each distinct phrase could be looked up; nulls where it has none."""
+    variants = queries.select(F.explode("variants").alias("variant")).distinct()
+    return variants.select("variant", F.explode_outer(_words(F.col("variant"))).alias("way")).select("variant", "way.*")
 
 
 def _part(how: str, piece: Column) -> Column:
@@ -82,60 +75,83 @@ def _pieces(term: Column, sizes: dict[str, list[int]]) -> Column:
     return F.concat(F.array(_part("whole", term), *heads, *tails), *inside)
 
 
-def candidate_documents(index: Index, queries: DataFrame) -> DataFrame:
-    """``variant, doc_id`` of the documents that may hold the phrase."""
-    if index.stop or index.vocab is not None:
-        raise ValueError("phrases need an index of all words as written")
-    looked_up = anchors(queries).filter(F.col("piece").isNotNull())
+def dictionary(terms: DataFrame, options: DataFrame) -> DataFrame:
+    """``term, variant``, written: the tokens of which a text that holds the phrase has one.
+
+    ``terms(term, df)`` is the vocabulary.  Of the words of a phrase the one whose tokens are in the
+    fewest documents counts.  A phrase with a word that fits no token occurs nowhere and is left out.
+    """
+    how, word = F.col("how"), F.col("word")
+    looked_up = materialize(
+        options.filter(word.isNotNull()).select("how", "word").distinct().withColumn("piece", _piece(how, word)), "lookups"
+    )
     # a handful of kinds and lengths, whatever the number of phrases
     lengths = looked_up.groupBy("how").agg(F.collect_set(F.length("piece")).alias("sizes"))
     sizes = {row["how"]: sorted(row["sizes"]) for row in lengths.collect()}
-    vocabulary = index.terms.select("term", F.inline(_pieces(F.col("term"), sizes)))
-    few = small_rows(looked_up) is not None
-    joined = vocabulary.join(F.broadcast(looked_up) if few else looked_up, ["how", "piece"])
-    how, term, word = F.col("how"), F.col("term"), F.col("word")
+    term = F.col("term")
     fits = (
         F.when(how == "head", term.startswith(word))
         .when(how == "tail", term.endswith(word))
         .when(how == "inside", F.contains(term, word))
         .otherwise(F.lit(True))
     )
-    tokens = materialize(joined.filter(fits).select("term", "variant").distinct(), "tokens")
-    rows = small_rows(tokens.select("term").distinct(), 1000)
-    postings = index.postings.filter(F.col("term") != "").select("term", "doc_id")
-    if rows is not None:
-        postings = postings.filter(F.col("term").isin([row["term"] for row in rows]))
-    return postings.join(tokens, "term").select("variant", "doc_id").distinct()
+    parts = terms.select("term", "df", F.inline(_pieces(term, sizes)))
+    small = file_bytes(looked_up) <= SMALL_BYTES
+    met = parts.join(F.broadcast(looked_up) if small else looked_up, ["how", "piece"]).filter(fits)
+    met = materialize(met.select("how", "word", "term", "df").distinct(), "met")
+    weight = met.groupBy("how", "word").agg(F.sum("df").alias("documents"))
+    way = F.struct(F.coalesce("documents", F.lit(0)).alias("documents"), (-F.length("word")).alias("size"), how, word)
+    rarest = (
+        options.filter(word.isNotNull())
+        .join(weight, ["how", "word"], "left")
+        .groupBy("variant")
+        .agg(F.min(way).alias("way"))
+        .select("variant", "way.how", "way.word")
+    )
+    return materialize(rarest.join(met, ["how", "word"]).select("term", "variant").distinct(), "dictionary")
 
 
-def touched_by_index(index: Index, reviews: DataFrame, queries: DataFrame) -> DataFrame:
-    """What ``touched_reviews`` finds by scanning, without text hits."""
-    maybe = candidate_documents(index, queries).withColumnRenamed("doc_id", "review_id")
+def _met(tokens: DataFrame, words: DataFrame, salts: int = 32) -> DataFrame:
+    """``doc_id, variants`` of the documents whose ``tokens(doc_id, term)`` meet the dictionary.
+
+    A small dictionary is broadcast.  A larger one is joined by shuffle, each word cut into ``salts`` parts so
+    that no task gets all the documents of a frequent one.
+    """
+    if file_bytes(words) <= SMALL_BYTES:
+        rows = small_rows(words.select("term").distinct(), 1000)
+        if rows is not None:  # listed in the scan filter, so that an index reads only their pages
+            tokens = tokens.filter(F.col("term").isin([row["term"] for row in rows]))
+        met = tokens.join(F.broadcast(words), "term")
+    else:
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+        every = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = tokens.withColumn("salt", salt).join(every, ["term", "salt"])
+    return met.groupBy("doc_id").agg(F.collect_set("variant").alias("variants"))
+
+
+def _confirmed(maybe: DataFrame, reviews: DataFrame, queries: DataFrame, options: DataFrame) -> DataFrame:
+    """Touched reviews: those of ``maybe(doc_id, variants)`` that hold a phrase, and those with a phrase without words."""
     texts = reviews.select(
         *[c for c in ("shard", "review_id", "place_id", "place_name", "text") if c in reviews.columns]
     )
-    confirmed = keyed_join(maybe, texts, "review_id").filter(
-        has_variant(F.lower("text"), F.col("variant"))
+    columns = ["review_id", "place_id", "place_name", F.substring("text", 1, COPY_PREFIX).alias("copy_key")]
+    holds = lambda phrases: let(
+        F.lower("text"), lambda low: F.filter(phrases, lambda v: has_variant(low, v))
+    )
+    found = keyed_join(maybe.withColumnRenamed("doc_id", "review_id"), texts, "review_id").select(
+        *columns, F.explode(holds(F.col("variants"))).alias("variant")
     )
     # a phrase without letters or digits has no word to look up
-    wordless = anchors(queries).filter(F.col("piece").isNull()).select("variant")
-    wordless = materialize(wordless, "wordless")
-    count = wordless.count()
-    blocks = -(-count // (SMALL_ROWS // 2))  # each a constant of bounded length in the tasks of a scan
+    wordless = materialize(options.filter(F.col("word").isNull()).select("variant"), "wordless")
+    blocks = -(-wordless.count() // (SMALL_ROWS // 2))  # each a constant of bounded length in the tasks of a scan
     for number in range(blocks):
         block = wordless.filter(F.pmod(F.xxhash64("variant"), F.lit(blocks)) == number)
         signs = block.agg(F.collect_list("variant")).scalar()
-        scanned = texts.withColumn("signs", signs).select(
-            "*", F.explode(F.filter(F.col("signs"), lambda v: has_variant(F.lower("text"), v))).alias("variant")
-        )
-        confirmed = confirmed.select("variant", "review_id", "place_id", "place_name", "text").unionByName(
-            scanned.select("variant", "review_id", "place_id", "place_name", "text")
-        )
+        scanned = texts.withColumn("variants", signs)
+        found = found.unionByName(scanned.select(*columns, F.explode(holds(F.col("variants"))).alias("variant")))
     asked = queries.select("qid", F.explode("variants").alias("variant"))
     return (
-        confirmed.withColumn("copy_key", F.substring("text", 1, COPY_PREFIX))
-        .select("variant", "review_id", "place_id", "place_name", "copy_key")
-        .join(asked, "variant")
+        found.join(asked, "variant")
         .groupBy("qid", "review_id")
         .agg(
             F.first("place_id").alias("place_id"),
@@ -146,3 +162,24 @@ def touched_by_index(index: Index, reviews: DataFrame, queries: DataFrame) -> Da
         .withColumn("score", F.lit(None).cast("double"))
         .select(*TOUCHED)
     )
+
+
+def touched_by_index(index: Index, reviews: DataFrame, queries: DataFrame) -> DataFrame:
+    """What ``touched_reviews`` finds by scanning, without text hits, through the postings of a saved index of these reviews."""
+    if index.stop or index.vocab is not None:
+        raise ValueError("phrases need an index of all words as written")
+    options = materialize(ways(queries), "ways")
+    words = dictionary(index.terms, options)
+    tokens = index.postings.filter(F.col("term") != "").select("doc_id", "term")
+    return _confirmed(_met(tokens, words), reviews, queries, options)
+
+
+def touched_by_words(reviews: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same without an index: the distinct tokens of each text are written once, for the vocabulary and the join."""
+    options = materialize(ways(queries), "ways")
+    held = reviews.select(
+        F.col("review_id").alias("doc_id"), F.array_distinct(tokenize(F.col("text"))).alias("tokens")
+    )
+    tokens = materialize(held, "tokens").select("doc_id", F.explode("tokens").alias("term"))
+    words = dictionary(tokens.groupBy("term").agg(F.count("*").alias("df")), options)
+    return _confirmed(_met(tokens, words), reviews, queries, options)

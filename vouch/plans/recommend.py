@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from vouch.functions import display
 from vouch.functions.text import snippet
-from vouch.operators.bm25 import Index, build
-from vouch.operators.corpus import corpus
+from vouch.operators.bm25 import Index
 from vouch.operators.exact import place_hits, touched_reviews, variant_hits
-from vouch.operators.multi_match import MANY_PHRASES, ahocorasick, touched_by_automaton
-from vouch.operators.phrase_index import touched_by_index
+from vouch.operators.phrase_index import touched_by_words
 from vouch.operators.queries import with_variants
 from vouch.operators.ranking import (
     best_places,
@@ -36,15 +34,16 @@ def _blocks(asked: DataFrame) -> list[DataFrame]:
     return [asked.filter(block == number) for number in range(count)]
 
 
+# with fewer phrases than this each text is compared with each phrase
+MANY_PHRASES = 24
+
+
 def _way_to_match(asked: DataFrame, wildcards: bool) -> str:
-    """How to find the phrases: by their number, which only the driver side can tell."""
-    phrases = small_rows(asked.select(F.explode("variants")).distinct())
+    """How to find the phrases: by their number."""
     if wildcards:
         return "scan"
-    if phrases is None:
-        return "index"
-    many = len(phrases) > MANY_PHRASES and ahocorasick is not None
-    return "automaton" if many else "scan"
+    phrases = small_rows(asked.select(F.explode("variants")).distinct(), MANY_PHRASES)
+    return "index" if phrases is None else "scan"
 
 
 def touched(
@@ -57,29 +56,19 @@ def touched(
 ) -> DataFrame:
     """Reviews bearing on the queries ``asked(qid, query, variants)``, as a written table.
 
-    ``match`` says how phrases are found, all with the same result: ``scan`` compares
-    each text with each phrase, ``automaton`` looks for many phrases in one pass, and
-    ``index`` looks up words of the phrases in an index of these reviews, for query tables
-    that are too large for the driver.  Hits come from the reviews given in every way.
+    ``match`` says how phrases are found, with the same result: ``scan`` compares
+    each text with each phrase, ``index`` looks up the rarest word of each of many phrases among
+    the words of the texts.  Hits come from the reviews given in either way, as a saved index may be older.
     """
     hits = None if index is None else ranked_hits(index, asked, bm25_top_n)
     if match == "auto":
         match = _way_to_match(asked, wildcards)
-    if match == "automaton":
-        pairs = small_rows(asked.select("qid", "variants"))
-        # too many for the driver, or nothing to look for
-        if pairs is None or not any(row["variants"] for row in pairs):
-            match = "scan"
     if match == "scan":
         blocks = [touched_reviews(reviews, block, hits, wildcards) for block in _blocks(asked)]
         return materialize(reduce(DataFrame.unionByName, blocks), "touched")
-    if match == "automaton":
-        rows = touched_by_automaton(reviews, pairs, asked.schema["qid"].dataType)
-    elif match == "index":
-        # from the reviews given: a saved index may be older than they are
-        rows = touched_by_index(build(corpus(reviews)), reviews, asked)
-    else:
+    if match != "index":
         raise ValueError(f"unknown way to match {match!r}")
+    rows = touched_by_words(reviews, asked)
     if hits is not None:
         rows = rows.unionByName(located_hits(hits, reviews))
     return materialize(rows, "touched")
