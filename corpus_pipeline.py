@@ -1,11 +1,16 @@
-"""From raw documents to training data: each stage works on all rows that the one before kept."""
+"""From raw documents to training data: each stage works on all rows that the one before kept.
+
+Rows are told apart as rows, not by id: a row without id or one that shares its id is judged for itself.  Null and empty texts
+pass every stage.  Columns that the documents have besides their own are carried along whatever their name, except that
+the last stage numbers its own columns where theirs have the same name.  An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vouch.llm.mixing import mix_documents
-from vouch.llm.near_dup import near_duplicates
+from vouch.llm.near_dup import drop_near_duplicates
 from vouch.llm.queries import MIX, label_domains, piece_model
 from vouch.llm.sentencepiece import encode
 from vouch.llm.spans import remove_repeated_spans
@@ -20,11 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8."""
-    lost = near_duplicates(docs, n=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("lost_id"))
-    lost = materialize(lost.distinct(), "lost")
-    kept = docs.join(lost, docs["doc_id"] == lost["lost_id"], "left_anti")
-    return kept.select(*docs.columns)
+    """One row of each group of near copies (five words, similarity 0.8): that with the smallest id."""
+    return drop_near_duplicates(docs, n=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +41,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ids and whether decoding gives the text back."""
-    model = piece_model(spark)
-    return encode(docs, model, check_col="round_trip").withColumn("n_tokens", F.size("ids"))
+    """Documents with ``ids``, ``round_trip`` (whether decoding gives the text back) and ``n_tokens``.
+
+    A column of the documents keeps such a name; the stage's own is then called ``ids_2`` and so on.
+    """
+    encoded = encode(docs, piece_model(spark), check_col="round_trip")
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("ids", "round_trip", "n_tokens"):
+        names.append(next(n for n in [name, *[f"{name}_{i}" for i in range(2, len(taken) + 3)]] if n.lower() not in taken))
+    own = encoded.toDF(*[f"c{i}" for i in range(len(encoded.columns))])
+    return own.withColumn("size", F.size(f"c{len(docs.columns)}")).toDF(*docs.columns, *names)
 
 
 STAGES = [
@@ -57,6 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table, each but the last written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
