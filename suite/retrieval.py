@@ -11,7 +11,7 @@ from vouch.operators import bm25, exact, ranking
 from vouch.operators.corpus import export_corpus
 from vouch.operators.phrase_index import touched_by_index
 from vouch.operators.queries import query_table, with_variants
-from vouch.plans.indexing import build_index, index_reviews, index_stats
+from vouch.plans.indexing import append_reviews, build_index, index_reviews, index_stats
 from vouch.plans.recommend import touched
 from vouch.plans.search import search, search_display
 from vouch.session import materialize, new_path
@@ -254,6 +254,30 @@ def _(spark, sf):
     return bm25.load(spark, path).terms
 
 
+@query(
+    "q2_index_appended",
+    with_views(
+        """SELECT term, doc_id, tf, dl, df, n_docs, avgdl
+           FROM postings JOIN docs USING (doc_id) JOIN terms USING (term), stats""",
+        INDEX,
+    ),
+)
+def _(spark, sf):
+    # three segments: half of the reviews, some in an older form; the older ones replaced and more added; one more part
+    now, path, doc = reviews_v(spark, sf), new_path(spark, "index"), F.col("doc_id")
+    older = now.withColumn("text", F.when(doc % 6 == 0, F.concat("text", F.lit(" old words"))).otherwise(F.reverse("text")))
+    index_reviews(older.filter(doc % 2 == 0).drop("doc_id"), path)
+    append_reviews(spark, materialize(now.filter((doc % 2 == 0) | (doc % 3 == 0)).drop("doc_id"), "more"), path)
+    index = append_reviews(spark, materialize(now.filter((doc % 3 != 0)).drop("doc_id"), "rest"), path)
+    words = index.postings.filter(F.col("term") != "")
+    return words.join(index.terms, "term").crossJoin(F.broadcast(index.stats))
+
+
+@query("b8_pruned_hits", with_views("SELECT * FROM ranked WHERE rank <= 50", SCORES))
+def _(spark, sf):
+    return bm25.top_hits(saved_index(spark, sf), asked_queries(spark), 50, prune_postings=0)
+
+
 MATCHES = f"""
 {ASKED_SQL},
 matches AS (

@@ -106,6 +106,50 @@ def reviews_of(spark, rows):
     return conform(made, REVIEWS, F.lit("s"))
 
 
+def some_documents(seed, n):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(200)]
+    return [(str(i), " ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(200)], k=rng.randint(1, 60)))) for i in range(n)]
+
+
+def test_pruned_hits_equal_all_scores(spark):
+    docs = some_documents(1, 3_000) + [(f"copy{i}", "w150 w3 w0") for i in range(50)]
+    corpus = spark.createDataFrame(docs, "id string, contents string")
+    index = bm25.save(bm25.build(corpus, buckets=4), new_path(spark, "index"))
+    asked = ["w0 w150 w3", "w1", "w0 w1 w2 w3 w4", "w199 w0", "nowhere", "w180 w181 nowhere w0"]
+    queries = query_table(spark, asked)
+    for top_n in (1, 10, 60):
+        whole = bm25.top_hits(index, queries, top_n, prune_postings=1 << 60)
+        pruned = bm25.top_hits(index, queries, top_n, prune_postings=0)
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, pruned.collect()))
+    rows, avgdl = bm25._asked_words(index, queries.limit(1))
+    scored = bm25.competitive_parts(index, rows, avgdl, queries.schema["qid"].dataType, 10)
+    # far fewer postings than the words have, most of which are those of the most frequent one
+    assert scored.count() < sum(row["df"] for row in rows) / 3
+
+
+def test_segments_equal_a_fresh_index(spark):
+    path, base = new_path(spark, "index"), some_documents(2, 300)
+    frame = lambda rows: spark.createDataFrame(rows, "id string, contents string")
+    bm25.save(bm25.build(frame(base), buckets=3), path)
+    second = [(i, text + " again again") for i, text in base[:50]] + [("n1", "new words"), ("n2", "w0")]
+    bm25.append(spark, path, frame(second))
+    third = [("n1", "newer words")]
+    index = bm25.append(spark, path, frame(third), spark.createDataFrame([("100",), ("n2",), ("unheard",)], "id string"))
+    now = dict(base) | dict(second) | dict(third)
+    del now["100"], now["n2"]
+    fresh = bm25.build(frame(list(now.items())))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(index.postings) == rows(fresh.postings)
+    assert rows(index.terms) == rows(fresh.terms)
+    assert rows(index.stats)[0][0] == len(now) and rows(index.stats)[0][1] == pytest.approx(rows(fresh.stats)[0][1])
+    queries = query_table(spark, ["w0 w3 again", "newer new", "w1 w150"])
+    wanted = rows(bm25.top_hits(fresh, queries, 7))
+    assert rows(bm25.top_hits(index, queries, 7)) == rows(bm25.top_hits(index, queries, 7, prune_postings=0)) == wanted
+    merged = bm25.merge(spark, path, new_path(spark, "index"))
+    assert rows(merged.postings) == rows(fresh.postings) and rows(merged.terms) == rows(fresh.terms)
+
+
 PHRASED = [
     ("1", "p", "P", "Aqua-k here, aquak there"),
     ("2", "p", "P", "AQUA K"),

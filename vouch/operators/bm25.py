@@ -10,12 +10,19 @@ aggregates of it.  The score of a document is
 
 (Robertson & Zaragoza 2009).  Scores are rounded to six digits before any sort, since
 sums added up in another order differ in the last bits.
+
+A saved index is a list of segments.  Each has its postings, the ids that it takes over from older segments (``gone``),
+and per bucket of documents and term ``tops``: documents and words added or taken away, the largest ``tf`` and the
+least ``dl``.  The newest one has the vocabulary and the statistics of all.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -28,9 +35,12 @@ SCORE_DIGITS = 6
 
 POSTINGS = "term string, doc_id string, tf bigint, dl int"
 TERMS = "term string, df bigint"
-STATS = "n_docs bigint, avgdl double"
-# kept beside the statistics of a saved index
-LAYOUT = f"{STATS}, buckets int"
+TOPS = "bucket int, term string, df bigint, length bigint, most_tf bigint, least_dl int"
+LAYOUT = "n_docs bigint, length bigint, buckets int"
+# a row per segment, written when all else of it is
+SEGMENTS = "segment int, buckets int"
+# query words with fewer postings than this are scored without looking for postings to skip
+PRUNE_POSTINGS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -41,6 +51,7 @@ class Index:
     stop: tuple[str, ...] = ()
     vocab: DataFrame | None = None
     buckets: int | None = None
+    tops: DataFrame | None = None
 
     @property
     def docs(self) -> DataFrame:
@@ -99,13 +110,84 @@ def build(
     return index_of(count_terms(corpus, stop, vocab, buckets), stop, vocab, buckets)
 
 
-def _postings_table(path: str, buckets: int) -> str:
-    """Name of the saved postings in the session's catalog."""
-    return f"postings_{hashlib.md5(path.encode()).hexdigest()}_{buckets}"
+def bucket_of(doc_id, buckets: int):
+    """The bucket that a bucketed table keeps a document in."""
+    return F.pmod(F.hash(doc_id), F.lit(buckets))
+
+
+def _segment(path: str, number: int) -> str:
+    return f"{path}/segment-{number:08d}"
+
+
+def _postings_table(folder: str, buckets: int) -> str:
+    """Name of a segment's postings in the session's catalog."""
+    return f"postings_{hashlib.md5(folder.encode()).hexdigest()}_{buckets}"
+
+
+def _tops(postings: DataFrame, buckets: int) -> DataFrame:
+    return postings.groupBy(bucket_of(F.col("doc_id"), buckets).alias("bucket"), "term").agg(
+        F.count("*").alias("df"),
+        F.sum(F.col("dl").cast("bigint")).alias("length"),
+        F.max("tf").alias("most_tf"),
+        F.min("dl").alias("least_dl"),
+    )
+
+
+def _merged(tops: DataFrame) -> DataFrame:
+    return tops.groupBy("bucket", "term").agg(
+        F.sum("df").alias("df"),
+        F.sum("length").alias("length"),
+        F.max("most_tf").alias("most_tf"),
+        F.min("least_dl").alias("least_dl"),
+    )
+
+
+def _write_segment(
+    spark: SparkSession, path: str, number: int, postings: DataFrame, buckets: int, before: Index | None, replaced
+) -> None:
+    folder = _segment(path, number)
+    (
+        postings.write.bucketBy(buckets, "doc_id")
+        .sortBy("term", "doc_id")
+        .option("path", f"{folder}/postings")
+        .saveAsTable(_postings_table(folder, buckets))
+    )
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
+    written = read("postings", POSTINGS)
+    tops = _tops(written, buckets)
+    if before is not None:
+        ids = written.filter(F.col("term") == "").select("doc_id")
+        if replaced is not None:
+            ids = ids.union(replaced.select(F.col(replaced.columns[0]).cast("string")))
+        ids.distinct().write.parquet(f"{folder}/gone")
+        lost = before.postings.join(_hinted(read("gone", "doc_id string")), "doc_id", "left_semi")
+        taken = _tops(lost, buckets).select(
+            "bucket", "term", (-F.col("df")).alias("df"), (-F.col("length")).alias("length"),
+            F.lit(0).cast("bigint").alias("most_tf"), F.lit(None).cast("int").alias("least_dl"),
+        )
+        tops = _merged(tops.unionByName(taken))
+    tops.sortWithinPartitions("term").write.parquet(f"{folder}/tops")
+    change = read("tops", TOPS)
+    terms = change.filter(F.col("term") != "").groupBy("term").agg(F.sum("df").alias("df"))
+    docs = change.filter(F.col("term") == "").select(F.col("df").alias("n_docs"), "length")
+    if before is not None:
+        terms = terms.unionByName(before.terms).groupBy("term").agg(F.sum("df").alias("df")).filter(F.col("df") > 0)
+        old = spark.read.schema(LAYOUT).parquet(f"{_segment(path, number - 1)}/stats")
+        docs = docs.unionByName(old.select("n_docs", "length"))
+    terms.sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+    totals = docs.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "length")])
+    totals.withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/stats")
+    spark.range(1).select(F.lit(number).alias("segment"), F.lit(buckets).alias("buckets")).write.mode("append").parquet(
+        f"{path}/segments"
+    )
+
+
+def _hinted(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if file_bytes(ids) <= SMALL_BYTES else ids
 
 
 def save(index: Index, path: str) -> Index:
-    """Write the index below ``path``.
+    """Write the index below ``path`` as its first segment.
 
     The postings are bucketed by document and sorted by term.  A reader skips to the pages
     of the terms it wants in every bucket; the documents of a frequent term are spread
@@ -117,35 +199,72 @@ def save(index: Index, path: str) -> Index:
     """
     spark = index.postings.sparkSession
     buckets = index.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        index.postings.write.bucketBy(buckets, "doc_id")
-        .sortBy("term", "doc_id")
-        .option("path", f"{path}/postings")
-        .saveAsTable(_postings_table(path, buckets))
-    )
-    written = index_of(spark.read.schema(POSTINGS).parquet(f"{path}/postings"))
-    written.terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    written.stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
+    _write_segment(spark, path, 1, index.postings, buckets, None, None)
     return load(spark, path, index.stop, index.vocab)
 
 
+def is_saved(spark: SparkSession, path: str) -> bool:
+    """Whether an index has been written below ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/segments")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def append(
+    spark: SparkSession,
+    path: str,
+    corpus: DataFrame,
+    replaced: DataFrame | None = None,
+    stop=None,
+    vocab: DataFrame | None = None,
+) -> Index:
+    """Add ``corpus(id, contents)`` to a saved index as a segment of its own.
+
+    Documents of the same id in older segments, and those whose id is in the first column of ``replaced``, no longer
+    count.  Only the new texts are read; of the older postings those of the replaced documents are counted,
+    to correct the vocabulary and the statistics.  One writer at a time; readers keep the segments they loaded.
+    """
+    before = load(spark, path, stop, vocab)
+    number = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").agg(F.max("segment")).first()[0] + 1
+    fresh = count_terms(corpus, stop, vocab, before.buckets)
+    _write_segment(spark, path, number, fresh, before.buckets, before, replaced)
+    return load(spark, path, stop, vocab)
+
+
+def merge(spark: SparkSession, path: str, target: str) -> Index:
+    """The live postings of all segments as one, below ``target``; no text is read."""
+    index = load(spark, path)
+    return save(Index(index.postings.repartition(index.buckets, "doc_id"), index.terms, index.stats, buckets=index.buckets), target)
+
+
 def load(spark: SparkSession, path: str, stop=None, vocab: DataFrame | None = None) -> Index:
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    stats = read("stats", LAYOUT)
-    buckets = stats.first()["buckets"]
-    name = _postings_table(path, buckets)
-    location = f"{path}/postings".replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({POSTINGS}) USING parquet CLUSTERED BY (doc_id)"
-        f" SORTED BY (term, doc_id) INTO {buckets} BUCKETS LOCATION '{location}'"
-    )
+    """A saved index; of a document in several segments the newest counts."""
+    rows = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").orderBy("segment").collect()
+    buckets, tables, gone, tops = rows[0]["buckets"], [], None, []
+    read = lambda folder, name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
+    for row in reversed(rows):
+        folder = _segment(path, row["segment"])
+        name = _postings_table(folder, buckets)
+        location = f"{folder}/postings".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({POSTINGS}) USING parquet CLUSTERED BY (doc_id)"
+            f" SORTED BY (term, doc_id) INTO {buckets} BUCKETS LOCATION '{location}'"
+        )
+        table = spark.table(name)
+        tables.append(table if gone is None else table.join(_hinted(gone), "doc_id", "left_anti").select(*table.columns))
+        tops.append(read(folder, "tops", TOPS))
+        if row["segment"] > 1:
+            ids = read(folder, "gone", "doc_id string")
+            gone = ids if gone is None else gone.union(ids)
+    newest = _segment(path, rows[-1]["segment"])
+    stats = read(newest, "stats", LAYOUT)
     return Index(
-        spark.table(name),
-        read("terms", TERMS),
-        stats.select("n_docs", "avgdl"),
+        reduce(DataFrame.unionByName, tables),
+        read(newest, "terms", TERMS),
+        stats.filter("n_docs > 0").select("n_docs", (F.col("length") / F.col("n_docs")).alias("avgdl")),
         tuple(stop or ()),
         vocab,
         buckets,
+        tops[0] if len(tops) == 1 else _merged(reduce(DataFrame.unionByName, tops)),
     )
 
 
@@ -200,15 +319,111 @@ def scores(
             "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
         )
         matched = postings.withColumn("salt", salt).join(every, ["term", "salt"])
+    return matched.groupBy("qid", "doc_id").agg(F.round(F.sum(_part(avgdl, k1, b)), SCORE_DIGITS).alias("score"))
+
+
+def _part(avgdl, k1: float, b: float):
     norm = k1 * (1 - b + b * F.col("dl") / avgdl)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return matched.groupBy("qid", "doc_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    return F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+
+
+def _asked_words(index: Index, queries: DataFrame) -> tuple[list[dict], float] | None:
+    """``qid, term, idf, df`` of the query words and the mean length, where they are few enough for the driver."""
+    rows = small_rows(query_terms(queries, index.stop, index.vocab))
+    stats = index.stats.first()
+    if not rows or stats is None or index.tops is None or not index.buckets:
+        return None
+    words = sorted({row["term"] for row in rows})
+    df = {row["term"]: row["df"] for row in index.terms.filter(F.col("term").isin(words)).collect()}
+    idf = {t: math.log(1 + (stats["n_docs"] - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    asked = [{"qid": r["qid"], "term": r["term"], "idf": idf[r["term"]], "df": df[r["term"]]} for r in rows if r["term"] in df]
+    return asked, stats["avgdl"]
+
+
+def _table(spark: SparkSession, rows: list[dict], qid_type, **kinds) -> DataFrame:
+    columns = {name: pa.array([row[name] for row in rows], kind) for name, kind in kinds.items()}
+    arrow = pa.table({"qid": [row["qid"] for row in rows], **columns})
+    return spark.createDataFrame(arrow).withColumn("qid", F.col("qid").cast(qid_type))
+
+
+def competitive_parts(
+    index: Index, asked: list[dict], avgdl: float, qid_type, top_n: int, k1: float = K1, b: float = B
+) -> DataFrame:
+    """``qid, doc_id, part``: scored postings, without those that cannot bring a document to rank ``top_n``.
+
+    The documents of a query's rarest words give it a floor.  The largest impact of each word in each bucket, and what the
+    weakest words add up to there at most, tells which words are needed: a document that has none of them stays below the
+    floor.  The postings of needed words are scored; those of the others only for documents that may still reach it.
+    """
+    spark, words = index.postings.sparkSession, F.col("term")
+    by_query = defaultdict(list)
+    for row in asked:
+        by_query[row["qid"]].append(row)
+    rare = []
+    for rows in by_query.values():
+        found = 0
+        for row in sorted(rows, key=lambda r: r["df"]):
+            if found < 8 * top_n:
+                rare.append(row)
+                found += row["df"]
+    kinds = {"term": pa.string(), "idf": pa.float64()}
+    listed = lambda df, rows: df.filter(words.isin(sorted({r["term"] for r in rows})))
+    postings = index.postings.filter(words != "")
+    scored = listed(postings, rare).join(F.broadcast(_table(spark, rare, qid_type, **kinds)), "term")
+    partial = scored.groupBy("qid", "doc_id").agg(F.sum(_part(F.lit(avgdl), k1, b)).alias("score"))
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score")))
+    floors = {r["qid"]: r["score"] for r in partial.withColumn("n", place).filter(F.col("n") == top_n).collect()}
+    # scores are compared after rounding
+    floor = _table(spark, [{"qid": q, "floor": floors.get(q, 0.0) - 1e-5} for q in by_query], qid_type, floor=pa.float64())
+
+    top = F.col("most_tf") / (F.col("most_tf") + k1 * (1 - b + b * F.col("least_dl") / F.lit(avgdl)))
+    bounds = (
+        listed(index.tops, asked)
+        .filter((F.col("most_tf") > 0) & F.col("least_dl").isNotNull())
+        .join(F.broadcast(_table(spark, asked, qid_type, **kinds)), "term")
+        .join(F.broadcast(floor), "qid")
+        .select("qid", "bucket", "term", "idf", "floor", (F.col("idf") * (k1 + 1) * top).alias("most"))
+    )
+    weakest = W.partitionBy("qid", "bucket").orderBy("most", "term")
+    bounds = bounds.withColumn("upto", F.sum("most").over(weakest)).withColumn("needed", F.col("upto") >= F.col("floor"))
+    rest = F.coalesce(F.max(F.when(~F.col("needed"), F.col("upto"))).over(W.partitionBy("qid", "bucket")), F.lit(0.0))
+    bounds = materialize(bounds.withColumn("rest", rest), "bounds")
+    hint = F.broadcast if file_bytes(bounds) <= SMALL_BYTES else (lambda df: df)
+
+    located = listed(postings, asked).withColumn("bucket", bucket_of(F.col("doc_id"), index.buckets))
+    needed = bounds.filter("needed").select("qid", "bucket", "term", "idf", "floor", "rest")
+    first = (
+        located.join(hint(needed), ["bucket", "term"])
+        .groupBy("qid", "doc_id", "floor", "rest")
+        .agg(F.sum(_part(F.lit(avgdl), k1, b)).alias("part"))
+        .filter(F.col("part") + F.col("rest") >= F.col("floor"))
+    )
+    first = materialize(first.select("qid", "doc_id", "part"), "first")
+    others = bounds.filter("not needed").select("qid", "bucket", "term", "idf")
+    ids = first.select("qid", "doc_id")
+    few = F.broadcast(ids) if file_bytes(first) <= SMALL_BYTES else ids
+    more = located.join(hint(others), ["bucket", "term"]).join(few, ["qid", "doc_id"])
+    return first.unionByName(more.select("qid", "doc_id", _part(F.lit(avgdl), k1, b).alias("part")))
 
 
 def top_hits(
-    index: Index, queries: DataFrame, top_n: int = 10, k1: float = K1, b: float = B
+    index: Index,
+    queries: DataFrame,
+    top_n: int = 10,
+    k1: float = K1,
+    b: float = B,
+    prune_postings: int = PRUNE_POSTINGS,
 ) -> DataFrame:
-    """``qid, doc_id, score, rank``, the best ``top_n`` of each query; ties by document id."""
+    """``qid, doc_id, score, rank``, the best ``top_n`` of each query; ties by document id.
+
+    In a saved index, query words with ``prune_postings`` postings or more are scored without those that can't matter.
+    """
     order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    scored = scores(index, queries, k1, b)
+    asked = _asked_words(index, queries) if top_n > 0 and index.tops is not None else None
+    if asked and sum(row["df"] for row in asked[0]) >= max(1, prune_postings):
+        qid_type = queries.schema["qid"].dataType
+        parts = competitive_parts(index, *asked, qid_type, top_n, k1, b)
+        scored = parts.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+    else:
+        scored = scores(index, queries, k1, b)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vouch.operators import bm25
 from vouch.operators.corpus import corpus
@@ -29,6 +29,16 @@ def index_reviews(
     return index
 
 
+def append_reviews(
+    spark: SparkSession, reviews: DataFrame, path: str, stop=None, vocab: DataFrame | None = None
+) -> bm25.Index:
+    """The index below ``path`` with ``reviews`` added as a segment, in place of older reviews of the same ids.
+
+    Reviews that have no text any more drop out of the index.
+    """
+    return bm25.append(spark, path, corpus(reviews), reviews.select("review_id"), stop, vocab)
+
+
 def index_stats(reviews: DataFrame, index: bm25.Index) -> DataFrame:
     """Documents in the corpus and in the index."""
     wanted = corpus(reviews).agg(F.count("*").alias("corpus_docs"))

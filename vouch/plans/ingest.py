@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vouch.functions.ids import UNKNOWN_PLACE
-from vouch.operators.bm25 import Index
+from vouch.operators.bm25 import Index, is_saved
 from vouch.operators.upsert import latest, replace_rows
-from vouch.plans.indexing import index_reviews
+from vouch.plans.indexing import append_reviews, index_reviews
 from vouch.schemas import PLACES, REVIEWS, conform, now_utc
 from vouch.session import materialize
 from vouch.sources.entries import entry_places, entry_reviews, parsed_entries
@@ -82,25 +82,29 @@ def import_entries(
     )
 
 
-def import_into(store: TableStore, entries: DataFrame, scraped_at: Column | None = None) -> DataFrame:
-    """Import and commit both tables; returns the counts.
-
-    The parsed entries are written first, so that the raw text is read and parsed once
-    for both tables and the counts.
-    """
+def _import(store: TableStore, entries: DataFrame, scraped_at: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Import and commit both tables; the counts and the fresh reviews."""
+    # written first, so that the raw text is read and parsed once for both tables and the counts
     parsed = materialize(parsed_entries(entries), "parsed")
     for name, rows in zip(("places", "reviews"), fresh_rows(parsed, scraped_at)):
         # written first, as the rows are used twice and their size decides the join
         fresh = materialize(rows, f"fresh-{name}")
         store.upsert(name, fresh)
-    return import_stats(parsed)
+    return import_stats(parsed), fresh
+
+
+def import_into(store: TableStore, entries: DataFrame, scraped_at: Column | None = None) -> DataFrame:
+    """Import and commit both tables; returns the counts."""
+    return _import(store, entries, scraped_at)[0]
 
 
 def import_and_index(
     store: TableStore, entries: DataFrame, index_path: str, scraped_at: Column | None = None
 ) -> tuple[DataFrame, Index | None]:
-    """Import, then build the index when there are reviews."""
-    stats = import_into(store, entries, scraped_at)
+    """Import, then let the index follow: a new one of all reviews, or the imported ones appended to that below ``index_path``."""
+    stats, fresh = _import(store, entries, scraped_at)
+    if is_saved(store.spark, index_path):
+        return stats, append_reviews(store.spark, fresh, index_path)
     reviews = store.read("reviews")
     index = None if reviews.isEmpty() else index_reviews(reviews, index_path)
     return stats, index
