@@ -21,7 +21,7 @@ from vouch.sources.tables import keyed_join
 _EDGE = r"[\p{L}\p{N}]"
 
 # characters of a word that are looked up; the rest is compared afterwards
-_LOOKED_UP = {"head": 4, "tail": 4, "inside": 6}
+_LOOKED_UP = {"head": 4, "tail": 4, "inside": 4}
 
 
 def _words(variant: Column) -> Column:
@@ -69,10 +69,11 @@ def _inside(term: Column, size: int) -> Column:
 
 def _pieces(term: Column, sizes: dict[str, list[int]]) -> Column:
     """The parts of a token that an anchor of the given kinds and sizes could equal."""
-    heads = [_part("head", F.substring(term, 1, size)) for size in sizes.get("head", [])]
-    tails = [_part("tail", F.right(term, F.lit(size))) for size in sizes.get("tail", [])]
+    size_of = F.length(term)
+    heads = [F.when(size_of >= n, _part("head", F.substring(term, 1, n))) for n in sizes.get("head", [])]
+    tails = [F.when(size_of >= n, _part("tail", F.right(term, F.lit(n)))) for n in sizes.get("tail", [])]
     inside = [_inside(term, size) for size in sizes.get("inside", [])]
-    return F.concat(F.array(_part("whole", term), *heads, *tails), *inside)
+    return F.concat(F.array_compact(F.array(_part("whole", term), *heads, *tails)), *inside)
 
 
 def dictionary(terms: DataFrame, options: DataFrame) -> DataFrame:
@@ -98,7 +99,8 @@ def dictionary(terms: DataFrame, options: DataFrame) -> DataFrame:
     parts = terms.select("term", "df", F.inline(_pieces(term, sizes)))
     small = file_bytes(looked_up) <= SMALL_BYTES
     met = parts.join(F.broadcast(looked_up) if small else looked_up, ["how", "piece"]).filter(fits)
-    met = materialize(met.select("how", "word", "term", "df").distinct(), "met")
+    # a token has each part once, and each word one part
+    met = materialize(met.select("how", "word", "term", "df"), "met")
     weight = met.groupBy("how", "word").agg(F.sum("df").alias("documents"))
     way = F.struct(F.coalesce("documents", F.lit(0)).alias("documents"), (-F.length("word")).alias("size"), how, word)
     rarest = (

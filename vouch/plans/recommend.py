@@ -34,8 +34,8 @@ def _blocks(asked: DataFrame) -> list[DataFrame]:
     return [asked.filter(block == number) for number in range(count)]
 
 
-# with fewer phrases than this each text is compared with each phrase
-MANY_PHRASES = 24
+# up to so many phrases comparing each text with each of them costs less than cutting it into words
+MANY_PHRASES = 1_000
 
 
 def _way_to_match(asked: DataFrame, wildcards: bool) -> str:
