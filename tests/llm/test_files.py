@@ -3,10 +3,11 @@
 import random
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vouch.llm.queries import RULES
+from vouch.llm.queries import ORACLES, RULES
 from vouch.llm.sharding import balanced_shards
 from vouch.llm.url_filter import judge_urls
 from vouch.llm.warc import (
@@ -124,6 +125,31 @@ def test_a_bad_section_of_a_wide_host_keeps_its_template(spark):
     assert {r.template.split("/")[0] for i, r in got.items() if i % 40 != 7} == {"*"}
 
 
+def test_like_sections_share_a_wildcard_and_sql_agrees(spark):
+    # 40 sections: three all bad, two half bad, the others good; and odd rows
+    bad = lambda i: 1 if i % 40 < 3 else i // 40 % 2 if i % 40 < 5 else 0
+    name = lambda i: "abcdefgh"[i % 40 // 8] + "abcdefgh"[i % 8]
+    urls = [(i, f"http://Wide.example/{name(i)}/x{i}/y") for i in range(12_000)]
+    urls += [(None, "http://wide.example/aa/1"), (20_000, None), (20_001, "no scheme"), (20_002, "http://wide.example/" + "a/" * 9_000)]
+    marks = [(i, bad(i)) for i in range(0, 12_000, 2)] + [(i, bad(i)) for i in range(1, 12_000, 4)]
+    pages = spark.createDataFrame(urls, "page_id bigint, url string")
+    labels = spark.createDataFrame(marks, "id bigint, bad int")
+    rows = judge_urls(pages, labels, RULES).drop("purity")
+    got = {r.page_id: r for r in rows.collect()}
+    assert len({got[i].template.split("/")[0] for i in (0, 1, 2)}) == 1 and got[0].template.startswith("*9/")
+    assert {got[i].template.split("/")[0] for i in range(5, 40)} <= {"*", "*0"}
+    assert all(got[i].verdict == "block" for i in range(0, 12_000) if i % 40 < 3)
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE pages (page_id bigint, url varchar)")
+    connection.execute("CREATE TABLE labels (doc_id bigint, quality int, toxic int)")
+    connection.register("given_urls", pages.toPandas())
+    connection.register("given_marks", labels.toPandas())
+    connection.execute("INSERT INTO pages SELECT page_id, url FROM given_urls")
+    connection.execute("INSERT INTO labels SELECT id, 1, bad FROM given_marks")
+    wanted = connection.execute(f"SELECT {', '.join(rows.columns)} FROM ({ORACLES['op6_url_filter']})").fetchall()
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in rows.collect())
+
+
 def test_urls_of_an_empty_table(spark):
     assert judged(spark, []) == {}
 

@@ -50,6 +50,18 @@ def test_ids_equal_those_of_the_library():
             assert decoder(own) == library.decode(own.tolist()) == text
 
 
+def test_very_long_words_and_runs_of_spaces():
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_proto=raw_model())
+    encoder = Encoder(PieceModel.load(raw_model()))
+    rng = random.Random(3)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300_000))
+    mixed = "".join(rng.choices(["日本語", "テスト", "ß", "  ", "abc", "漢字", "😀"], k=2_000))
+    given = [" " * 1_000_000, "a" + " " * 70_001 + "b" + " " * 33, cjk, mixed, "".join(rng.choices("etaoin", k=700))]
+    ids, at = encoder(given)
+    for i, text in enumerate(given):
+        assert ids[at[i] : at[i + 1]].tolist() == library.encode(text), i
+
+
 def best_score(model, word):
     best = [0.0] + [-np.inf] * len(word)
     for end in range(1, len(word) + 1):

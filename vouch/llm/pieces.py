@@ -13,6 +13,7 @@ maximum is the encoding that merging by rank gives, without merging.
 
 from __future__ import annotations
 
+import heapq
 import re
 from dataclasses import dataclass, field
 from itertools import chain
@@ -154,17 +155,31 @@ class PieceModel:
 
     def merge(self, word: str) -> list[int]:
         """Numbers of a word by merging the best adjacent pair, the leftmost of equal ones."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                n = self.number.get(parts[i] + parts[i + 1])
-                if n is not None and (best is None or self.score_of[n] > best):
-                    best, at = self.score_of[n], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.number.get(p, self.unk_number) for p in parts]
+        parts, after = list(word), list(range(1, len(word) + 1))
+        before, end = list(range(-1, len(word) - 1)), len(word)
+        waiting = []  # pairs by falling score, then place; those whose parts have changed since are passed over
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < end:
+                text = parts[i] + parts[j]
+                n = self.number.get(text)
+                if n is not None:
+                    heapq.heappush(waiting, (-self.score_of[n], i, j, text))
+
+        for i in range(end - 1):
+            offer(i)
+        while waiting:
+            _, i, j, text = heapq.heappop(waiting)
+            if parts[i] is None or after[i] != j or parts[i] + parts[j] != text:
+                continue
+            parts[i], parts[j], after[i] = text, None, after[j]
+            if after[i] < end:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [self.number.get(p, self.unk_number) for p in parts if p is not None]
 
     def _prepare_merges(self, text_of: list[str]) -> None:
         size = len(text_of)
@@ -279,6 +294,9 @@ class PieceModel:
         return numbers, lengths
 
 
+_LONG = 48  # characters of a word that is worth looking for cuts in
+
+
 class Encoder:
     """Ids of texts; remembers the words it has cut, up to ``most_words`` of them."""
 
@@ -287,6 +305,8 @@ class Encoder:
 
     def __init__(self, model: PieceModel, most_words: int = 150_000, chunk: int = 20_000):
         self.model, self._most, self._chunk = model, most_words, chunk
+        # two signs that no piece has side by side: words may be cut between them
+        self._inner = {p[i : i + 2] for p in model.number for i in range(len(p) - 1)}
         self._whole = any("\n" in p or SPACE in p.lstrip(SPACE) for p in model.number)
         self._forget()
 
@@ -297,7 +317,15 @@ class Encoder:
 
     def _split(self, text: str) -> list[str]:
         text = (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
-        return [text] if self._whole else self._words.findall(text)
+        words = [text] if self._whole else self._words.findall(text)
+        if max(map(len, words), default=0) <= _LONG:
+            return words
+        return list(chain.from_iterable([w] if len(w) <= _LONG else self._cuts(w) for w in words))
+
+    def _cuts(self, word: str) -> list[str]:
+        """A long word in parts that no piece reaches over, so that these are cut together with words of their length."""
+        at = [0, *[i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self._inner], len(word)]
+        return [word[i:j] for i, j in zip(at, at[1:])]
 
     def _ids(self, word: str, numbers: list[int], lengths: list[int]) -> list[int]:
         out, at = [], 0

@@ -158,14 +158,17 @@ def _level_sql(k: int) -> str:
     node = ", ".join(["host", *[f"m{i}" for i in range(k)]])
     bound = "sqrt(ln(2 / 0.05::double) / 2)"
     return f"""
-b{k} AS (SELECT {node}, s{k}, sum(rows) AS rows, sum(n) AS n, sum(bad) AS bad FROM t{k} GROUP BY {node}, s{k}),
-n{k} AS (SELECT {node}, sum(rows) AS all_rows, sum(n) AS all_n, sum(bad) AS all_bad, count(*) AS width FROM b{k} GROUP BY {node}),
+b{k} AS (SELECT {node}, s{k}, sum(n) AS n, sum(bad) AS bad FROM t{k} GROUP BY {node}, s{k}),
+n{k} AS (SELECT {node}, sum(n) AS all_n, sum(bad) AS all_bad FROM b{k} GROUP BY {node}),
+c{k} AS (
+  SELECT {node}, s{k}, CASE WHEN n = 0 OR
+      abs(bad / greatest(n, 1)::double - all_bad / greatest(all_n, 1)::double)
+      <= {bound} * (1 / sqrt(greatest(n, 1)::double) + 1 / sqrt(greatest(all_n, 1)::double))
+    THEN -1 ELSE least(floor(10 * bad / greatest(n, 1)::double), 9)::int END AS tenth
+  FROM b{k} JOIN n{k} USING ({node})),
 t{k + 1} AS (
-  SELECT t{k}.*, CASE WHEN (width > 16 AND b{k}.rows * 16 < all_rows) OR b{k}.n = 0 OR
-      abs(b{k}.bad / greatest(b{k}.n, 1)::double - all_bad / greatest(all_n, 1)::double)
-      <= {bound} * (1 / sqrt(greatest(b{k}.n, 1)::double) + 1 / sqrt(greatest(all_n, 1)::double))
-    THEN '*' ELSE s{k} END AS m{k}
-  FROM t{k} JOIN b{k} USING ({node}, s{k}) JOIN n{k} USING ({node}))"""
+  SELECT t{k}.*, CASE WHEN tenth < 0 THEN '*' WHEN mates = 1 THEN s{k} ELSE '*' || tenth END AS m{k}
+  FROM t{k} JOIN (SELECT *, count(*) OVER (PARTITION BY {node}, tenth) AS mates FROM c{k}) USING ({node}, s{k}))"""
 
 
 _URL_SQL = f"""

@@ -60,7 +60,10 @@ def template_verdicts(paths: DataFrame) -> DataFrame:
 
     ``paths`` has ``host``, the levels ``s0`` and so on, and the sums ``n`` (labelled) and ``bad``.
     From the root down, a child becomes the wildcard ``*`` if its share of bad pages doesn't differ from its
-    node's, however many children the node has and however rare this one is; similar branches so become one.
+    node's, however many children the node has and however rare this one is.  Children that do differ are merged with those
+    of their own tenth of the share, as ``*0`` to ``*9``; one that is alone in its tenth keeps its name.  Similar
+    branches so become one, with their node or with each other.  Paths have ``DEPTH`` levels; the last one holds
+    all that follows, as it is.
     The purity of a template is smoothed towards the overall share.
     """
     tree = materialize(paths, "paths")
@@ -74,9 +77,17 @@ def template_verdicts(paths: DataFrame) -> DataFrame:
             branches.groupBy(*node).agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "bad")]), "nodes"
         )
         alike = _similar(F.col("n"), F.col("bad"), F.col("all_n"), F.col("all_bad"))
-        names = branches.join(nodes, node).select(
-            *node, child, F.when(alike, "*").otherwise(F.col(child)).alias(f"m{level}")
+        tenth = F.least(F.floor(10 * F.col("bad") / F.greatest(F.col("n"), F.lit(1))), F.lit(9)).cast("int")
+        dealt = materialize(
+            branches.join(nodes, node).select(*node, child, F.when(alike, -1).otherwise(tenth).alias("tenth")), "dealt"
         )
+        mates = materialize(dealt.groupBy(*node, "tenth").agg(F.count("*").alias("mates")), "mates")
+        name = (
+            F.when(F.col("tenth") < 0, "*")
+            .when(F.col("mates") == 1, F.col(child))
+            .otherwise(F.concat(F.lit("*"), F.col("tenth").cast("string")))
+        )
+        names = dealt.join(mates, [*node, "tenth"]).select(*node, child, name.alias(f"m{level}"))
         tree = materialize(tree.join(materialize(names, "names"), [*node, child]), "tree")
     template = ["host", *[f"m{i}" for i in range(DEPTH)]]
     overall = tree.agg(F.sum("n"), F.sum("bad")).first()
