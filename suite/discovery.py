@@ -8,6 +8,7 @@ from suite import query
 from suite.texts import PAGE_LINK, page_link
 from suite.views import STAMP, WS, table
 from vouch.functions.ids import slug_id, url_place_id
+from vouch.operators.blocks import ELEMENTS, NAME, NO_NESTING, PIECE, element_blocks
 from vouch.operators.extract import (
     assemble_reviews,
     block_fields,
@@ -337,6 +338,63 @@ def _(spark, sf):
     )
 
 
+# elements from start to end tag: possessive signs, which the other engine has no need of, are left out
+_PIECE = PIECE.replace("*+", "*").replace("++", "+").replace("'", "''")
+
+
+def _element_sql(names: list[str]) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    single = ", ".join(f"'{n}'" for n in NO_NESTING)
+    return f"""
+pieces AS (SELECT page_id, unnest(range(len(f))) AS pos, unnest(f) AS piece FROM (
+  SELECT page_id, regexp_extract_all(html, '{_PIECE}', 0) AS f FROM pages)),
+ends AS (SELECT *, sum(length(piece)) OVER (PARTITION BY page_id ORDER BY pos) AS stop FROM pieces),
+tags AS (
+  SELECT page_id, stop - length(piece) AS start, stop, lower(regexp_extract(piece, '{NAME}', 1)) AS name,
+         CASE WHEN piece LIKE '</%' THEN -1 WHEN piece LIKE '%/>' THEN 0 ELSE 1 END AS sign
+  FROM ends WHERE lower(regexp_extract(piece, '{NAME}', 1)) IN ({listed})),
+deep AS (SELECT *, sum(sign) OVER (PARTITION BY page_id, name ORDER BY start) + CASE WHEN sign < 0 THEN 1 ELSE 0 END AS level FROM tags),
+reached AS (
+  SELECT *, CASE WHEN sign = 0 THEN stop
+    WHEN name IN ({single}) THEN lead(CASE WHEN sign < 0 THEN stop ELSE start END) OVER (PARTITION BY page_id, name ORDER BY start)
+    ELSE lead(stop) OVER (PARTITION BY page_id, name, level, sign = 0 ORDER BY start) END AS reach
+  FROM deep),
+elements AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS block_pos, name,
+         substr(html, start::bigint + 1, coalesce(reach, length(html))::bigint - start::bigint) AS html
+  FROM reached JOIN pages USING (page_id) WHERE sign >= 0)"""
+
+
+@query("x6_nested_blocks", f"WITH {_element_sql(ELEMENTS)} SELECT page_id, block_pos, name, md5(html) AS digest FROM elements")
+def _(spark, sf):
+    # every element that bears text, nested ones inside their parents
+    blocks = element_blocks(table(spark, sf, "pages"))
+    return blocks.select("page_id", "block_pos", "name", F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+# of these the innermost hold all text of a page but that of its scripts
+PARTS = ["article", "div", "footer", "h1", "header", "li", "main", "p", "section", "table", "title"]
+_PART_FIELDS = (
+    f"{_element_sql(PARTS)}, blocks AS (SELECT page_id, block_pos, html FROM elements),\ncandidate_strings AS"
+    + FIELDS.split("candidate_strings AS", 1)[1]
+)
+
+
+@query("x6_fields_of_elements", f"WITH {_PART_FIELDS} SELECT * FROM fields")
+def _(spark, sf):
+    return block_fields(page_candidates(table(spark, sf, "pages"), SELECTORS, elements=PARTS))
+
+
+@query(
+    "q9_extract_from_elements",
+    f"""WITH {_PART_FIELDS} SELECT * EXCLUDE (page_id, block_pos, rank), '{STAMP}' AS scraped_at FROM (
+      SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY page_id, block_pos) AS rank FROM once) WHERE rank <= 50""",
+)
+def _(spark, sf):
+    found = page_candidates(table(spark, sf, "pages"), SELECTORS, elements=PARTS)
+    return extract_reviews(found, sites_v(spark, sf), 50, "newest", F.lit(STAMP))
+
+
 @query(
     "a9_discovery_stats",
     f"""WITH {LISTINGS}, {_FIRST}, {_KNOWN}, {_NEW}, {FIELDS}

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from vouch.operators.blocks import element_blocks
 from vouch.operators.extract import assemble_reviews, block_fields, cap_reviews, page_candidates
 from vouch.operators.listings import first_listings, match_listings
 
@@ -134,3 +135,39 @@ def test_reviews_of_several_blocks_and_pages(spark):
     assert {r.review_id for r in rows.collect()} == {f"p::gen_{p}_{b}" for p in (1, 2) for b in (1, 2, 3)}
     newest = [r.text for r in cap_reviews(rows, 4).orderBy("rank").collect()]
     assert newest == ["text 1 of it"] * 2 + ["text 0 of it"] * 2
+
+
+def test_nested_elements_end_where_they_end(spark):
+    html = (
+        '<div class="r" title="a > b </div>"><DIV>one <b>two</b></DIV><!-- </div> --><p>three<p>four</p>'
+        "<script>var t = '</div>';</script><div/>five</div><div>open <ul><li>x<ul><li>y</li></ul></li></ul> 2 < 3"
+    )
+    pages = spark.createDataFrame([(1, html), (2, "</div><div>late</div>"), (3, ""), (4, None)], "page_id int, html string")
+    rows = element_blocks(pages, ["div", "p", "li"]).orderBy("page_id", "block_pos").collect()
+    first = html[: html.index("<div>open")]
+    assert [(r.page_id, r.block_pos, r.name, r.html) for r in rows] == [
+        (1, 0, "div", first),
+        (1, 1, "div", "<DIV>one <b>two</b></DIV>"),
+        (1, 2, "p", "<p>three"),
+        (1, 3, "p", "<p>four</p>"),
+        (1, 4, "div", "<div/>"),
+        (1, 5, "div", html[len(first) :]),
+        (1, 6, "li", "<li>x<ul><li>y</li></ul></li>"),
+        (1, 7, "li", "<li>y</li>"),
+        (2, 0, "div", "<div>late</div>"),
+    ]
+    long = spark.createDataFrame([(1, '<p a="' + "x'>" * 200_000 + '">' + "<b>" * 50_000 + "t</p>")], "page_id int, html string")
+    assert element_blocks(long, ["p"]).select(F.length("html")).first()[0] == 750_013
+
+
+def test_reviews_out_of_nested_blocks(spark):
+    one = '<div class="review"><div><p>good {0} text</p></div><div class="meta"><i>{0} days ago</i></div></div>'
+    html = "<div id='all'>" + "".join(one.format(i) for i in (3, 1, 2)) + "</div>"
+    pages = spark.createDataFrame([(1, html)], "page_id int, html string")
+    reviews = element_blocks(pages, ["div"]).filter(F.col("html").startswith('<div class="review"'))
+    found = page_candidates(
+        reviews.select((F.col("block_pos") + 100).alias("page_id"), "html"),
+        [("text", 0, "<p>([^<]*)</p>"), ("date", 0, "<i>([^<]*)</i>")],
+    )
+    got = {(r.text, r.published_date) for r in block_fields(found).collect()}
+    assert got == {(f"good {i} text", f"{i} days ago") for i in (1, 2, 3)}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from vouch.functions.ids import source_review_id
 from vouch.functions.listing import stars
 from vouch.functions.text import is_blank, strip
+from vouch.operators.blocks import element_blocks
 
 # Limits of acceptable strings, and words that mark a span as page furniture.
 NAME_LIMIT = 120
@@ -25,12 +26,16 @@ BLOCK = ["page_id", "block_pos"]
 
 
 def page_candidates(
-    pages: DataFrame, selectors: list[tuple[str, int, str]], block: str | None = None
+    pages: DataFrame,
+    selectors: list[tuple[str, int, str]],
+    block: str | None = None,
+    elements: list[str] | None = None,
 ) -> DataFrame:
     """Candidates of stored HTML.
 
     ``selectors`` are (field, rank, pattern); group 1 of the pattern is the text.
-    ``block`` is the pattern of one review's part of a page; without it a page is one block.
+    One review's part of a page is a match of the pattern ``block``, or an element of the names ``elements`` with all
+    that is nested in it; without either a page is one block.
     """
     lists = F.array(
         *[
@@ -42,7 +47,9 @@ def page_candidates(
             for name, rank, pattern in selectors
         ]
     )
-    if block is None:
+    if elements is not None:
+        parts = element_blocks(pages, elements).drop("name")
+    elif block is None:
         parts = pages.select("page_id", F.lit(0).alias("block_pos"), "html")
     else:
         found = F.regexp_extract_all("html", F.lit(f"(?s){block}"), 0)
