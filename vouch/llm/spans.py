@@ -50,8 +50,8 @@ class Spans:
             np.searchsorted(words, words[last] - self.min_words, side="right") - 1, last - self.min_sentences
         )
         last, first = last[words[last] >= self.min_words], first[words[last] >= self.min_words]
-        both = np.unique(np.stack([np.append(start, first), np.append(end, last)], axis=1), axis=0)
-        start, end = both[:, 0], both[:, 1]
+        both = np.unique(np.append(start, first) * (len(plain) + 1) + np.append(end, last))
+        start, end = np.divmod(both, len(plain) + 1)
         hashes = b"".join(
             xxhash.xxh3_128_digest("\n".join(plain[i:j]).encode("utf-8", "replace"))
             for i, j in zip(start.tolist(), end.tolist(), strict=True)
