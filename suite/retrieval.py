@@ -442,11 +442,7 @@ def _(spark, sf):
     rows = touched(
         reviews_v(spark, sf).drop("doc_id"), asked_variants(spark), saved_index(spark, sf)
     )
-    hits = rows.filter(F.col("score").isNotNull())
-    # at most the top hits of each query, so that lists stay short
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("review_id"))))
-    listed = hits.groupBy("qid", "place_id").agg(order.alias("hits"))
-    return listed.select("qid", "place_id", F.array_join(F.col("hits.review_id"), ",").alias("reviews"))
+    return ranking.hits_by_place(rows).select("qid", "place_id", F.array_join("review_ids", ",").alias("reviews"))
 
 
 @query(

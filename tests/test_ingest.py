@@ -135,16 +135,65 @@ def test_store_and_index(spark):
     assert "PartitionFilters: [isnotnull(shard" in store.lookup("reviews", key)._jdf.queryExecution().toString()
 
 
-def test_whole_files_are_read_once_and_long_broken_lists_raise(spark, tmp_path, monkeypatch):
-    from vouch.sources import entries
-
-    (tmp_path / "a.json").write_text('[{"title":"a"}, {"title":"b"}')
-    read = entry_places(load_entries(spark, str(tmp_path), "auto"))
-    assert read.count() == 0
-    assert read._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
-    monkeypatch.setattr(entries, "LARGE_LIST", 10)
-    with pytest.raises(Exception, match="one object per line"):
-        entry_places(load_entries(spark, str(tmp_path), "auto")).collect()
+def test_long_lists_are_read_in_ranges(spark, tmp_path):
+    rows = [{"title": f"t{i}", "note": 'a "quoted" } ] [ { \\\\ brace', "user_reviews": [{"text": "x" * (i % 90)}, {}]} for i in range(3000)]
+    mixed = [v for i, row in enumerate(rows) for v in ([7, "}", [{"a": 1}]] if i % 50 == 0 else []) + [row]]
+    for name, body in {
+        "tight.json": json.dumps(mixed, separators=(",", ":")),
+        "spread.json": " " + json.dumps(mixed, indent=2, ensure_ascii=False) + "\n",
+        "plain_end.json": json.dumps(mixed + [1, "]"]),
+    }.items():
+        (tmp_path / name).write_text(body, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("9001b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = entry_places(load_entries(spark, str(tmp_path), "auto")).select("seq", "name").orderBy("seq").collect()
+            for file in ("tight", "spread", "plain_end"):
+                assert [r.name for r in read if file in r.seq.file] == [row["title"] for row in rows], (size, file)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_broken_lists_are_read_by_line(spark, tmp_path):
+    lines = ",\n".join(json.dumps({"title": f"t{i}"}) for i in range(500))
+    bodies = {
+        "no_end": "[\n" + lines,
+        "no_comma": "[\n" + lines.replace("},\n", "}\n", 1) + "\n]",
+        "last_comma": "[\n" + lines + ",\n]",
+        "more": "[\n" + lines + "\n]\n" + '{"title":"m"}',
+        "brace": "[\n" + lines + "\n]}",
+        "value": "[\n" + lines + ",\nnope]",
+        "two": "[1][2]",
+        "empty": "[]",
+        "none": "[ ]\n\n",
+        "open": "[",
+    }
+    def plain(body):
+        try:
+            value = json.loads(body)
+            return [v["title"] for v in (value if isinstance(value, list) else [value]) if isinstance(v, dict)]
+        except ValueError:
+            found = []
+            for line in body.splitlines():
+                try:
+                    value = json.loads(line)
+                except ValueError:
+                    continue
+                found += [value["title"]] if isinstance(value, dict) else []
+            return found
+
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = entry_places(load_entries(spark, str(tmp_path), "auto")).select("seq.file", "name").orderBy("seq").collect()
+            for name, body in bodies.items():
+                assert [r.name for r in read if r.file.endswith(f"/{name}.json")] == plain(body), (size, name)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_upsert_touches_only_its_shards(spark):

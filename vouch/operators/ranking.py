@@ -33,6 +33,17 @@ def best_score(touched: DataFrame) -> DataFrame:
     )
 
 
+def hits_by_place(touched: DataFrame) -> DataFrame:
+    """The text hits of each query per place, best first: ``qid, place_id, review_ids``.
+
+    A query has at most the top hits asked for, so a list is no longer than that.
+    """
+    hits = touched.filter(F.col("score").isNotNull())
+    row = F.struct((-F.col("score")).alias("order"), F.col("review_id"))
+    ranked = hits.groupBy("qid", "place_id").agg(F.array_sort(F.collect_list(row)).alias("hits"))
+    return ranked.select("qid", "place_id", F.col("hits.review_id").alias("review_ids"))
+
+
 def candidates(touched: DataFrame) -> DataFrame:
     """Places with exact hits or a positive text score, the missing side as zero.
 

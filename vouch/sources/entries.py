@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouch.functions.json import field, first_truthy, is_object, number, pick, strict_parse, truthy
 from vouch.functions.ids import content_review_id, entry_link, entry_place_id
 from vouch.functions.text import let, or_null, strip
+from vouch.session import materialize
+from vouch.sources.lists import file_ranges, list_items
 
 # Fields that may hold reviews, better ones first.
 REVIEW_LISTS = ("user_reviews_extended", "UserReviewsExtended", "user_reviews", "UserReviews")
@@ -15,6 +19,8 @@ REVIEW_LISTS = ("user_reviews_extended", "UserReviewsExtended", "user_reviews",
 # A JSON list of this many characters that cannot be parsed as a whole is reported, as the
 # engine's limit of 128 MB for one value may be the cause.
 LARGE_LIST = 64 << 20
+# The engine's limit for one value, in bytes.
+LARGEST_VALUE = 128 << 20
 
 
 def _last_key_wins(df: DataFrame) -> None:
@@ -63,11 +69,64 @@ def entries_from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def _entries_of_any(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    ranges = materialize(file_ranges(spark, path), "ranges")
+    listed = (F.col("first") == "[") & F.col("balanced")
+    # a file of one object is one value, a larger file cannot be one
+    single = (F.col("first") == "{") & (F.col("bytes") <= LARGEST_VALUE)
+    kind = F.when(listed, "list").when(single, "document").otherwise("lines")
+    files = ranges.select("file", "bytes", "block", kind.alias("kind"))
+    kinds = {r.kind for r in files.select("kind").distinct().collect()}
+    where = lambda *names: F.struct(*[F.col(c).cast(t).alias(n) for c, t, n in names]).alias("seq")
+    found, by_line = [], files.filter("kind = 'lines'").select("file").distinct()
+    if "list" in kinds:
+        _last_key_wins(ranges)
+        items = list_items(spark, path, ranges.filter(listed))
+        broken = materialize(items.filter(F.col("items").isNull()).select("file").distinct(), "broken")
+        by_line = by_line.unionByName(broken)
+        elements = spark.tvf.variant_explode(F.col("items").outer())
+        found.append(
+            items.join(broken, "file", "left_anti")
+            .lateralJoin(elements)
+            .filter(is_object(F.col("value")))
+            .select(where(("file", "string", "file"), ("block", "long", "block"), ("no", "long", "row"), ("pos", "long", "pos")), F.col("value").alias("entry"))
+        )
+    if "document" in kinds:
+        bodies = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("seq"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("body")
+        )
+        chosen = files.filter("kind = 'document'").select(F.col("file").alias("seq")).distinct()
+        whole = entries_from_documents(bodies.filter(F.col("bytes") <= LARGEST_VALUE).drop("bytes").join(chosen, "seq", "left_semi"))
+        zero = whole.withColumn("zero", F.lit(0))
+        found.append(
+            zero.select(where(("seq.seq", "string", "file"), ("zero", "long", "block"), ("zero", "long", "row"), ("seq.pos", "long", "pos")), "entry")
+        )
+    if "lines" in kinds or (kinds & {"list"} and not broken.isEmpty()):
+        lines = spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+            F.col("value"),
+        )
+        # the reader ends lines at newlines, a document also at the rarer marks
+        cut = lines.join(by_line, "file", "left_semi").select("file", "block", "row", F.posexplode(F.split("value", r"\R")).alias("pos", "line"))
+        found.append(
+            entries_from_lines(
+                cut.select(where(("file", "string", "file"), ("block", "long", "block"), ("row", "long", "row"), ("pos", "long", "pos")), "line")
+            )
+        )
+    if not found:
+        return entries_from_lines(spark.createDataFrame([], "seq struct<file:string,block:long,row:long,pos:long>, line string"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def load_entries(spark: SparkSession, path: str | list[str], format: str = "auto") -> DataFrame:
     """Entries ``seq, entry`` of the files under ``path``.
 
     ``ndjson`` reads splittable files line by line, the form for large inputs.
-    ``auto`` reads each file whole and decides per file.
+    ``auto`` decides per file, as ``entries_from_documents`` does.  A list is read by as many tasks as it has byte ranges
+    and may have any size, its elements up to 128 MB; a broken one is read line by line, whatever its size.  The files are read
+    once to tell their kinds and once more for each kind among them.
     """
     if format == "ndjson":
         lines = spark.read.text(path).select(
@@ -80,10 +139,7 @@ def load_entries(spark: SparkSession, path: str | list[str], format: str = "auto
         )
         return entries_from_lines(lines)
     if format == "auto":
-        bodies = spark.read.text(path, wholetext=True).select(
-            F.col("_metadata.file_path").alias("seq"), F.col("value").alias("body")
-        )
-        return entries_from_documents(bodies)
+        return _entries_of_any(spark, path)
     raise ValueError(f"unknown format {format!r}")
 
 
