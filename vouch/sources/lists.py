@@ -22,11 +22,14 @@ def _earlier(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(W.unboundedPreceding, -1)
 
 
-def _depth(parts: Column, inside: int) -> Column:
-    """Brackets opened less those closed in the parts outside of strings; ``inside``: the text starts in a string."""
-    bare = F.array_join(F.filter(parts, lambda _, i: i % 2 == inside), "")
-    count = lambda marks: F.length(bare) - F.length(F.translate(bare, marks, ""))
-    return count("[{") - count("]}")
+def _count(text: Column, marks: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, marks, ""))
+
+
+def _depth(marks: Column) -> Column:
+    """Brackets opened less those closed outside of strings, where ``marks`` starts outside of one."""
+    bare = F.regexp_replace(marks, '"[^"]*("|$)', "")
+    return _count(bare, "[{") - _count(bare, "]}")
 
 
 def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -38,12 +41,20 @@ def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         F.col("value").alias("piece"),
     )
-    parts = F.split(F.regexp_replace("piece", r"(?s)\\.", ""), '"', -1)
-    quotes = F.size("parts") - 1
+    # quotes and brackets alone, without escaped characters: a short text for all that follows
+    marks = F.regexp_replace("piece", r'(?s)\\.|[^"\\\[\]{}]+|\\$', "")
+    quotes = _count(F.col("marks"), '"')
     # the brace that ended the piece closes one level where it is outside of a string
-    turn = lambda inside: _depth(F.col("parts"), inside) - F.when((quotes + inside) % 2 == 0, 1).otherwise(0)
-    return read.withColumn("parts", parts).select(
-        "file", "block", "bytes", "row", "piece", quotes.alias("quotes"), turn(0).alias("from_outside"), turn(1).alias("from_inside")
+    closes = lambda inside: F.when((quotes + inside) % 2 == 0, 1).otherwise(0)
+    return read.withColumn("marks", marks).select(
+        "file",
+        "block",
+        "bytes",
+        "row",
+        "piece",
+        quotes.alias("quotes"),
+        (_depth(F.col("marks")) - closes(0)).alias("from_outside"),
+        (_depth(F.concat(F.lit('"'), "marks")) - closes(1)).alias("from_inside"),
     )
 
 
@@ -62,7 +73,7 @@ def file_ranges(spark: SparkSession, path: str | list[str]) -> DataFrame:
     narrow = _pieces(spark, path).select(
         "file", "block", "bytes", "row", "quotes", "from_outside", "from_inside",
         (F.octet_length("piece") + 1).cast("long").alias("octets"),
-        F.substring(strip(F.col("piece")), 1, 1).alias("mark"),
+        F.regexp_extract("piece", r"(?U)\S", 0).alias("mark"),
     )
     totals = (
         _turned(narrow)
