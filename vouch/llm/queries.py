@@ -215,7 +215,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 10: WARC -------------------------------------------------------------------------
 
 
-@query("op10_warc")
+# five hex digits of the hash make four base32 letters
+_WARC_SQL = """WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+parts AS (
+  SELECT *, list_transform(range(32), lambda i: cast('0x' || substr(hex, cast(i // 4 * 5 + 1 AS int), 5) AS int) // cast(power(32, 3 - i % 4) AS int) % 32) AS codes
+  FROM sized)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(codes, lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(c + 1 AS int), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM parts"""
+
+
+@query("op10_warc", _WARC_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = plan_records(table(spark, sf_dir, "pages"))
     archives = write_archives(records, new_path(spark, "warc"))
