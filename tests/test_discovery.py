@@ -124,6 +124,21 @@ def test_assembly_and_cap(spark):
     assert cap_reviews(stamped, 1, "newest").first().review_id == "p::s4"
 
 
+def test_capped_texts_are_not_aggregated(spark):
+    rows = spark.createDataFrame(
+        [(f"r{i % 30}", f"p{i % 3}", "n", f"t{i}", i % 5, "", (1, i)) for i in range(60)],
+        "review_id string, place_id string, place_name string, text string, rating int, published_date string, pos struct<page_id: int, block_pos: int>",
+    )
+    got = cap_reviews(rows, 4, "highest_rating")
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    wanted = {}
+    for r in sorted(rows.collect(), key=lambda r: r.pos)[:30]:
+        wanted.setdefault(r.place_id, []).append(r)
+    for place, listed in wanted.items():
+        best = sorted(listed, key=lambda r: (-r.rating, r.pos))[:4]
+        assert [(r.review_id, r.text) for r in got.filter(F.col("place_id") == place).orderBy("rank").collect()] == [(r.review_id, r.text) for r in best]
+
+
 def test_reviews_of_several_blocks_and_pages(spark):
     html = "".join(f"<li><p>text {i} of it</p><i>{a}</i></li>" for i, a in enumerate(["2 months ago", "a day ago", "soon"]))
     pages = spark.createDataFrame([(1, html), (2, html), (3, "<p>none</p>")], "page_id int, html string")

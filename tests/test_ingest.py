@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from vouch.operators.upsert import upsert, upsert_counts
+from vouch.operators.upsert import latest, newest_rows, numbered, upsert, upsert_counts
 from vouch.plans.ingest import first_in_entry, import_and_index, import_entries, import_into, import_stats
 from vouch.schemas import PLACES, REVIEWS, conform, empty
 from vouch.session import new_path
@@ -271,3 +271,19 @@ def test_pages_are_cut_per_query(spark):
     rows = places_from_pages(pages, max_results=3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.place_id) for r in rows] == [("q", "a"), ("q", "b"), ("q", "c"), ("r", "a")]
     assert rows[0].name == "nplaces/a" and rows[0].rating is None and rows[0].address == ""
+
+
+def test_latest_takes_whole_rows_by_number(spark):
+    rows = [("a", 1, "old"), ("a", 2, "new"), ("b", None, "only"), ("c", 5, "same"), ("c", 5, "same"), (None, 1, "x"), (None, 3, "y")]
+    got = latest(spark.createDataFrame(rows, "k string, seq int, text string"), "k", "seq")
+    assert got.columns == ["k", "text"]
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == 4 and set(found) == {("a", "new"), ("b", "only"), ("c", "same"), (None, "y")}
+    assert latest(spark.createDataFrame([], "k string, seq int, text string"), "k", "seq").count() == 0
+
+
+def test_versions_are_chosen_by_hashing_narrow_rows(spark):
+    rows = numbered(spark.createDataFrame([("a", 1, "old")], "k string, seq int, text string"), "versions")
+    plan = newest_rows(rows, "k", "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert "text" not in plan.split("ReadSchema")[1]

@@ -12,6 +12,7 @@ from vouch.functions.ids import source_review_id
 from vouch.functions.listing import stars
 from vouch.functions.text import is_blank, strip
 from vouch.operators.blocks import element_blocks
+from vouch.operators.upsert import numbered
 
 # Limits of acceptable strings, and words that mark a span as page furniture.
 NAME_LIMIT = 120
@@ -173,13 +174,11 @@ def cap_reviews(
         "highest_rating": [F.desc_nulls_last("rating")],
         "lowest_rating": [F.asc_nulls_last("rating")],
     }
+    # chosen by numbers, so that texts are neither sorted nor moved before the cut
+    rows = numbered(reviews, "extracted")
+    once = W.partitionBy("review_id").orderBy("pos", "row_no")
+    first = rows.withColumn("n", F.row_number().over(once)).filter("n = 1")
+    best = W.partitionBy("place_id").orderBy(*orders[sort_by], "pos", "review_id")
+    kept = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max_reviews)
     columns = [c for c in reviews.columns if c not in ("pos", "review_id")]
-    once = (
-        reviews.groupBy("review_id")
-        .agg(F.min_by(F.struct("pos", *columns), F.col("pos")).alias("row"))
-        .select("review_id", "row.*")
-    )
-    window = W.partitionBy("place_id").orderBy(*orders[sort_by], "pos", "review_id")
-    return once.withColumn("rank", F.row_number().over(window)).filter(
-        F.col("rank") <= max_reviews
-    )
+    return rows.join(kept.select("row_no", "rank"), "row_no").select("review_id", "pos", *columns, "rank")

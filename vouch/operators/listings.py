@@ -10,6 +10,9 @@ from vouch.functions.listing import base_url, clean_name, label_key, match_key
 # Key lengths tried when names are compared, best first.
 KEY_SIZES = (12, 10, 8)
 
+# Lengths of the pieces that ids are looked up by.
+ID_SIZES = (16, 8, 4, 3, 2, 1)
+
 
 def first_listings(listings: DataFrame, max_places: int = 20) -> DataFrame:
     """Places of ``listings(query_id, pos, label, href)``.
@@ -46,8 +49,16 @@ def _pieces(key: Column, size: int) -> Column:
     )
 
 
-def _all_pieces(key: Column) -> Column:
-    return F.flatten(F.array(*[_pieces(key, size) for size in KEY_SIZES]))
+def _all_pieces(key: Column, sizes: tuple[int, ...] = KEY_SIZES) -> Column:
+    return F.flatten(F.array(*[_pieces(key, size) for size in sizes]))
+
+
+def _tail(key: Column) -> Column:
+    """The last characters of ``key``, as many as the longest of ``ID_SIZES`` that it holds."""
+    size = F.lit(ID_SIZES[-1])
+    for one in reversed(ID_SIZES[:-1]):
+        size = F.when(F.length(key) >= one, F.lit(one)).otherwise(size)
+    return F.struct(size.alias("size"), F.substring(key, F.length(key) - size + 1, size).alias("piece"))
 
 
 def _heads(key: Column) -> Column:
@@ -92,20 +103,16 @@ def match_listings(targets: DataFrame, listings: DataFrame) -> DataFrame:
     )
     same_link = wanted.filter(F.length("base") > 0).join(by_link, [query, "base"])
 
-    sizes = wanted.select(query, F.length("place_id").alias("size")).filter("size > 0").distinct()
+    # an id is met by its last characters, as many as the longest piece that it holds, and then confirmed
     links = found.groupBy(query, "href").agg(F.min("pos").alias("pos"))
-    last = F.length("href") - F.col("size") + 1
-    parts = F.transform(
-        F.when(last > 0, F.sequence(F.lit(1), last)),
-        lambda i: F.substring(F.col("href"), i, F.col("size")),
-    )
-    by_id = (
-        links.join(sizes, query)
-        .select(query, "pos", F.explode(F.array_distinct(parts)).alias("place_id"))
-        .groupBy(query, "place_id")
-        .agg(F.min("pos").alias("pos"))
+    parts = links.select(query, "pos", "href", F.inline(_all_pieces(F.col("href"), ID_SIZES)))
+    ids = wanted.filter(F.length("place_id") > 0).select(*target, _tail(F.col("place_id")).alias("tail")).distinct()
+    id_in_link = (
+        ids.select(*target, "tail.*")
+        .join(parts, [query, "size", "piece"])
+        .filter(F.contains("href", "place_id"))
+        .select(*target, "pos")
     )
-    id_in_link = wanted.join(by_id, target)
 
     keys = found.filter(F.length("key") > 0).groupBy(query, "key").agg(F.min("pos").alias("pos"))
     names = wanted.filter(F.length("key") > 0)

@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from vouch.session import materialize
+
+
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written with a number per row, ``row_no``, so that rows can be chosen by narrow columns."""
+    return materialize(df.withColumn("row_no", F.monotonically_increasing_id()), label)
+
+
+def newest_rows(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """``row_no`` of one row per key, that with the highest ``seq``."""
+    number = F.coalesce(F.max_by("row_no", seq), F.max("row_no")).alias("row_no")
+    return rows.groupBy(key).agg(number).select("row_no")
+
 
 def latest(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """One row per key, the one with the highest ``seq``.
+    """One row per key, the one with the highest ``seq``; a row without it comes last.
 
-    An aggregate, so repeats of a key are folded before the shuffle.
+    Only key, ``seq`` and row number are aggregated.  Wide rows are written once and neither sorted nor
+    shuffled for it, unless so many of them are older versions that their numbers can't be broadcast.
     """
-    columns = [c for c in df.columns if c not in (key, seq)]
-    newest = F.max_by(F.struct(*columns), F.col(seq)).alias("row")
-    return df.groupBy(key).agg(newest).select(key, *[F.col(f"row.{c}").alias(c) for c in columns])
+    columns = [key, *[c for c in df.columns if c not in (key, seq)]]
+    rows = numbered(df, "versions")
+    older = materialize(rows.select("row_no").join(newest_rows(rows, key, seq), "row_no", "left_anti"), "older")
+    return rows.join(older, "row_no", "left_anti").select(*columns)
 
 
 def replace_rows(existing: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

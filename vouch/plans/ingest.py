@@ -86,10 +86,8 @@ def _import(store: TableStore, entries: DataFrame, scraped_at: Column | None) ->
     """Import and commit both tables; the counts and the fresh reviews."""
     # written first, so that the raw text is read and parsed once for both tables and the counts
     parsed = materialize(parsed_entries(entries), "parsed")
-    for name, rows in zip(("places", "reviews"), fresh_rows(parsed, scraped_at)):
-        # written first, as the rows are used twice and their size decides the join
-        fresh = materialize(rows, f"fresh-{name}")
-        store.upsert(name, fresh)
+    for name, fresh in zip(("places", "reviews"), fresh_rows(parsed, scraped_at)):
+        store.upsert(name, fresh)  # reads the written versions without the older ones
     return import_stats(parsed), fresh
 
 
