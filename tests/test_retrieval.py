@@ -95,6 +95,24 @@ def test_stop_words_and_vocabulary(spark):
     assert {r.doc_id for r in hits} == {"0", "1", "2", "6"}
 
 
+def test_small_and_large_vocabularies_give_the_same_postings(spark, monkeypatch):
+    vocab = spark.createDataFrame(
+        [("dog", "pet"), ("dog", "animal"), ("cat", "animal"), ("the", ""), ("", "none"), (None, "x"), ("mat", None)],
+        "term string, canonical string",
+    )
+    rows = lambda p: sorted(tuple(r) for r in p.collect())
+    few = bm25.count_terms(corpus(spark), vocab=vocab)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(term" not in plan and plan.count("HashAggregate(keys") == 2
+    monkeypatch.setattr(bm25, "SMALL_BYTES", -1)
+    many = bm25.count_terms(corpus(spark), vocab=vocab)
+    assert rows(few) == rows(many)
+    plain = [(Counter({"dog": "animal", "cat": "animal"}.get(w, w) for w in re.findall(r"[^\W_]+", t.lower())), i) for i, t in enumerate(TEXTS)]
+    wanted = {(w, str(i)): n for words, i in plain for w, n in words.items()}
+    assert {(t, d): n for t, d, n, _ in rows(few) if t} == wanted
+    assert sum(t == "" for t, *_ in rows(many)) == len(TEXTS)
+
+
 def test_empty_index_is_an_error(spark):
     reviews = conform(spark.createDataFrame([("a", " ")], "review_id string, text string"), REVIEWS)
     with pytest.raises(RuntimeError):

@@ -58,36 +58,50 @@ class Index:
         return self.postings.filter(F.col("term") == "").select("doc_id", "dl")
 
 
-def canonical(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Replace ``term`` by its ``canonical`` form where ``vocab`` has one."""
-    mapped = terms.join(vocab.select("term", "canonical"), "term", "left")
-    return mapped.withColumn("term", F.coalesce("canonical", "term")).drop("canonical")
+def mapping(vocab: DataFrame) -> DataFrame:
+    """``term, canonical`` of ``vocab``, a row per term (the first form in order); empty words and forms don't count."""
+    forms = vocab.filter("term != '' AND canonical != ''")
+    return forms.groupBy("term").agg(F.min("canonical").alias("canonical"))
+
+
+def canonical(terms: DataFrame, forms: DataFrame, *key: str) -> DataFrame:
+    """Replace ``term`` by its ``canonical`` form where ``forms`` has one; ``key`` columns are joined on besides."""
+    mapped = terms.join(forms, ["term", *key], "left")
+    return mapped.withColumn("term", F.coalesce("canonical", "term")).drop("canonical", *key)
 
 
 def count_terms(
-    corpus: DataFrame, stop=None, vocab: DataFrame | None = None, buckets: int | None = None
+    corpus: DataFrame, stop=None, vocab: DataFrame | None = None, buckets: int | None = None, salts: int = 32
 ) -> DataFrame:
     """The postings of ``corpus(id, contents)``, all of a document in one partition.
 
     The documents are spread by id before their words become rows, so that counting the
     words needs no further shuffle: the text moves once and the far larger postings
-    never do.
+    never do.  A vocabulary is written to know its bytes: up to ``SMALL_BYTES`` it goes to every
+    task and each word is mapped where it stands; a larger one is joined on counted words, frequent ones spread over
+    ``salts`` tasks, and the mapped words go back to their documents.
     """
+    spread = [*([buckets] if buckets else []), "doc_id"]
     docs = (
         corpus.select(F.col("id").cast("string").alias("doc_id"), "contents")
-        .repartition(*([buckets] if buckets else []), "doc_id")
+        .repartition(*spread)
         .select("doc_id", tokenize(F.col("contents"), stop).alias("tokens"))
         .withColumn("dl", F.size("tokens"))
     )
     tokens = docs.select(
         "doc_id", "dl", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term")
     )
-    counted = tokens.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    if vocab is not None:
-        # counted first, so that the join sees each word of a document once
-        counted = (
-            canonical(counted, vocab).groupBy("doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
-        )
+    posting = ["doc_id", "dl", "term"]
+    forms = None if vocab is None else materialize(mapping(vocab), "vocabulary")
+    small = forms is not None and file_bytes(forms) <= SMALL_BYTES
+    if small:
+        tokens = canonical(tokens, F.broadcast(forms))
+    counted = tokens.groupBy(*posting).agg(F.count("*").alias("tf"))
+    if forms is not None and not small:
+        salted = counted.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
+        dealt = forms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        mapped = canonical(salted, dealt, "salt").repartition(*spread)
+        counted = mapped.groupBy(*posting).agg(F.sum("tf").alias("tf"))
     return counted.select("term", "doc_id", "tf", "dl")
 
 
@@ -272,7 +286,7 @@ def query_terms(queries: DataFrame, stop=None, vocab: DataFrame | None = None) -
     """Distinct ``qid, term`` of ``queries(qid, query)``."""
     tokens = F.array_distinct(tokenize(F.col("query"), list(stop or ())))
     terms = queries.select("qid", F.explode(tokens).alias("term"))
-    return terms if vocab is None else canonical(terms, vocab).select("qid", "term").distinct()
+    return terms if vocab is None else canonical(terms, mapping(vocab)).select("qid", "term").distinct()
 
 
 def _local_terms(terms: DataFrame, rows: list) -> DataFrame:
