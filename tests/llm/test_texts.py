@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vouch.llm.grams import GramHasher
-from vouch.llm.mixing import document_rates, mix_documents
+from vouch.llm.mixing import Classifier, document_rates, fit_mix, mix_documents
 from vouch.llm.pieces import Decoder, Encoder, PieceModel
 from vouch.llm.queries import TOKENIZERS, piece_model
 from vouch.llm.sentencepiece import decode, encode
@@ -212,6 +212,43 @@ def test_rates_meet_the_targets(spark, min_rate):
     assert all(d == ("poor" if i % 5 == 0 else "good") for i, d in guess.items())
 
 
+def least_squares(tokens, p, target, weight):
+    """Plain coordinate descent for rates of 0 or more: the smallest weighted square of what is missed."""
+    low = np.linalg.cholesky(weight).T
+    a, b = low @ (p * tokens[:, None]).T, low @ target
+    rates = np.ones(len(tokens))
+    miss = a @ rates - b
+    for _ in range(2000):
+        for j in range(len(tokens)):
+            new = max(0.0, rates[j] - a[:, j] @ miss / (a[:, j] @ a[:, j]))
+            miss += a[:, j] * (new - rates[j])
+            rates[j] = new
+    return miss @ miss
+
+
+@pytest.mark.parametrize("weights, reached", [([0.5, 0.3, 0.2], True), ([0.96, 0.02, 0.02], False)])
+def test_rates_against_a_plain_solver(spark, weights, reached):
+    rng = np.random.default_rng(7)
+    p = 0.1 + 0.7 * rng.dirichlet([0.6] * 3, size=80)
+    tokens = rng.integers(1, 400, size=80).astype(float)
+    rows = spark.createDataFrame([(int(t), [float(v) for v in q]) for t, q in zip(tokens, p)], "tokens bigint, p array<double>")
+    names = ["a", "b", "c"]
+    mix = fit_mix(rows, Classifier(names, [], []), dict(zip(names, weights)))
+    got = rows.select("tokens", "p", mix.rate(F.col("p")).alias("rate")).collect()
+    assert all(r.rate >= 0 for r in got)
+    totals = sum(r.rate * r.tokens * np.array(r.p) for r in got)
+    assert totals == pytest.approx(np.array(mix.totals), rel=1e-6)
+    target = np.array(weights) * (tokens[:, None] * p).sum()
+    assert target == pytest.approx(np.array(mix.targets))
+    matrix = (p * tokens[:, None]).T @ p
+    weight = np.linalg.inv(matrix + np.eye(3) * 1e-3 * np.trace(matrix) / 3)
+    missed, best = (totals - target) @ weight @ (totals - target), least_squares(tokens, p, target, weight)
+    scale = target @ weight @ target
+    # targets out of reach are approached slowly: the 40 steps end within 1 % of the squared target
+    assert best - 1e-9 * scale <= missed <= best + (1e-9 if reached else 0.01) * scale
+    assert (best < 1e-9 * scale) == reached
+
+
 def test_mixed_documents(spark):
     docs, labels = two_kinds()
     df, marks = frame(spark, docs + ODD[:4]), spark.createDataFrame(labels, "id bigint, domain string")
