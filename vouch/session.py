@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows that may be collected to the driver or hinted for broadcast.  Every
-# broadcast hint in this package is preceded by a check against this bound.
+# Rows that may be collected to the driver or hinted for broadcast.  Outside `llm`, whose
+# operators state their own bounds, broadcast hints follow from a check of rows or of bytes.
 SMALL_ROWS = 20_000
 # The same for written tables of any number of rows: bytes of their files.
 SMALL_BYTES = 32 << 20
