@@ -372,3 +372,60 @@ def test_scan_in_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(plans, "small_rows", lambda df, limit=0: None)
     assert len(plans._blocks(queries)) == 3
     assert sorted(map(str, touched(reviews, queries, index, match="scan").collect())) == whole
+
+
+def test_tasks_and_buckets_follow_the_text(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "TASK_TEXT", 20)
+    texts = TEXTS * 6
+    size = sum(len(text.encode()) for text in texts)
+    assert bm25.text_bytes(corpus(spark, texts)) == size
+    built = bm25.build(corpus(spark, texts))
+    assert built.buckets == -(-size // 20) > 8 and built.postings.rdd.getNumPartitions() == built.buckets
+    # a given number of buckets stays, each has the rows of several tasks
+    few = bm25.count_terms(corpus(spark, texts), buckets=4)
+    assert few.rdd.getNumPartitions() % 4 == 0 and few.rdd.getNumPartitions() * 20 >= size
+    asked = query_table(spark, ["cat dog"])
+    for index in (built, bm25.build(corpus(spark, texts), buckets=4)):
+        path = new_path(spark, "index")
+        bm25.save(index, path)
+        saved = bm25.append(spark, path, corpus(spark, texts[:5]))
+        found = {r.doc_id: r.score for r in bm25.scores(saved, asked).collect()}
+        assert found == pytest.approx(brute_force(texts, "cat dog"), abs=2e-6)
+
+
+def test_large_shards_are_written_by_several_tasks(spark, monkeypatch):
+    from vouch.sources import tables
+
+    rows = [(f"r{i:03d}", "p", f"text {i}") for i in range(200)]
+    made = conform(spark.createDataFrame(rows, "review_id string, place_id string, text string"), REVIEWS)
+    path = new_path(spark, "rows")
+    made.write.parquet(path)
+    reviews = spark.read.schema(made.schema).parquet(path)
+    monkeypatch.setattr(tables, "TASK_BYTES", 1000)
+    store = TableStore(spark, new_path(spark, "store"), shards=2)
+    stored = store.commit("reviews", reviews)
+    files = stored.groupBy(F.input_file_name().alias("file"), "shard").agg(F.collect_list("review_id").alias("ids")).collect()
+    assert len(files) > 4 and {f["shard"] for f in files} == {0, 1}
+    assert all(f["ids"] == sorted(f["ids"]) for f in files)
+    store.upsert("reviews", reviews.withColumn("text", F.upper("text")).filter("review_id < 'r050'"))
+    texts = {r["review_id"]: r["text"] for r in store.read("reviews").collect()}
+    assert texts == {r: t.upper() if r < "r050" else t for r, _, t in rows}
+    assert [r["text"] for r in store.lookup("reviews", "r007").collect()] == ["TEXT 7"]
+
+
+def test_words_inside_very_many_tokens_stay_out_of_the_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(phrase_index, "MOST_TERMS", 5)
+    texts = [f"x{i}y{i % 3} of the" for i in range(60)]
+    reviews = spark.createDataFrame(
+        [(f"r{i}", "p", "P", t) for i, t in enumerate(texts)], "review_id string, place_id string, place_name string, text string"
+    )
+    asked = with_variants(query_table(spark, [("y1", ["x7y1", "of the", "!", "none"])]))
+    options = phrase_index.ways(asked)
+    terms = spark.createDataFrame([(t.split()[0], 1) for t in texts] + [("of", 60), ("the", 60)], "term string, df bigint")
+    words, broad = phrase_index.dictionary(terms, options)
+    assert sorted(r["variant"] for r in broad.collect()) == ["!", "y1"]
+    # the tokens listed do not follow the vocabulary, and every phrase is still found
+    assert {r["variant"] for r in words.collect()} == {"x7y1", "of the", "of-the"} and words.count() == 3
+    found = {r["review_id"]: r["found"] for r in touched_by_words(reviews, asked).collect()}
+    held = {f"r{i}": sorted(v for v in ("y1", "x7y1", "of the", "!", "none") if v in t) for i, t in enumerate(texts)}
+    assert found == held

@@ -41,6 +41,10 @@ LAYOUT = "n_docs bigint, length bigint, buckets int"
 SEGMENTS = "segment int, buckets int"
 # query words with fewer postings than this are scored without looking for postings to skip
 PRUNE_POSTINGS = 5_000_000
+# text whose words a task counts and sorts; in memory its postings take about forty times as much
+TASK_TEXT = 8 << 20
+# an index gets a bucket for each such amount of text, up to a number that a catalog and a driver can hold
+MOST_BUCKETS = 4096
 
 
 @dataclass(frozen=True)
@@ -70,18 +74,41 @@ def canonical(terms: DataFrame, forms: DataFrame, *key: str) -> DataFrame:
     return mapped.withColumn("term", F.coalesce("canonical", "term")).drop("canonical", *key)
 
 
+def text_bytes(corpus: DataFrame) -> int:
+    """Bytes of all texts of ``corpus(id, contents)``: files tell little of it, as they may be compressed by any factor."""
+    return corpus.agg(F.coalesce(F.sum(F.octet_length("contents")), F.lit(0)).alias("n")).first()["n"]
+
+
+def _parts(spark: SparkSession, size: int, buckets: int | None) -> int:
+    """Tasks for ``size`` bytes of text; with ``buckets`` a multiple of these, so that no task has rows of two buckets."""
+    needed = -(-size // TASK_TEXT)
+    return max(spark.sparkContext.defaultParallelism, needed) if not buckets else buckets * max(1, -(-needed // buckets))
+
+
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """Buckets of an index of ``size`` bytes of text: the shuffle partitions, more of them for more text."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-size // TASK_TEXT)))
+
+
 def count_terms(
-    corpus: DataFrame, stop=None, vocab: DataFrame | None = None, buckets: int | None = None, salts: int = 32
+    corpus: DataFrame,
+    stop=None,
+    vocab: DataFrame | None = None,
+    buckets: int | None = None,
+    salts: int = 32,
+    size: int | None = None,
 ) -> DataFrame:
     """The postings of ``corpus(id, contents)``, all of a document in one partition.
 
     The documents are spread by id before their words become rows, so that counting the
     words needs no further shuffle: the text moves once and the far larger postings
-    never do.  A vocabulary is written to know its bytes: up to ``SMALL_BYTES`` it goes to every
+    never do.  The number of tasks follows the bytes of the texts (``size``, counted unless given), and with ``buckets`` is a
+    multiple of these, so that a task holds the postings of about ``TASK_TEXT`` bytes at any size.  A vocabulary is written to know its bytes: up to ``SMALL_BYTES`` it goes to every
     task and each word is mapped where it stands; a larger one is joined on counted words, frequent ones spread over
     ``salts`` tasks, and the mapped words go back to their documents.
     """
-    spread = [*([buckets] if buckets else []), "doc_id"]
+    spark = corpus.sparkSession
+    spread = [_parts(spark, text_bytes(corpus) if size is None else size, buckets), "doc_id"]
     docs = (
         corpus.select(F.col("id").cast("string").alias("doc_id"), "contents")
         .repartition(*spread)
@@ -120,8 +147,10 @@ def index_of(
 def build(
     corpus: DataFrame, stop=None, vocab: DataFrame | None = None, buckets: int | None = None
 ) -> Index:
-    """An index that is computed when used."""
-    return index_of(count_terms(corpus, stop, vocab, buckets), stop, vocab, buckets)
+    """An index that is computed when used; only the bytes of the texts are counted at once."""
+    size = text_bytes(corpus)
+    buckets = buckets or buckets_for(corpus.sparkSession, size)
+    return index_of(count_terms(corpus, stop, vocab, buckets, size=size), stop, vocab, buckets)
 
 
 def bucket_of(doc_id, buckets: int):
@@ -208,8 +237,7 @@ def save(index: Index, path: str) -> Index:
     evenly over all buckets, and as the planner knows that the terms of a document meet in
     one bucket, scores are added up and cut to the best ones without a shuffle.
 
-    The number of buckets is that of the index, else the shuffle partitions; a bucket
-    of about 1 GB is a good size.
+    The number of buckets is that of the index (``buckets_for`` its texts, unless given), else the shuffle partitions.
     """
     spark = index.postings.sparkSession
     buckets = index.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
