@@ -20,6 +20,9 @@ from vouch.sources.tables import keyed_join
 
 _EDGE = r"[\p{L}\p{N}]"
 
+# a word that is part of more tokens than this says little: its phrases are compared with each text
+MOST_TERMS = 1_000
+
 # characters of a word that are looked up; the rest is compared afterwards
 _LOOKED_UP = {"head": 4, "tail": 4, "inside": 4}
 
@@ -76,11 +79,13 @@ def _pieces(term: Column, sizes: dict[str, list[int]]) -> Column:
     return F.concat(F.array_compact(F.array(_part("whole", term), *heads, *tails)), *inside)
 
 
-def dictionary(terms: DataFrame, options: DataFrame) -> DataFrame:
-    """``term, variant``, written: the tokens of which a text that holds the phrase has one.
+def dictionary(terms: DataFrame, options: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``term, variant``, written: the tokens of which a text that holds the phrase has one; and phrases without such tokens.
 
     ``terms(term, df)`` is the vocabulary.  Of the words of a phrase the one whose tokens are in the
-    fewest documents counts.  A phrase with a word that fits no token occurs nowhere and is left out.
+    fewest documents counts.  A phrase with a word that fits no token occurs nowhere and is left out.  A phrase
+    without words, or whose word fits over ``MOST_TERMS`` tokens, is in the second table (``variant``) instead, so that the
+    first one follows the phrases and not the vocabulary.
     """
     how, word = F.col("how"), F.col("word")
     looked_up = materialize(
@@ -101,16 +106,20 @@ def dictionary(terms: DataFrame, options: DataFrame) -> DataFrame:
     met = parts.join(F.broadcast(looked_up) if small else looked_up, ["how", "piece"]).filter(fits)
     # a token has each part once, and each word one part
     met = materialize(met.select("how", "word", "term", "df"), "met")
-    weight = met.groupBy("how", "word").agg(F.sum("df").alias("documents"))
-    way = F.struct(F.coalesce("documents", F.lit(0)).alias("documents"), (-F.length("word")).alias("size"), how, word)
-    rarest = (
+    weight = met.groupBy("how", "word").agg(F.sum("df").alias("documents"), F.count("*").alias("terms"))
+    way = F.struct(F.coalesce("documents", F.lit(0)).alias("documents"), (-F.length("word")).alias("size"), how, word, F.col("terms"))
+    rarest = materialize(
         options.filter(word.isNotNull())
         .join(weight, ["how", "word"], "left")
         .groupBy("variant")
         .agg(F.min(way).alias("way"))
-        .select("variant", "way.how", "way.word")
+        .select("variant", "way.how", "way.word", "way.terms"),
+        "rarest",
     )
-    return materialize(rarest.join(met, ["how", "word"]).select("term", "variant").distinct(), "dictionary")
+    broad = rarest.filter(F.col("terms") > MOST_TERMS).select("variant")
+    few = rarest.filter(F.col("terms") <= MOST_TERMS).select("variant", "how", "word")
+    looked = materialize(few.join(met, ["how", "word"]).select("term", "variant").distinct(), "dictionary")
+    return looked, materialize(options.filter(word.isNull()).select("variant").unionByName(broad), "broad")
 
 
 def _met(tokens: DataFrame, words: DataFrame, salts: int = 32) -> DataFrame:
@@ -131,8 +140,8 @@ def _met(tokens: DataFrame, words: DataFrame, salts: int = 32) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_set("variant").alias("variants"))
 
 
-def _confirmed(maybe: DataFrame, reviews: DataFrame, queries: DataFrame, options: DataFrame) -> DataFrame:
-    """Touched reviews: those of ``maybe(doc_id, variants)`` that hold a phrase, and those with a phrase without words."""
+def _confirmed(maybe: DataFrame, reviews: DataFrame, queries: DataFrame, broad: DataFrame) -> DataFrame:
+    """Touched reviews: those of ``maybe(doc_id, variants)`` that hold a phrase, and those with a phrase of ``broad(variant)``."""
     texts = reviews.select(
         *[c for c in ("shard", "review_id", "place_id", "place_name", "text") if c in reviews.columns]
     )
@@ -143,11 +152,10 @@ def _confirmed(maybe: DataFrame, reviews: DataFrame, queries: DataFrame, options
     found = keyed_join(maybe.withColumnRenamed("doc_id", "review_id"), texts, "review_id").select(
         *columns, F.explode(holds(F.col("variants"))).alias("variant")
     )
-    # a phrase without letters or digits has no word to look up
-    wordless = materialize(options.filter(F.col("word").isNull()).select("variant"), "wordless")
-    blocks = -(-wordless.count() // (SMALL_ROWS // 2))  # each a constant of bounded length in the tasks of a scan
+    # a phrase without letters or digits has no word to look up, that of a few characters no use of it
+    blocks = -(-broad.count() // (SMALL_ROWS // 2))  # each a constant of bounded length in the tasks of a scan
     for number in range(blocks):
-        block = wordless.filter(F.pmod(F.xxhash64("variant"), F.lit(blocks)) == number)
+        block = broad.filter(F.pmod(F.xxhash64("variant"), F.lit(blocks)) == number)
         signs = block.agg(F.collect_list("variant")).scalar()
         scanned = texts.withColumn("variants", signs)
         found = found.unionByName(scanned.select(*columns, F.explode(holds(F.col("variants"))).alias("variant")))
@@ -171,9 +179,9 @@ def touched_by_index(index: Index, reviews: DataFrame, queries: DataFrame) -> Da
     if index.stop or index.vocab is not None:
         raise ValueError("phrases need an index of all words as written")
     options = materialize(ways(queries), "ways")
-    words = dictionary(index.terms, options)
+    words, broad = dictionary(index.terms, options)
     tokens = index.postings.filter(F.col("term") != "").select("doc_id", "term")
-    return _confirmed(_met(tokens, words), reviews, queries, options)
+    return _confirmed(_met(tokens, words), reviews, queries, broad)
 
 
 def touched_by_words(reviews: DataFrame, queries: DataFrame) -> DataFrame:
@@ -183,5 +191,5 @@ def touched_by_words(reviews: DataFrame, queries: DataFrame) -> DataFrame:
         F.col("review_id").alias("doc_id"), F.array_distinct(tokenize(F.col("text"))).alias("tokens")
     )
     tokens = materialize(held, "tokens").select("doc_id", F.explode("tokens").alias("term"))
-    words = dictionary(tokens.groupBy("term").agg(F.count("*").alias("df")), options)
-    return _confirmed(_met(tokens, words), reviews, queries, options)
+    words, broad = dictionary(tokens.groupBy("term").agg(F.count("*").alias("df")), options)
+    return _confirmed(_met(tokens, words), reviews, queries, broad)
