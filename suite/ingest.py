@@ -63,20 +63,38 @@ def _(spark, sf):
     return rows.select("place_id", "name", number.cast("bigint").alias("part"))
 
 
+# parts of places in one file: a file is written by one task, so more parts make more files
+LIST_PARTS = 16
+
+
+def write_lists(lines: DataFrame) -> str:
+    """``lines(seq, line)`` as files of one JSON list each, in the order of ``seq``; the folder of these files."""
+    path, seq = new_path(lines.sparkSession, "lists"), F.col("seq")
+    run, place = F.floor(seq / (LIST_PARTS * 1_000_000)), F.pmod(seq % 1_000_000, F.lit(4))
+    entries = lines.select(
+        run.alias("run"), place.alias("place"), F.lit(1).alias("at"), seq, F.concat(F.lit(", "), "line").alias("line")
+    )
+    ends = entries.filter(seq.isNotNull()).select("run", "place").distinct().select(
+        "run",
+        "place",
+        F.inline(F.array(*[F.struct(F.lit(n).alias("at"), F.lit(0).cast("long").alias("seq"), F.lit(text).alias("line")) for n, text in ((0, "[7"), (2, ', "} ["]'))])),
+    )
+    runs = lines.agg(F.max(run) - F.min(run) + 1).first()[0] or 1
+    name = F.when(F.col("run").isNotNull(), F.format_string("%019d-%d", "run", "place"))
+    rows = entries.unionByName(ends).withColumn("file", name)
+    rows = rows.repartitionById(4 * runs, F.coalesce(F.pmod(F.col("run") * 4 + F.col("place"), F.lit(4 * runs)), F.lit(0)).cast("int"))
+    rows.sortWithinPartitions("file", "at", "seq").select("file", "line").write.partitionBy("file").text(path)
+    return path
+
+
 @query(
     "src1_entries_lists",
     with_views("SELECT DISTINCT place_id, entry_name AS name, part FROM occ", ENTRIES),
 )
 def _(spark, sf):
-    # a few files, each one JSON list with a number before its entries and a text after them; a place is in one file
-    path, seq = new_path(spark, "lists"), F.col("seq")
-    lines = raw_lines(spark, sf).select((seq % 1_000_000 % 4).alias("file"), seq, F.concat(F.lit(", "), "line").alias("line"))
-    ends = spark.range(4).select(
-        F.col("id").alias("file"),
-        F.inline(F.array(*[F.struct(F.lit(n).cast("long"), F.lit(text)) for n, text in ((-1, "[7"), (1 << 62, ', "} ["]'))])).alias("seq", "line"),
-    )
-    rows = lines.unionByName(ends).repartition(4, "file").sortWithinPartitions("file", "seq")
-    rows.select("file", "line").write.partitionBy("file").text(path)
+    # a few files, each one JSON list with a number before its entries and a text after them; a place is in one file of
+    # each run of parts, and files are named in the order of these
+    path = write_lists(raw_lines(spark, sf))
     rows = src.entry_places(src.load_entries(spark, path)).select("place_id", "name", "seq")
     number = F.row_number().over(W.partitionBy("place_id").orderBy("seq")) - 1
     return rows.select("place_id", "name", number.cast("bigint").alias("part"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouch.functions.text import WHITESPACE
+from vouch.session import SMALL_BYTES, file_bytes, materialize
+from vouch.sources.tables import TASK_BYTES
 
 STAMP = "2024-01-01T00:00:00+00:00"
 
@@ -96,10 +100,9 @@ reviews_v AS (
 PART = 12_000
 
 
-def _nested(extended: Column, fields: dict[str, str]) -> Column:
-    order = F.array_sort(F.collect_list(F.when(extended, F.struct("doc_id", *fields))))
+def _nested(rows: Column, chosen: Callable[[Column], Column], fields: dict[str, str]) -> Column:
     item = lambda r: F.struct(*[r[c].alias(name) for c, name in fields.items()])
-    return F.transform(order, item)
+    return F.transform(F.filter(rows, chosen), item)
 
 
 _TITLE = {
@@ -121,16 +124,16 @@ _SNAKE = {
 def entry_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``seq, line``: the raw entries, later parts of a place later."""
     parts = reviews_v(spark, sf).withColumn("part", F.floor(F.col("doc_id") / PART))
-    labelled = F.col("rating").isNotNull()
-    basic = ~labelled | F.col("owner_response").isNotNull()
-    nested = parts.groupBy("place_id", "part").agg(
-        _nested(labelled, _TITLE).alias("title_extended"),
-        _nested(basic, _TITLE).alias("title_basic"),
-        _nested(labelled, _SNAKE).alias("snake_extended"),
-        _nested(basic, _SNAKE).alias("snake_basic"),
-    )
+    # each review moves once, into so many tasks that none has to spill
+    tasks = max(spark.sparkContext.defaultParallelism, -(-file_bytes(table(spark, sf, "documents")) // TASK_BYTES))
+    rows = F.array_sort(F.collect_list(F.struct("doc_id", *_TITLE)))
+    nested = parts.repartition(tasks, "place_id", "part").groupBy("place_id", "part").agg(rows.alias("rows"))
+    labelled = lambda r: r["rating"].isNotNull()
+    basic = lambda r: r["rating"].isNull() | r["owner_response"].isNotNull()
     # an entry of an unknown place has its id and its reviews only
-    entries = nested.join(places_v(spark, sf), "place_id", "left")
+    places = materialize(places_v(spark, sf), "places")
+    few = F.broadcast(places) if file_bytes(places) <= SMALL_BYTES else places
+    entries = nested.join(few, "place_id", "left")
     snake = F.to_json(
         F.struct(
             F.col("name").alias("title"),
@@ -140,8 +143,8 @@ def entry_lines(spark: SparkSession, sf: str) -> DataFrame:
             F.col("place_id").alias("cid"),
             "review_count",
             F.col("rating").alias("review_rating"),
-            F.col("title_extended").alias("user_reviews_extended"),
-            F.col("title_basic").alias("user_reviews"),
+            _nested(F.col("rows"), labelled, _TITLE).alias("user_reviews_extended"),
+            _nested(F.col("rows"), basic, _TITLE).alias("user_reviews"),
         )
     )
     title = F.to_json(
@@ -153,8 +156,8 @@ def entry_lines(spark: SparkSession, sf: str) -> DataFrame:
             F.col("place_id").alias("PlaceID"),
             F.col("review_count").alias("ReviewCount"),
             F.col("rating").alias("ReviewRating"),
-            F.col("snake_extended").alias("UserReviewsExtended"),
-            F.col("snake_basic").alias("UserReviews"),
+            _nested(F.col("rows"), labelled, _SNAKE).alias("UserReviewsExtended"),
+            _nested(F.col("rows"), basic, _SNAKE).alias("UserReviews"),
         )
     )
     even = F.col("place_id").cast("bigint") % 2 == 0

@@ -287,3 +287,46 @@ def test_versions_are_chosen_by_hashing_narrow_rows(spark):
     plan = newest_rows(rows, "k", "seq")._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
     assert "text" not in plan.split("ReadSchema")[1]
+
+
+def test_lists_are_cut_by_parts(spark):
+    from suite.ingest import LIST_PARTS, write_lists
+    from vouch.sources.entries import entry_places, load_entries
+
+    keys = [(part, place) for part in range(3 * LIST_PARTS) for place in range(1, 7)]
+    lines = spark.createDataFrame(
+        [(part * 1_000_000 + place, f'{{"cid": "{place}", "title": "{part}"}}') for part, place in keys] + [(None, "{}")],
+        "seq long, line string",
+    )
+    path = write_lists(lines)
+    named = spark.read.text(path).select("_metadata.file_path").distinct().filter("file_path NOT LIKE '%HIVE_DEFAULT%'")
+    assert named.count() == 12  # three runs of parts, four files each
+    found = entry_places(load_entries(spark, path)).orderBy("seq").select("place_id", "name").collect()
+    by_place = {place: [int(r["name"]) for r in found if r["place_id"] == str(place)] for place in range(1, 7)}
+    assert by_place == {place: list(range(3 * LIST_PARTS)) for place in range(1, 7)} and len(found) == len(keys)
+
+
+def test_reviews_move_once_into_entries(spark):
+    import json
+
+    from suite.views import entry_lines
+    from vouch.session import new_path
+
+    folder = new_path(spark, "tables")
+    tables = {
+        "documents": ([(1, "one"), (121, "two"), (2, "three"), (121, "again"), (None, "none")], "doc_id long, text string"),
+        "labels": ([(121, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int"),
+        "supplier": ([(1, 0, "S1")], "s_suppkey long, s_nationkey int, s_name string"),
+        "nation": ([(0, "N")], "n_nationkey int, n_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    lines = entry_lines(spark, folder)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+    found = {r["seq"]: json.loads(r["line"]) for r in lines.collect()}
+    texts = lambda entry, key, field: [item[field] for item in entry[key]]
+    assert texts(found[1], "UserReviewsExtended", "text") == ["again", "two"]
+    assert texts(found[1], "UserReviews", "text") == ["one"]
+    assert texts(found[2], "user_reviews_extended", "Description") == ["three"] and found[2]["user_reviews"] == []
+    assert set(found) == {1, 2, None}

@@ -14,6 +14,8 @@ from vouch.session import file_bytes
 
 SHARD_BYTES = 1 << 30
 LEAST_SHARDS = 8
+# bytes of files whose rows a task sorts; a larger shard is written by several tasks, a file each
+TASK_BYTES = 16 << 20
 
 # one row per shard folder of a snapshot, so at most as many as there are shards
 FOLDERS = "commit string, shard int"
@@ -79,11 +81,13 @@ class TableStore:
         return table.withMetadata("shard", {"shards": _shards_in(existing[-1])})
 
     def _write(
-        self, name: str, df: DataFrame, shards: int, others: list[tuple[str, int]]
+        self, name: str, df: DataFrame, shards: int, others: list[tuple[str, int]], size: int
     ) -> DataFrame:
         commit = uuid.uuid4().hex
         target = f"{self.root}/{name}/data/commit={commit}"
-        write_sharded(df, KEYS[name], shards, target)
+        # rows of about `size` bytes fall into the shards that are written, all but `others`
+        parts = -(-size // (max(1, shards - len({shard for _, shard in others})) * TASK_BYTES))
+        write_sharded(df, KEYS[name], shards, target, parts)
         written = [path.rsplit("=", 1)[1] for path in self._children(target) if "/shard=" in path]
         folders = [*others, *[(commit, int(shard)) for shard in written]]
         every = self._children(f"{self.root}/{name}/snapshots")
@@ -95,8 +99,9 @@ class TableStore:
 
     def commit(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` as the whole table and return it; also the way to change ``shards``."""
-        shards = self.shards or max(LEAST_SHARDS, -(-file_bytes(df) // SHARD_BYTES))
-        return self._write(name, conform(df, SCHEMAS[name]), shards, [])
+        size = file_bytes(df)
+        shards = self.shards or max(LEAST_SHARDS, -(-size // SHARD_BYTES))
+        return self._write(name, conform(df, SCHEMAS[name]), shards, [], size)
 
     def upsert(self, name: str, fresh: DataFrame) -> DataFrame:
         """Replace or add the rows ``fresh``, one per key, and return the table.
@@ -116,7 +121,8 @@ class TableStore:
             return table
         others = [(c, s) for c, s in self._folders(self.snapshots(name)[-1]) if s not in touched]
         stored = table.filter(F.col("shard").isin(sorted(touched)))
-        return self._write(name, replace_rows(stored, rows, key), shards, others)
+        size = file_bytes(fresh) + file_bytes(stored)
+        return self._write(name, replace_rows(stored, rows, key), shards, others, size)
 
     def expire(self, name: str, keep: int = 1) -> None:
         """Delete all but the newest ``keep`` snapshots, and the shards only they hold.
@@ -148,10 +154,13 @@ def _shards_in(path: str) -> int:
     return int(path.rsplit("-", 1)[1])
 
 
-def write_sharded(df: DataFrame, key: str, shards: int, path: str) -> None:
+def write_sharded(df: DataFrame, key: str, shards: int, path: str, parts: int = 1) -> None:
+    """Rows in a folder per shard, each written by ``parts`` tasks as files sorted by key."""
+    parts = max(1, parts)
+    part = F.pmod(F.hash(key), F.lit(parts))
     (
         df.withColumn("shard", shard_of(F.col(key), shards))
-        .repartitionById(shards, F.col("shard"))
+        .repartitionById(shards * parts, F.col("shard") * parts + part)
         .sortWithinPartitions("shard", key)
         .write.partitionBy("shard")
         .option("maxRecordsPerFile", 5_000_000)
