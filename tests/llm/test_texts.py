@@ -261,3 +261,13 @@ def test_mixed_documents(spark):
     assert tokens[0] / sum(tokens) == pytest.approx(0.5, abs=0.05)
     assert mix_documents(frame(spark, []), marks, {"good": 1.0}).collect() == []
     assert mix_documents(df, marks.limit(0), {"good": 1.0, "poor": 0.0}).count() >= 0
+
+
+def test_a_task_gives_free_memory_back_at_its_end(monkeypatch):
+    from vouch.llm import batches
+
+    calls = []
+    monkeypatch.setattr(batches, "_release", lambda: calls.append(1))
+    task = batches.released(lambda rows: (row + 1 for row in rows))([1, 2])
+    assert next(task) == 2 and not calls
+    assert list(task) == [3] and calls == [1]

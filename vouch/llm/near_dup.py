@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vouch.llm.batches import bound_batches, values
+from vouch.llm.batches import bound_batches, released, values
 from vouch.llm.components import connected_components
 from vouch.llm.sketch import Shingler, band_keys, band_plan, overlap, sketch
 from vouch.session import materialize
@@ -229,7 +229,7 @@ def near_duplicates(
     )
     features = materialize(
         own.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
-            _features(n, bands, rows),
+            released(_features(n, bands, rows)),
             "rid bigint, doc_id bigint, text_key bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>",
         ),
         "features",
@@ -306,7 +306,7 @@ def _links(own: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     wanted = own.sparkSession.sparkContext.broadcast(_bitmap(needed))
     same = (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
     sets = materialize(
-        own.mapInArrow(_sets(n, wanted), "doc_id bigint, text_key bigint, items binary")
+        own.mapInArrow(released(_sets(n, wanted)), "doc_id bigint, text_key bigint, items binary")
         .join(needed, same)
         .select("rep", "items")
         .dropDuplicates(["rep"]),
@@ -320,7 +320,7 @@ def _links(own: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b")), "b")
     with_both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a")), "a")
     star = materialize(
-        with_both.select("a", "b", "items_a", "items_b").mapInArrow(_check_pairs(percent), "a bigint, b bigint"),
+        with_both.select("a", "b", "items_a", "items_b").mapInArrow(released(_check_pairs(percent)), "a bigint, b bigint"),
         "star",
     )
     rest = _rest_of_buckets(candidates, sets, connected_components(star), percent)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vouch.llm.batches import bound_batches
+from vouch.llm.batches import bound_batches, released
 from vouch.session import materialize
 
 # A sentence with the marks and white space that end it; all of them joined give the text.
@@ -150,7 +150,7 @@ def remove_repeated_spans(
     own = docs.toDF(*[f"c{i}" for i in range(n)])
     own = own.withColumn("key", _key(F.col(f"c{docs.columns.index(id_col)}"), F.col(f"c{at}")))
     rows = own.select("key", F.col(f"c{at}").alias("text")).mapInArrow(
-        _span_rows(spans), "key bigint, h1 bigint, h2 bigint"
+        released(_span_rows(spans)), "key bigint, h1 bigint, h2 bigint"
     )
     repeats = rows.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     repeats = materialize(repeats.where("first < last").drop("last"), "repeats")
@@ -163,4 +163,4 @@ def remove_repeated_spans(
     if counts:
         schema += ", n_sentences bigint, n_removed bigint"
     names = docs.columns + (["n_sentences", "n_removed"] if counts else [])
-    return joined.mapInArrow(_cleaner(spans, at, n, counts), schema).toDF(*names)
+    return joined.mapInArrow(released(_cleaner(spans, at, n, counts)), schema).toDF(*names)
