@@ -149,16 +149,20 @@ def _confirmed(maybe: DataFrame, reviews: DataFrame, queries: DataFrame, broad:
     holds = lambda phrases: let(
         F.lower("text"), lambda low: F.filter(phrases, lambda v: has_variant(low, v))
     )
-    found = keyed_join(maybe.withColumnRenamed("doc_id", "review_id"), texts, "review_id").select(
-        *columns, F.explode(holds(F.col("variants"))).alias("variant")
-    )
+    found, maybe = None, maybe.withColumnRenamed("doc_id", "review_id")
     # a phrase without letters or digits has no word to look up, that of a few characters no use of it
     blocks = -(-broad.count() // (SMALL_ROWS // 2))  # each a constant of bounded length in the tasks of a scan
     for number in range(blocks):
-        block = broad.filter(F.pmod(F.xxhash64("variant"), F.lit(blocks)) == number)
-        signs = block.agg(F.collect_list("variant")).scalar()
-        scanned = texts.withColumn("variants", signs)
-        found = found.unionByName(scanned.select(*columns, F.explode(holds(F.col("variants"))).alias("variant")))
+        signs = broad.filter(F.pmod(F.xxhash64("variant"), F.lit(blocks)) == number).agg(F.collect_list("variant")).scalar()
+        if number:
+            scanned = texts.withColumn("variants", signs)
+        else:  # along with the phrases looked up, so that the rows of a review stay together
+            looked = F.coalesce("variants", F.array().cast("array<string>"))
+            scanned = texts.join(maybe, "review_id", "left").withColumn("variants", F.concat(looked, signs))
+        part = scanned.select(*columns, F.explode(holds(F.col("variants"))).alias("variant"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = keyed_join(maybe, texts, "review_id").select(*columns, F.explode(holds(F.col("variants"))).alias("variant"))
     asked = queries.select("qid", F.explode("variants").alias("variant"))
     return (
         found.join(asked, "variant")
