@@ -429,3 +429,20 @@ def test_words_inside_very_many_tokens_stay_out_of_the_dictionary(spark, monkeyp
     found = {r["review_id"]: r["found"] for r in touched_by_words(reviews, asked).collect()}
     held = {f"r{i}": sorted(v for v in ("y1", "x7y1", "of the", "!", "none") if v in t) for i, t in enumerate(texts)}
     assert found == held
+
+
+def test_words_are_added_up_in_as_many_tasks_as_buckets(spark):
+    docs = spark.createDataFrame(some_documents(4, 400), "id string, contents string")
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    usual = {name: spark.conf.get(name) for name in names}
+    spark.conf.set(names[0], "false")
+    try:
+        path = new_path(spark, "index")
+        index = bm25.save(bm25.build(docs, buckets=40), path)
+        assert spark.conf.get(names[1]) == usual[names[1]] == "8"
+        for part in ("tops", "terms"):
+            files = spark.read.parquet(f"{path}/segment-00000001/{part}").inputFiles()
+            assert len(files) > 8, part
+    finally:
+        spark.conf.set(names[0], usual[names[0]])
+    assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, bm25.build(docs).terms.collect()))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from vouch.functions.text import tokenize
-from vouch.session import SMALL_BYTES, file_bytes, materialize, small_rows
+from vouch.session import SMALL_BYTES, file_bytes, least_partitions, materialize, small_rows
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 6
@@ -187,6 +187,14 @@ def _merged(tops: DataFrame) -> DataFrame:
 
 def _write_segment(
     spark: SparkSession, path: str, number: int, postings: DataFrame, buckets: int, before: Index | None, replaced
+) -> None:
+    """Write a segment.  The words of each bucket and the vocabulary are added up by as many tasks as there are buckets, as they grow."""
+    with least_partitions(spark, buckets):
+        _write_parts(spark, path, number, postings, buckets, before, replaced)
+
+
+def _write_parts(
+    spark: SparkSession, path: str, number: int, postings: DataFrame, buckets: int, before: Index | None, replaced
 ) -> None:
     folder = _segment(path, number)
     (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def least_partitions(spark: SparkSession, parts: int):
+    """Shuffles of the jobs run within have ``parts`` partitions or more; small ones are still put together as they run."""
+    name = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(usual), parts)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
     """The rows of ``df`` if there are at most ``limit`` of them, else None."""
     rows = df.limit(limit + 1).collect()
