@@ -431,6 +431,23 @@ def test_words_inside_very_many_tokens_stay_out_of_the_dictionary(spark, monkeyp
     assert found == held
 
 
+def test_pruned_hits_without_moving_postings(spark, monkeypatch):
+    docs = some_documents(3, 1_500)
+    index = bm25.save(bm25.build(spark.createDataFrame(docs, "id string, contents string"), buckets=6), new_path(spark, "index"))
+    queries = query_table(spark, ["w0 w150 w3", "w1", "w0 w1 w2 w3 w4", "w199 w0", "w180 w181 nowhere w0"])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    wanted = rows(bm25.top_hits(index, queries, 10, prune_postings=1 << 60))
+    # as if the documents in reach were many
+    monkeypatch.setattr(bm25, "SMALL_BYTES", -1)
+    for bounds in (bm25.MOST_BOUNDS, 30, 1):
+        monkeypatch.setattr(bm25, "MOST_BOUNDS", bounds)
+        assert rows(bm25.top_hits(index, queries, 10, prune_postings=0)) == wanted
+    found = bm25.competitive_parts(index, *bm25._asked_words(index, queries), queries.schema["qid"].dataType, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(qid#" not in plan.split("ShuffledHashJoin")[0]
+
+
 def test_words_are_added_up_in_as_many_tasks_as_buckets(spark):
     docs = spark.createDataFrame(some_documents(4, 400), "id string, contents string")
     names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from vouch.functions.text import tokenize
-from vouch.session import SMALL_BYTES, file_bytes, least_partitions, materialize, small_rows
+from vouch.session import SMALL_BYTES, file_bytes, least_partitions, materialize, new_path, small_rows
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 6
@@ -41,6 +41,8 @@ LAYOUT = "n_docs bigint, length bigint, buckets int"
 SEGMENTS = "segment int, buckets int"
 # query words with fewer postings than this are scored without looking for postings to skip
 PRUNE_POSTINGS = 5_000_000
+# bounds, of a query word in a group of buckets each, that all tasks get when postings are looked for to skip
+MOST_BOUNDS = 250_000
 # text whose words a task counts and sorts; in memory its postings take about forty times as much
 TASK_TEXT = 8 << 20
 # an index gets a bucket for each such amount of text, up to a number that a catalog and a driver can hold
@@ -399,11 +401,12 @@ def _table(spark: SparkSession, rows: list[dict], qid_type, **kinds) -> DataFram
 def competitive_parts(
     index: Index, asked: list[dict], avgdl: float, qid_type, top_n: int, k1: float = K1, b: float = B
 ) -> DataFrame:
-    """``qid, doc_id, part``: scored postings, without those that cannot bring a document to rank ``top_n``.
+    """``qid, doc_id, part``: the documents that may reach rank ``top_n`` with the sum of their scored postings.
 
     The documents of a query's rarest words give it a floor.  The largest impact of each word in each bucket, and what the
     weakest words add up to there at most, tells which words are needed: a document that has none of them stays below the
-    floor.  The postings of needed words are scored; those of the others only for documents that may still reach it.
+    floor.  The postings of needed words are scored; those of the others only for documents that may still reach it, in
+    the buckets where they are: nothing moves but the documents in reach.
     """
     spark, words = index.postings.sparkSession, F.col("term")
     by_query = defaultdict(list)
@@ -426,11 +429,18 @@ def competitive_parts(
     # scores are compared after rounding
     floor = _table(spark, [{"qid": q, "floor": floors.get(q, 0.0) - 1e-5} for q in by_query], qid_type, floor=pa.float64())
 
-    top = F.col("most_tf") / (F.col("most_tf") + k1 * (1 - b + b * F.col("least_dl") / F.lit(avgdl)))
-    bounds = (
+    # buckets that share their bounds, so that these stay few enough for every task
+    groups = min(index.buckets, max(1, MOST_BOUNDS // len(asked)))
+    group = F.pmod(F.col("bucket"), F.lit(groups))
+    tops = (
         listed(index.tops, asked)
         .filter((F.col("most_tf") > 0) & F.col("least_dl").isNotNull())
-        .join(F.broadcast(_table(spark, asked, qid_type, **kinds)), "term")
+        .groupBy(group.alias("bucket"), "term")
+        .agg(F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl"))
+    )
+    top = F.col("most_tf") / (F.col("most_tf") + k1 * (1 - b + b * F.col("least_dl") / F.lit(avgdl)))
+    bounds = (
+        tops.join(F.broadcast(_table(spark, asked, qid_type, **kinds)), "term")
         .join(F.broadcast(floor), "qid")
         .select("qid", "bucket", "term", "idf", "floor", (F.col("idf") * (k1 + 1) * top).alias("most"))
     )
@@ -438,22 +448,42 @@ def competitive_parts(
     bounds = bounds.withColumn("upto", F.sum("most").over(weakest)).withColumn("needed", F.col("upto") >= F.col("floor"))
     rest = F.coalesce(F.max(F.when(~F.col("needed"), F.col("upto"))).over(W.partitionBy("qid", "bucket")), F.lit(0.0))
     bounds = materialize(bounds.withColumn("rest", rest), "bounds")
-    hint = F.broadcast if file_bytes(bounds) <= SMALL_BYTES else (lambda df: df)
 
-    located = listed(postings, asked).withColumn("bucket", bucket_of(F.col("doc_id"), index.buckets))
+    located = index.postings.withColumn("bucket", F.pmod(bucket_of(F.col("doc_id"), index.buckets), F.lit(groups)))
     needed = bounds.filter("needed").select("qid", "bucket", "term", "idf", "floor", "rest")
     first = (
-        located.join(hint(needed), ["bucket", "term"])
+        listed(located, asked)
+        .join(F.broadcast(needed), ["bucket", "term"])
         .groupBy("qid", "doc_id", "floor", "rest")
         .agg(F.sum(_part(F.lit(avgdl), k1, b)).alias("part"))
         .filter(F.col("part") + F.col("rest") >= F.col("floor"))
     )
-    first = materialize(first.select("qid", "doc_id", "part"), "first")
-    others = bounds.filter("not needed").select("qid", "bucket", "term", "idf")
-    ids = first.select("qid", "doc_id")
-    few = F.broadcast(ids) if file_bytes(first) <= SMALL_BYTES else ids
-    more = located.join(hint(others), ["bucket", "term"]).join(few, ["qid", "doc_id"])
-    return first.unionByName(more.select("qid", "doc_id", _part(F.lit(avgdl), k1, b).alias("part")))
+    # a row per document, kept in the bucket of its postings, which don't move to meet it
+    first = _bucketed(first.select("qid", "doc_id", "part"), index.buckets, "first")
+    reached = first.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("qid", "part"))).alias("parts"))
+    # the posting of the empty word, which each document has, brings the documents that have none of the other words
+    none = needed.select("qid", "bucket").distinct().select("qid", "bucket", F.lit("").alias("term"), F.lit(0.0).alias("idf"))
+    others = bounds.filter("not needed").select("qid", "bucket", "term", "idf").unionByName(none)
+    scored = (
+        listed(located, [*asked, {"term": ""}])
+        .join(reached.hint("shuffle_hash"), "doc_id")
+        .join(F.broadcast(others), ["bucket", "term"])
+        .withColumn("known", F.try_element_at("parts", "qid"))
+        .filter(F.col("known").isNotNull())
+        .groupBy("qid", "doc_id")
+        .agg((F.max("known") + F.sum(_part(F.lit(avgdl), k1, b))).alias("part"))
+    )
+    # the join leaves out a document without id
+    unnamed = first.filter(F.col("doc_id").isNull())
+    return scored if unnamed.isEmpty() else scored.unionByName(unnamed)
+
+
+def _bucketed(df: DataFrame, buckets: int, label: str) -> DataFrame:
+    """``df`` written once, in the buckets that postings of the same documents are in."""
+    path = new_path(df.sparkSession, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def top_hits(
@@ -473,7 +503,7 @@ def top_hits(
     if asked and sum(row["df"] for row in asked[0]) >= max(1, prune_postings):
         qid_type = queries.schema["qid"].dataType
         parts = competitive_parts(index, *asked, qid_type, top_n, k1, b)
-        scored = parts.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+        scored = parts.select("qid", "doc_id", F.round("part", SCORE_DIGITS).alias("score"))
     else:
         scored = scores(index, queries, k1, b)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
