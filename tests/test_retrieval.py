@@ -463,3 +463,36 @@ def test_words_are_added_up_in_as_many_tasks_as_buckets(spark):
     finally:
         spark.conf.set(names[0], usual[names[0]])
     assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, bm25.build(docs).terms.collect()))
+
+
+@pytest.fixture
+def alone(spark):
+    """Settings of a test, taken back after it."""
+    usual = {}
+
+    def put(name, value):
+        usual.setdefault(name, spark.conf.get(name, None))
+        spark.conf.set(name, value)
+
+    yield put
+    for name, value in usual.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_words_of_an_index_are_not_put_together_in_large_tasks(spark, monkeypatch, alone):
+    from vouch import session
+
+    docs = spark.createDataFrame(some_documents(5, 400), "id string, contents string")
+    # at run time all would go to one task, within the usual bound of 64 MB
+    alone("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    alone("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1b")
+    bounds = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    usual = [spark.conf.get(name) for name in bounds]
+    monkeypatch.setattr(session, "TASK_MOVES", 2_000, raising=False)
+    monkeypatch.setattr(session, "TASK_READS", 4_000, raising=False)
+    path = new_path(spark, "index")
+    index = bm25.save(bm25.build(docs, buckets=6), path)
+    files = lambda part: spark.read.parquet(f"{path}/segment-00000001/{part}").inputFiles()
+    assert len(files("tops")) > 3 and len(files("terms")) > 1
+    assert [spark.conf.get(name) for name in bounds] == usual
+    assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, bm25.build(docs).terms.collect()))

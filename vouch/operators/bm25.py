@@ -45,6 +45,8 @@ PRUNE_POSTINGS = 5_000_000
 MOST_BOUNDS = 250_000
 # text whose words a task counts and sorts; in memory its postings take about forty times as much
 TASK_TEXT = 8 << 20
+# files of postings, about half of their text, whose words a task adds up
+TASK_POSTINGS = 4 << 20
 # an index gets a bucket for each such amount of text, up to a number that a catalog and a driver can hold
 MOST_BUCKETS = 4096
 
@@ -190,21 +192,22 @@ def _merged(tops: DataFrame) -> DataFrame:
 def _write_segment(
     spark: SparkSession, path: str, number: int, postings: DataFrame, buckets: int, before: Index | None, replaced
 ) -> None:
-    """Write a segment.  The words of each bucket and the vocabulary are added up by as many tasks as there are buckets, as they grow."""
+    """Write a segment.  The words of each bucket and the vocabulary are added up by tasks that follow the postings."""
+    folder = _segment(path, number)
     with least_partitions(spark, buckets):
-        _write_parts(spark, path, number, postings, buckets, before, replaced)
+        (
+            postings.write.bucketBy(buckets, "doc_id")
+            .sortBy("term", "doc_id")
+            .option("path", f"{folder}/postings")
+            .saveAsTable(_postings_table(folder, buckets))
+        )
+    held = file_bytes(spark.read.schema(POSTINGS).parquet(f"{folder}/postings"))
+    with least_partitions(spark, max(buckets, -(-held // TASK_POSTINGS))):
+        _write_sums(spark, path, number, buckets, before, replaced)
 
 
-def _write_parts(
-    spark: SparkSession, path: str, number: int, postings: DataFrame, buckets: int, before: Index | None, replaced
-) -> None:
+def _write_sums(spark: SparkSession, path: str, number: int, buckets: int, before: Index | None, replaced) -> None:
     folder = _segment(path, number)
-    (
-        postings.write.bucketBy(buckets, "doc_id")
-        .sortBy("term", "doc_id")
-        .option("path", f"{folder}/postings")
-        .saveAsTable(_postings_table(folder, buckets))
-    )
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
     written = read("postings", POSTINGS)
     tops = _tops(written, buckets)

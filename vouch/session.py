@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_ROWS = 20_000
 # The same for written tables of any number of rows: bytes of their files.
 SMALL_BYTES = 32 << 20
+# Within `least_partitions`: bytes of files that a task reads, and of shuffled data up to which partitions are put together.
+# Words counted in memory take ten to twenty times as much as shuffled.
+TASK_READS, TASK_MOVES = 16 << 20, 8 << 20
 
 
 def session(app: str = "vouch", **conf: str) -> SparkSession:
@@ -54,16 +57,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _no_more(spark: SparkSession, name: str, most: int) -> str:
+    """The setting ``name`` in bytes, at most ``most``."""
+    usual = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    return f"{min(usual, most)}b"
+
+
 @contextmanager
 def least_partitions(spark: SparkSession, parts: int):
-    """Shuffles of the jobs run within have ``parts`` partitions or more; small ones are still put together as they run."""
-    name = "spark.sql.shuffle.partitions"
-    usual = spark.conf.get(name)
-    spark.conf.set(name, str(max(int(usual), parts)))
+    """Tasks of the jobs run within follow ``parts`` and fixed bounds, not the table and the cores.
+
+    Shuffles have ``parts`` partitions or more; as they run, small ones are put together up to ``TASK_MOVES`` bytes, and
+    scans up to ``TASK_READS``, where the usual bounds are far larger and reached as tables grow.
+    """
+    shuffles = "spark.sql.shuffle.partitions"
+    moves, reads = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
+    usual = {name: spark.conf.get(name) for name in (shuffles, moves, reads)}
+    spark.conf.set(shuffles, str(max(int(usual[shuffles]), parts)))
+    spark.conf.set(moves, _no_more(spark, moves, TASK_MOVES))
+    spark.conf.set(reads, _no_more(spark, reads, TASK_READS))
     try:
         yield
     finally:
-        spark.conf.set(name, usual)
+        for name, value in usual.items():
+            spark.conf.set(name, value)
 
 
 def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
