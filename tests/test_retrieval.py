@@ -496,3 +496,17 @@ def test_words_of_an_index_are_not_put_together_in_large_tasks(spark, monkeypatc
     assert len(files("tops")) > 3 and len(files("terms")) > 1
     assert [spark.conf.get(name) for name in bounds] == usual
     assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, bm25.build(docs).terms.collect()))
+
+
+def test_phrases_of_many_texts_are_looked_up_in_more_tasks(spark, monkeypatch, alone):
+    from vouch.plans import recommend as plans
+
+    rows = [(i, "p", "place", text) for i, text in some_documents(6, 300)]
+    reviews = spark.createDataFrame(rows, "review_id string, place_id string, place_name string, text string")
+    queries = with_variants(query_table(spark, ["w0 w1", ("w3", ["w1 w2"]), "!"]))
+    alone("spark.sql.adaptive.enabled", "false")
+    wanted = sorted(map(str, touched(reviews, queries, None, match="scan").drop("score").collect()))
+    monkeypatch.setattr(plans, "TASK_TEXT", 200, raising=False)
+    found = touched(reviews, queries, None, match="index")
+    assert len(found.inputFiles()) > 8
+    assert sorted(map(str, found.drop("score").collect())) == wanted

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vouch.functions import display
 from vouch.functions.text import snippet
-from vouch.operators.bm25 import Index
+from vouch.operators.bm25 import TASK_TEXT, Index, text_bytes
 from vouch.operators.exact import place_hits, touched_reviews, variant_hits
 from vouch.operators.phrase_index import touched_by_words
 from vouch.operators.queries import with_variants
@@ -22,7 +22,7 @@ from vouch.operators.ranking import (
     with_rating,
 )
 from vouch.plans.search import ranked_hits
-from vouch.session import SMALL_ROWS, materialize, small_rows
+from vouch.session import SMALL_ROWS, least_partitions, materialize, small_rows
 from vouch.sources.tables import keyed_join
 
 def _blocks(asked: DataFrame) -> list[DataFrame]:
@@ -68,10 +68,13 @@ def touched(
         return materialize(reduce(DataFrame.unionByName, blocks), "touched")
     if match != "index":
         raise ValueError(f"unknown way to match {match!r}")
-    rows = touched_by_words(reviews, asked)
-    if hits is not None:
-        rows = rows.unionByName(located_hits(hits, reviews))
-    return materialize(rows, "touched")
+    # words and texts met are shuffled in tasks that follow the texts
+    size = text_bytes(reviews.select(F.col("text").alias("contents")))
+    with least_partitions(reviews.sparkSession, -(-size // TASK_TEXT)):
+        rows = touched_by_words(reviews, asked)
+        if hits is not None:
+            rows = rows.unionByName(located_hits(hits, reviews))
+        return materialize(rows, "touched")
 
 
 def ranked_places(
