@@ -269,8 +269,7 @@ def _(spark, sf):
     index_reviews(older.filter(doc % 2 == 0).drop("doc_id"), path)
     append_reviews(spark, materialize(now.filter((doc % 2 == 0) | (doc % 3 == 0)).drop("doc_id"), "more"), path)
     index = append_reviews(spark, materialize(now.filter((doc % 3 != 0)).drop("doc_id"), "rest"), path)
-    words = index.postings.filter(F.col("term") != "")
-    return words.join(index.terms, "term").crossJoin(F.broadcast(index.stats))
+    return bm25.with_df(index).crossJoin(F.broadcast(index.stats))
 
 
 @query("b8_pruned_hits", with_views("SELECT * FROM ranked WHERE rank <= 50", SCORES))

@@ -510,3 +510,20 @@ def test_phrases_of_many_texts_are_looked_up_in_more_tasks(spark, monkeypatch, a
     found = touched(reviews, queries, None, match="index")
     assert len(found.inputFiles()) > 8
     assert sorted(map(str, found.drop("score").collect())) == wanted
+
+
+def test_sums_and_joins_of_an_appended_index_follow_all_postings(spark, monkeypatch, alone):
+    docs = some_documents(7, 400)
+    table = lambda rows: spark.createDataFrame(rows, "id string, contents string")
+    alone("spark.sql.adaptive.enabled", "false")
+    alone("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(bm25, "TASK_POSTINGS", 1_000, raising=False)
+    path = new_path(spark, "index")
+    bm25.save(bm25.build(table(docs[:20]), buckets=2), path)
+    index = bm25.append(spark, path, table(docs[10:]))
+    assert len(spark.read.parquet(f"{path}/segment-00000002/tops").inputFiles()) > 8
+    joined = bm25.with_df(index)
+    assert joined.rdd.getNumPartitions() > 8
+    fresh = bm25.build(table(docs))
+    wanted = fresh.postings.filter("term != ''").join(fresh.terms, "term").select(joined.columns)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, wanted.collect()))

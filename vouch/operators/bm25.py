@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from vouch.functions.text import tokenize
-from vouch.session import SMALL_BYTES, file_bytes, least_partitions, materialize, new_path, small_rows
+from vouch.session import SMALL_BYTES, file_bytes, least_partitions, materialize, new_path, setting_bytes, small_rows
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 6
@@ -192,7 +192,7 @@ def _merged(tops: DataFrame) -> DataFrame:
 def _write_segment(
     spark: SparkSession, path: str, number: int, postings: DataFrame, buckets: int, before: Index | None, replaced
 ) -> None:
-    """Write a segment.  The words of each bucket and the vocabulary are added up by tasks that follow the postings."""
+    """Write a segment.  The words of each bucket and the vocabulary are added up by tasks that follow the postings, older ones too."""
     folder = _segment(path, number)
     with least_partitions(spark, buckets):
         (
@@ -202,6 +202,8 @@ def _write_segment(
             .saveAsTable(_postings_table(folder, buckets))
         )
     held = file_bytes(spark.read.schema(POSTINGS).parquet(f"{folder}/postings"))
+    if before is not None:
+        held += file_bytes(before.postings)
     with least_partitions(spark, max(buckets, -(-held // TASK_POSTINGS))):
         _write_sums(spark, path, number, buckets, before, replaced)
 
@@ -323,6 +325,20 @@ def load(spark: SparkSession, path: str, stop=None, vocab: DataFrame | None = No
     )
 
 
+def with_df(index: Index) -> DataFrame:
+    """The postings of a saved index without those of the empty word, each with the ``df`` of its word.
+
+    Where the vocabulary is too large to be broadcast, postings that are more than the shuffle partitions hold in small tasks
+    are dealt to as many as they need.
+    """
+    spark, words = index.postings.sparkSession, index.postings.filter(F.col("term") != "")
+    needed = -(-file_bytes(index.postings) // TASK_POSTINGS)
+    moves = file_bytes(index.terms) > setting_bytes(spark, "spark.sql.autoBroadcastJoinThreshold")
+    if moves and needed > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        words = words.repartition(needed, "term")
+    return words.join(index.terms, "term")
+
+
 def query_terms(queries: DataFrame, stop=None, vocab: DataFrame | None = None) -> DataFrame:
     """Distinct ``qid, term`` of ``queries(qid, query)``."""
     tokens = F.array_distinct(tokenize(F.col("query"), list(stop or ())))

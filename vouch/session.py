@@ -57,10 +57,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _no_more(spark: SparkSession, name: str, most: int) -> str:
-    """The setting ``name`` in bytes, at most ``most``."""
-    usual = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
-    return f"{min(usual, most)}b"
+def setting_bytes(spark: SparkSession, name: str) -> int:
+    """A setting that is a number of bytes with or without a unit; -1 where it turns something off."""
+    value = spark.conf.get(name)
+    if value.lstrip("-").isdigit():
+        return int(value)
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value)
 
 
 @contextmanager
@@ -74,8 +76,8 @@ def least_partitions(spark: SparkSession, parts: int):
     moves, reads = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
     usual = {name: spark.conf.get(name) for name in (shuffles, moves, reads)}
     spark.conf.set(shuffles, str(max(int(usual[shuffles]), parts)))
-    spark.conf.set(moves, _no_more(spark, moves, TASK_MOVES))
-    spark.conf.set(reads, _no_more(spark, reads, TASK_READS))
+    spark.conf.set(moves, f"{min(setting_bytes(spark, moves), TASK_MOVES)}b")
+    spark.conf.set(reads, f"{min(setting_bytes(spark, reads), TASK_READS)}b")
     try:
         yield
     finally:
