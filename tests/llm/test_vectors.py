@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vouch.llm.ann import approximate_top_k, hilbert_keys
-from vouch.llm.impact_search import Block, exact_top_k
+from vouch.llm import impact_search
+from vouch.llm.impact_search import Block, Strip, exact_top_k
 from vouch.llm.queries import ORACLES
 
 SCHEMA = "vec_id bigint, embedding array<float>, score string, rank int, x int"
@@ -91,6 +92,68 @@ def test_block_search_is_exact_and_can_stop_early():
         assert [(-int(s), int(i)) for i, s in zip(at, scores)] == want
 
 
+def test_queries_and_blocks_meet_without_copies_for_each_pair(spark):
+    df = frame(spark, rows(60))
+    found = exact_top_k(df, df.where(F.col("vec_id") % 5 == 0), k=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan and "Cartesian" not in plan  # nor queries for all blocks in the driver
+
+
+def test_exact_top_k_over_many_groups_and_strips(spark, monkeypatch):
+    for name, small in (("BLOCK", 8), ("BATCH", 3), ("STRIP", 20), ("GROUP", 60)):
+        monkeypatch.setattr(impact_search, name, small)
+    data = rows(200, seed=4) + ODD + [(700 + i, [0.5, i / 8]) for i in range(30)]
+    df = frame(spark, data)
+    found = exact_top_k(df, df.where(F.col("vec_id") % 5 == 0), k=4).collect()
+    queries = {i for i, _ in data if i is not None and i % 5 == 0}
+    assert {(r.query_id, r.rank, r.vec_id, float(r.score)) for r in found} == brute(data, queries, 4, whole)
+    assert len(found) == 4 * len(queries - {900})  # 900 has no vector
+
+
+@pytest.mark.parametrize("kind", ["even", "falling", "sparse", "ties", "same", "double", "long"])
+def test_blocks_fill_a_strip_like_brute_force(kind, monkeypatch):
+    monkeypatch.setattr(impact_search, "PAIRS", 4096)
+    rng = np.random.default_rng(6)
+    n, dims = 900, 12
+    x = rng.integers(-128, 128, (n, dims))
+    if kind == "falling":
+        x = (x * 0.4 ** np.arange(dims)).astype(np.int64)
+    elif kind == "sparse":
+        x *= rng.random((n, dims)) < 0.15
+    elif kind == "ties":
+        x = x // 100 * 30
+    elif kind == "same":
+        x[:] = 7
+    elif kind in ("double", "long"):
+        x *= {"double": 1 << 13, "long": 1 << 21}[kind]
+    ids = rng.permutation(n)
+    ids[-40:] = ids[:40]  # some come twice
+    at = rng.choice(n - 40, 300, replace=False)
+    strip = Strip(ids[at], x[at], 5)
+    for start in range(0, n, 290):
+        Block(ids[start : start + 290], x[start : start + 290]).fill(strip)
+    for i, own in enumerate(at):
+        scores = x @ x[own]
+        best = sorted((-int(s), int(j)) for s, j in zip(scores, ids) if j != ids[own])[:5]
+        assert [(-int(s), int(j)) for s, j in zip(strip.scores[i], strip.found[i])] == best
+
+
+def test_leading_segments_prove_what_they_can(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.integers(-3, 4, (2000, 16))
+    x[:, :2] = rng.integers(-1000, 1001, (2000, 2))  # two dimensions have all the impact
+    read = []
+    gains = impact_search.Read.gains
+    monkeypatch.setattr(impact_search.Read, "gains", lambda self, block: read.append(len(self.read)) or gains(self, block))
+    strip = Strip(np.arange(0, 2000, 20), x[::20], 5)
+    for start in range(0, 2000, 500):
+        Block(np.arange(start, start + 500), x[start : start + 500]).fill(strip)
+    assert read
+    for i, own in enumerate(range(0, 2000, 20)):
+        best = sorted((-int(s), j) for j, s in enumerate(x @ x[own]) if j != own)[:5]
+        assert [(-int(s), int(j)) for s, j in zip(strip.scores[i], strip.found[i])] == best
+
+
 def test_hilbert_keys_step_to_neighbours():
     side = 8
     cells = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])

@@ -9,13 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vouch.llm.batches import bound_batches, released
 from vouch.session import materialize
 
-BLOCK = 4096  # vectors of an index block
-BATCH = 256  # queries that travel together
-STEP = 16  # width of an impact level
+BLOCK, BATCH = 4096, 256  # vectors of an index block, queries that travel and are scored together
+PACK = 1 << 20  # components of a block or batch at most
+STRIP, GROUP = 8 << 20, 16 << 20  # components of the queries that a task holds, and of the vectors that it reads for them, about
+PAIRS = 1 << 22  # components of the vectors that are scored exactly at once
+STEP = 4  # width of an impact level
 LONG = 1 << 62  # sums that stay below are exact in 64 bits
+NONE = -(1 << 63)  # below every score
 _CHECKS = (0.5, 0.7, 0.8, 0.9, 0.96, 1.0)  # shares of the segments after which a proof is tried
+_FIRST = (0.1, 0.3)  # the same for many queries, before all segments are read
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -50,6 +55,64 @@ def inner_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+class Strip:
+    """Queries of one length with the best ``k`` rows found for each so far, best first, ties to smaller ids."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.size = max(int(q.max()), -int(q.min()))
+        self.order = np.argsort(ids)
+        self.rising = ids[self.order]
+        self.scores = np.full((len(ids), k), NONE, np.int64)
+        self.found = np.zeros((len(ids), k), np.int64)
+        self.up, self.down = np.maximum(q, 0).mean(axis=0), -np.minimum(q, 0).mean(axis=0)  # mean weights
+
+    def floor(self, at: np.ndarray) -> np.ndarray:
+        """What a row has to reach, as doubles."""
+        last = self.scores[at, -1]
+        return np.where(last == NONE, -np.inf, last.astype(np.float64))
+
+    def own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries, in rising order, and the positions of their own ids."""
+        spot = np.minimum(np.searchsorted(self.rising, ids), len(self.rising) - 1)
+        at = np.flatnonzero(self.rising[spot] == ids)
+        query = self.order[spot[at]]
+        rising = np.argsort(query, kind="stable")
+        return query[rising], at[rising]
+
+    def take(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Put rows, each given once, among the best of the queries ``at``."""
+        last = self.scores[at, -1]
+        better = (scores > last) | ((scores == last) & (ids < self.found[at, -1])) & (last != NONE)
+        at, ids, scores = at[better], ids[better], scores[better]
+        if not len(at):
+            return
+        met = np.unique(at)
+        at = np.concatenate([np.repeat(met, self.k), at])
+        ids = np.concatenate([self.found[met].reshape(-1), ids])
+        scores = np.concatenate([self.scores[met].reshape(-1), scores])
+        order = np.lexsort((ids, ~scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        best = place < self.k
+        self.found[at[best], place[best]] = ids[best]
+        self.scores[at[best], place[best]] = scores[best]
+
+    def batch(self) -> pa.RecordBatch:
+        at, place = np.nonzero(self.scores != NONE)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.ids[at]), pa.array(self.found[at, place]), pa.array(self.scores[at, place])],
+            names=["query_id", "vec_id", "score"],
+        )
+
+
+def _under(bound: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """``bound`` in another type, rounded down."""
+    near = bound.astype(kind)
+    return np.where(near > bound, np.nextafter(near, kind.type(-np.inf)), near)
+
+
 class Block:
     """Postings of some vectors: per dimension and level of quantised value, the vectors that have it.
 
@@ -71,7 +134,7 @@ class Block:
         value = level.reshape(-1)[self.start] * STEP
         self.low, self.high = low, high
         self.least = np.maximum(value, low[self.dim])  # bounds of the values in a segment
-        self.most = np.minimum(value + STEP - 1, high[self.dim])
+        self.most = np.minimum(value + (STEP - 1), high[self.dim])
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and exact scores of the best ``k``, ties to smaller ids."""
@@ -121,63 +184,208 @@ class Block:
         return possible[best], scores[best]
 
 
+    def fill(self, strip: Strip) -> None:
+        """Let the rows of the block into the best of all queries of ``strip``.
+
+        For each query the same search, with sums for many queries at a time: the gains of segments, laid out by their
+        postings, times the weights.  Leading segments, by the mean weights of the strip, are read for queries that most vectors
+        could then no longer reach, by mean and variance of the gains; all segments are read for the others.
+        """
+        size = max(int(self.x.max()), -int(self.x.min())) + STEP
+        wide = 2 * size * strip.size * self.x.shape[1]
+        if wide >= 1 << 53:  # sums beyond whole doubles: one query at a time
+            for i, q in enumerate(strip.q.astype(np.int64)):
+                at, scores = self.search(int(strip.ids[i]), q, strip.k)
+                strip.take(np.full(len(at), i), self.ids[at], scores)
+            return
+        kind = np.dtype(np.float32 if wide < 1 << 24 else np.float64)  # whole numbers in it are exact
+        n, dims = self.x.shape
+        x = self.x.astype(kind)
+        coarse = np.empty((dims, n), kind)
+        coarse.reshape(-1)[np.repeat(self.dim * n, self.end - self.start) + self.postings] = np.repeat(
+            self.least, self.end - self.start
+        )
+        low, high = self.low.astype(np.float64), self.high.astype(np.float64)
+        hidden = np.zeros(dims)  # what a level hides
+        np.maximum.at(hidden, self.dim, (self.most - self.least).astype(np.float64))
+        own_at, own = strip.own(self.ids)
+        rounds = None
+        for start in range(0, len(strip.ids), BATCH):
+            at = np.arange(start, min(start + BATCH, len(strip.ids)))
+            weight = np.concatenate([np.maximum(strip.q[at], 0), np.maximum(-strip.q[at].astype(kind), 0)], axis=1)
+            weight = weight.astype(kind)
+            base = weight @ np.concatenate([low, -high])
+            floor = strip.floor(at)
+            span = slice(*np.searchsorted(own_at, [start, start + BATCH]))
+            mine = own_at[span] - start, own[span]
+            use = base + weight @ np.tile(high - low, 2) >= floor  # the block as a whole
+            if rounds is None and (floor > -np.inf).any():
+                rounds = self._rounds(strip, kind)
+            for read in rounds or ():
+                missing = weight @ read.unread
+                usual = weight @ read.mean + 2 * np.sqrt(weight * weight @ read.spread)
+                now = np.flatnonzero(use & (base + usual + missing < floor))
+                if len(now):
+                    few = max(16 * strip.k, n // 16)
+                    possible = weight[now] @ read.gains(self) >= _under(floor - base - missing, kind)[now, None]
+                    done = np.count_nonzero(possible, axis=1) <= few
+                    self._settle(strip, at, now[done], possible[done], x, mine)
+                    use[now[done]] = False
+            now = np.flatnonzero(use)
+            if not len(now):
+                continue
+            total = strip.q[at[now]].astype(kind) @ coarse
+            row = np.full(len(at), -1)
+            row[now] = np.arange(len(now))
+            spot = row[mine[0]]
+            total[spot[spot >= 0], mine[1][spot >= 0]] = -np.inf
+            more, less = weight[now, :dims] @ hidden, weight[now, dims:] @ hidden
+            floor = floor[now]
+            new = np.flatnonzero(floor == -np.inf)
+            width = max(1, n // max(64, 8 * strip.k))
+            if len(new) and n // width >= strip.k:  # best lower bounds of parts of the block
+                part = total[new, : n // width * width].reshape(len(new), -1, width).max(axis=2)
+                floor[new] = np.partition(part, part.shape[1] - strip.k, axis=1)[:, part.shape[1] - strip.k] - less[new]
+            self._settle(strip, at, now, total >= _under(floor - more, kind)[:, None], x, mine)
+
+    def _rounds(self, strip: Strip, kind: np.dtype) -> list[Read]:
+        """Leading segments by falling impact on the mean weights of the strip, both sides."""
+        n, dims = self.x.shape
+        column = np.concatenate([self.dim, self.dim + dims])
+        low, high = self.low.astype(np.float64)[self.dim], self.high.astype(np.float64)[self.dim]
+        lower = np.concatenate([self.least - low, high - self.most])
+        upper = np.concatenate([self.most - low, high - self.least])
+        size = np.tile(self.end - self.start, 2)
+        order = np.argsort(-upper * np.concatenate([strip.up, strip.down])[column], kind="stable")
+        upto = np.searchsorted(np.cumsum(size[order]), np.array(_FIRST) * 2 * n * dims, side="right")
+        return [Read(column, lower, upper, size, order[:u], n, kind) for u in upto if u]
+
+    def _settle(self, strip: Strip, at, now, possible, x, mine) -> None:
+        """Exact scores of the possible rows of the queries ``at[now]``, all but their own."""
+        if not len(now):
+            return
+        row = np.full(len(at), -1)
+        row[now] = np.arange(len(now))
+        spot = row[mine[0]]
+        possible[spot[spot >= 0], mine[1][spot >= 0]] = False
+        q = strip.q[at[now]].astype(x.dtype)
+        scores = None
+        if np.count_nonzero(possible) > possible.size // 16:
+            scores = q @ x.T
+            last = strip.scores[at[now], -1]
+            ties = np.where(last == NONE, np.iinfo(np.int64).max, strip.found[at[now], -1])
+            floor = strip.floor(at[now])[:, None]
+            possible &= (scores > floor) | ((scores == floor) & (self.ids < ties[:, None]))
+        pairs = np.flatnonzero(possible)
+        some = max(1, PAIRS // x.shape[1])
+        for start in range(0, len(pairs), some):
+            i, j = np.divmod(pairs[start : start + some], len(self.ids))
+            exact = np.einsum("ij,ij->i", q[i], x[j]) if scores is None else scores[i, j]
+            strip.take(at[now[i]], self.ids[j], exact.astype(np.int64))
+
+
+class Read:
+    """Some segments that are read: best gain not read, mean and variance of those read, all by dimension and side."""
+
+    def __init__(self, column, lower, upper, size, read, n: int, kind: np.dtype):
+        columns = int(column.max()) + 1
+        self.column, self.lower, self.read, self.shape, self.kind = column, lower, read, (columns, n), kind
+        best = upper.copy()
+        best[read] -= lower[read]
+        self.unread = np.zeros(columns)
+        np.maximum.at(self.unread, column, best)
+        self.mean = np.bincount(column[read], (lower * size)[read], columns) / n
+        square = np.bincount(column[read], (lower * lower * size)[read], columns) / n
+        self.spread = np.maximum(square - self.mean * self.mean, 0)
+        self.laid: np.ndarray | None = None
+
+    def gains(self, block: Block) -> np.ndarray:
+        """The gains of the segments at their postings, laid out when first asked for."""
+        if self.laid is None:
+            self.laid = np.zeros(self.shape, self.kind)
+            segment = self.read % len(block.start)
+            for column, gain, start, end in zip(
+                self.column[self.read], self.lower[self.read], block.start[segment], block.end[segment], strict=True
+            ):
+                self.laid[column, block.postings[start:end]] = gain
+        return self.laid
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest of three types that holds them."""
+    low, high = int(x.min()), int(x.max())
+    return x.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 def _packed(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids: list, rows: list) -> pa.RecordBatch:
-            key = uuid.uuid4().int >> 65
+        def out(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([len(rows[0])], pa.int32()),
-                    pa.array([key], pa.int64()),
-                    pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                    pa.array([np.stack(rows).tobytes()], pa.binary()),
+                    pa.array([x.shape[1]], pa.int32()),
+                    pa.array([len(ids)], pa.int32()),
+                    pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                    pa.array([ids.tobytes()], pa.binary()),
+                    pa.array([_narrow(x).tobytes()], pa.binary()),
                 ],
-                names=["dims", "key", "ids", "rows"],
+                names=["dims", "n", "key", "ids", "rows"],
             )
 
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for vec_id, x in zip(batch.column("vec_id").to_pylist(), batch.column("x"), strict=True):
-                ids, rows = held.setdefault(len(x), ([], []))
-                ids.append(vec_id)
-                rows.append(x.values.to_numpy())
-                if len(ids) == most:
-                    yield out(ids, rows)
-                    del held[len(x)]
-        for ids, rows in held.values():
-            yield out(ids, rows)
+            ids, lists = batch.column("vec_id").to_numpy(), batch.column("x")
+            size, values = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+            first = np.cumsum(size, dtype=np.int64) - size
+            for dims in np.unique(size).tolist():
+                at = np.flatnonzero(size == dims)
+                parts = held.setdefault(dims, [])
+                parts.append((ids[at], values[first[at][:, None] + np.arange(dims)]))
+                full = max(1, min(most, PACK // dims))
+                if sum(len(i) for i, _ in parts) >= full:
+                    own, x = (np.concatenate(part) for part in zip(*parts, strict=True))
+                    whole = len(own) // full * full
+                    for start in range(0, whole, full):
+                        yield out(own[start : start + full], x[start : start + full])
+                    parts[:] = [(own[whole:].copy(), x[whole:].copy())] if whole < len(own) else []
+        for parts in held.values():
+            if parts:
+                yield out(*(np.concatenate(part) for part in zip(*parts, strict=True)))
 
     return run
 
 
-_PACKED = "dims int, key bigint, ids binary, rows binary"
+_PACKED = "dims int, n int, key bigint, ids binary, rows binary"
 
 
-def _unpack(ids, rows, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(rows.as_buffer(), np.int64).reshape(-1, dims)
-    return np.frombuffer(ids.as_buffer(), np.int64), x
+def _unpack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int64)
+    rows, dims = batch.column("rows")[i].as_buffer(), batch.column("dims")[i].as_py()
+    return ids, np.frombuffer(rows, f"i{rows.size // (len(ids) * dims)}").reshape(-1, dims)
 
 
 def _search(k: int):
+    """Cells one after the other: for each length the queries, then the blocks, one at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block = None, None
+        known, asked, strip = None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                dims, key = batch.column("dims")[i].as_py(), batch.column("key")[i].as_py()
-                if key != known:
-                    block = Block(*_unpack(batch.column("ids")[i], batch.column("rows")[i], dims))
-                    known = key
-                ids, vectors = _unpack(batch.column("q_ids")[i], batch.column("q_rows")[i], dims)
-                found = [block.search(j, q, k) for j, q in zip(ids.tolist(), vectors, strict=True)]
-                size = [len(at) for at, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(ids, size)),
-                        pa.array(block.ids[np.concatenate([at for at, _ in found])]),
-                        pa.array(np.concatenate([s for _, s in found]).astype(np.int64)),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
+                cell = batch.column("cell")[i].as_py(), batch.column("dims")[i].as_py()
+                if cell != known:
+                    if strip is not None:
+                        yield strip.batch()
+                    known, asked, strip = cell, [], None
+                ids, x = _unpack(batch, i)
+                if not batch.column("block")[i].as_py():
+                    asked.append((ids, x))
+                    continue
+                if asked:
+                    strip = Strip(*(np.concatenate(part) for part in zip(*asked, strict=True)), k)
+                    asked = []
+                if strip is not None:
+                    Block(ids, x).fill(strip)
+        if strip is not None:
+            yield strip.batch()
 
     return run
 
@@ -197,21 +405,29 @@ def exact_top_k(
     smallest vector counts; a repeated candidate row takes a place each time.  Ties go to smaller ids.  No
     queries or no candidates give no rows.
 
-    Vectors are packed into blocks as they are read, queries into batches.  Every batch meets every block,
-    which a search of given queries against all rows needs; a cell returns ``k`` rows per query, so the last
-    step sees ``k`` rows for each query and block.
+    Vectors are packed into blocks as they are read, queries into batches, in the smallest whole numbers that hold
+    them.  Every query meets every block, which a search of given queries against all rows needs: blocks are dealt
+    into groups, queries into strips, and each pair of a group and a strip is a task that holds the strip, reads one
+    block at a time and returns ``k`` rows per query.  Groups and strips have bounded sizes at any size of the tables.
     """
-    blocks = materialize(whole_vectors(vectors, id_col, vector_col, scale).mapInArrow(_packed(BLOCK), _PACKED), "blocks")
+    spark = vectors.sparkSession
+    bound_batches(spark)
+    blocks = whole_vectors(vectors, id_col, vector_col, scale)
+    blocks = materialize(blocks.mapInArrow(released(_packed(BLOCK)), _PACKED), "blocks")
     asked = whole_vectors(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("x").alias("x"))
-    asked = materialize(asked.mapInArrow(_packed(BATCH), _PACKED), "asked").select(
-        "dims", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")
-    )
-    cells = max(1, blocks.count())
-    spot = F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int").alias("cell")
-    spread = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    met = blocks.withColumn("cell", spot).join(spread, ["dims", "cell"])
-    found = met.select("dims", "key", "ids", "rows", "q_ids", "q_rows").mapInArrow(
-        _search(k), "query_id bigint, vec_id bigint, score bigint"
+    asked = materialize(asked.mapInArrow(released(_packed(BATCH)), _PACKED), "asked")
+    numbers = F.coalesce(F.sum(F.col("n").cast("bigint") * F.col("dims")), F.lit(0))
+    of_blocks, n_blocks = blocks.agg(numbers, F.count("*")).first()
+    strips = max(1, -(-asked.agg(numbers).first()[0] // STRIP))
+    groups = max(-(-of_blocks // GROUP), -(-4 * spark.sparkContext.defaultParallelism // strips))
+    groups = max(1, min(groups, n_blocks))
+    own = lambda parts: F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    met = blocks.select("*", F.lit(True).alias("block"), own(groups).alias("group"), each(strips).alias("strip")).union(
+        asked.select("*", F.lit(False).alias("block"), each(groups).alias("group"), own(strips).alias("strip"))
     )
+    met = met.withColumn("cell", F.col("group") * strips + F.col("strip")).drop("group", "strip", "key")
+    met = met.repartitionById(groups * strips, "cell").sortWithinPartitions("cell", "dims", "block")
+    found = met.mapInArrow(released(_search(k)), "query_id bigint, vec_id bigint, score bigint")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
