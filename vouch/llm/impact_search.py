@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vouch.llm.batches import bound_batches, released
-from vouch.session import materialize
 
 BLOCK, BATCH = 4096, 256  # vectors of an index block, queries that travel and are scored together
 PACK = 1 << 20  # components of a block or batch at most
@@ -20,7 +19,7 @@ STEP = 4  # width of an impact level
 LONG = 1 << 62  # sums that stay below are exact in 64 bits
 NONE = -(1 << 63)  # below every score
 _CHECKS = (0.5, 0.7, 0.8, 0.9, 0.96, 1.0)  # shares of the segments after which a proof is tried
-_FIRST = (0.1, 0.3)  # the same for many queries, before all segments are read
+_FIRST = (0.25, 0.05)  # shares of the greatest impact: with many queries, segments down to these are read first
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -113,6 +112,13 @@ def _under(bound: np.ndarray, kind: np.dtype) -> np.ndarray:
     return np.where(near > bound, np.nextafter(near, kind.type(-np.inf)), near)
 
 
+def _owned(now: np.ndarray, mine: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs ``mine`` in an array with a row for each of ``now``, in rising order."""
+    spot = np.searchsorted(now, mine[0])
+    here = np.append(now, -1)[spot] == mine[0]
+    return spot[here], mine[1][here]
+
+
 class Block:
     """Postings of some vectors: per dimension and level of quantised value, the vectors that have it.
 
@@ -208,45 +214,40 @@ class Block:
         low, high = self.low.astype(np.float64), self.high.astype(np.float64)
         hidden = np.zeros(dims)  # what a level hides
         np.maximum.at(hidden, self.dim, (self.most - self.least).astype(np.float64))
+        none = np.zeros(dims)
+        rounds = self._rounds(strip, kind) if (strip.scores[:, -1] != NONE).any() else []
+        bounds = [np.append(low, -high), np.tile(high - low, 2), np.append(hidden, none), np.append(none, hidden)]
+        bounds = np.stack([*bounds, *(r.unread for r in rounds), *(r.mean for r in rounds)], axis=1).astype(kind)
         own_at, own = strip.own(self.ids)
-        rounds = None
+        few, width = max(16 * strip.k, n // 64), max(1, n // max(64, 8 * strip.k))
         for start in range(0, len(strip.ids), BATCH):
-            at = np.arange(start, min(start + BATCH, len(strip.ids)))
-            weight = np.concatenate([np.maximum(strip.q[at], 0), np.maximum(-strip.q[at].astype(kind), 0)], axis=1)
-            weight = weight.astype(kind)
-            base = weight @ np.concatenate([low, -high])
-            floor = strip.floor(at)
-            span = slice(*np.searchsorted(own_at, [start, start + BATCH]))
-            mine = own_at[span] - start, own[span]
-            use = base + weight @ np.tile(high - low, 2) >= floor  # the block as a whole
-            if rounds is None and (floor > -np.inf).any():
-                rounds = self._rounds(strip, kind)
-            for read in rounds or ():
-                missing = weight @ read.unread
-                usual = weight @ read.mean + 2 * np.sqrt(weight * weight @ read.spread)
+            q = strip.q[start : start + BATCH].astype(kind)
+            weight = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], axis=1)
+            base, span, more, less, *sums = (weight @ bounds).T.astype(np.float64)
+            floor = strip.floor(slice(start, start + len(q)))
+            some = slice(*np.searchsorted(own_at, [start, start + len(q)]))
+            mine = own_at[some] - start, own[some]
+            use = base + span >= floor  # the block as a whole
+            for read, missing, mean in zip(rounds, sums[: len(rounds)], sums[len(rounds) :], strict=True):
+                usual = mean + 2 * np.sqrt(weight * weight @ read.spread)
                 now = np.flatnonzero(use & (base + usual + missing < floor))
                 if len(now):
-                    few = max(16 * strip.k, n // 16)
-                    possible = weight[now] @ read.gains(self) >= _under(floor - base - missing, kind)[now, None]
+                    possible = weight[np.ix_(now, read.columns)] @ read.gains(self) >= _under(floor - base - missing, kind)[now, None]
                     done = np.count_nonzero(possible, axis=1) <= few
-                    self._settle(strip, at, now[done], possible[done], x, mine)
+                    self._settle(strip, start, now[done], q[now[done]], possible[done], x, mine)
                     use[now[done]] = False
             now = np.flatnonzero(use)
             if not len(now):
                 continue
-            total = strip.q[at[now]].astype(kind) @ coarse
-            row = np.full(len(at), -1)
-            row[now] = np.arange(len(now))
-            spot = row[mine[0]]
-            total[spot[spot >= 0], mine[1][spot >= 0]] = -np.inf
-            more, less = weight[now, :dims] @ hidden, weight[now, dims:] @ hidden
-            floor = floor[now]
+            q, floor = q[now], floor[now]
+            total = q @ coarse
             new = np.flatnonzero(floor == -np.inf)
-            width = max(1, n // max(64, 8 * strip.k))
             if len(new) and n // width >= strip.k:  # best lower bounds of parts of the block
+                total[_owned(now, mine)] = -np.inf
                 part = total[new, : n // width * width].reshape(len(new), -1, width).max(axis=2)
-                floor[new] = np.partition(part, part.shape[1] - strip.k, axis=1)[:, part.shape[1] - strip.k] - less[new]
-            self._settle(strip, at, now, total >= _under(floor - more, kind)[:, None], x, mine)
+                last = part.shape[1] - strip.k
+                floor[new] = np.partition(part, last, axis=1)[:, last] - less[now[new]]
+            self._settle(strip, start, now, q, total >= _under(floor - more[now], kind)[:, None], x, mine)
 
     def _rounds(self, strip: Strip, kind: np.dtype) -> list[Read]:
         """Leading segments by falling impact on the mean weights of the strip, both sides."""
@@ -256,58 +257,48 @@ class Block:
         lower = np.concatenate([self.least - low, high - self.most])
         upper = np.concatenate([self.most - low, high - self.least])
         size = np.tile(self.end - self.start, 2)
-        order = np.argsort(-upper * np.concatenate([strip.up, strip.down])[column], kind="stable")
-        upto = np.searchsorted(np.cumsum(size[order]), np.array(_FIRST) * 2 * n * dims, side="right")
-        return [Read(column, lower, upper, size, order[:u], n, kind) for u in upto if u]
-
-    def _settle(self, strip: Strip, at, now, possible, x, mine) -> None:
-        """Exact scores of the possible rows of the queries ``at[now]``, all but their own."""
-        if not len(now):
-            return
-        row = np.full(len(at), -1)
-        row[now] = np.arange(len(now))
-        spot = row[mine[0]]
-        possible[spot[spot >= 0], mine[1][spot >= 0]] = False
-        q = strip.q[at[now]].astype(x.dtype)
-        scores = None
-        if np.count_nonzero(possible) > possible.size // 16:
+        impact = upper * np.concatenate([strip.up, strip.down])[column]
+        reads = [Read(column, lower, upper, size, np.flatnonzero(impact >= s * impact.max()), n, kind) for s in _FIRST]
+        return [r for r in reads if len(r.columns) <= dims // 2]  # more take longer than to read all segments
+
+    def _settle(self, strip: Strip, start: int, now, q, possible, x, mine) -> None:
+        """Exact scores of the possible rows of the queries ``start + now``, all but their own."""
+        possible[_owned(now, mine)] = False
+        pairs, scores = np.flatnonzero(possible), None
+        if len(pairs) > possible.size // 16:
             scores = q @ x.T
-            last = strip.scores[at[now], -1]
-            ties = np.where(last == NONE, np.iinfo(np.int64).max, strip.found[at[now], -1])
-            floor = strip.floor(at[now])[:, None]
+            last, floor = strip.scores[start + now, -1], strip.floor(start + now)[:, None]
+            ties = np.where(last == NONE, np.iinfo(np.int64).max, strip.found[start + now, -1])
             possible &= (scores > floor) | ((scores == floor) & (self.ids < ties[:, None]))
-        pairs = np.flatnonzero(possible)
+            pairs = np.flatnonzero(possible)
         some = max(1, PAIRS // x.shape[1])
-        for start in range(0, len(pairs), some):
-            i, j = np.divmod(pairs[start : start + some], len(self.ids))
+        for first in range(0, len(pairs), some):
+            i, j = np.divmod(pairs[first : first + some], len(self.ids))
             exact = np.einsum("ij,ij->i", q[i], x[j]) if scores is None else scores[i, j]
-            strip.take(at[now[i]], self.ids[j], exact.astype(np.int64))
+            strip.take(start + now[i], self.ids[j], exact.astype(np.int64))
 
 
 class Read:
     """Some segments that are read: best gain not read, mean and variance of those read, all by dimension and side."""
 
     def __init__(self, column, lower, upper, size, read, n: int, kind: np.dtype):
-        columns = int(column.max()) + 1
-        self.column, self.lower, self.read, self.shape, self.kind = column, lower, read, (columns, n), kind
+        self.gain, self.segment, self.n, self.kind = lower[read], read % (len(lower) // 2), n, kind
+        self.columns, self.row = np.unique(column[read], return_inverse=True)
         best = upper.copy()
         best[read] -= lower[read]
-        self.unread = np.zeros(columns)
+        self.unread = np.zeros(int(column.max()) + 1)
         np.maximum.at(self.unread, column, best)
-        self.mean = np.bincount(column[read], (lower * size)[read], columns) / n
-        square = np.bincount(column[read], (lower * lower * size)[read], columns) / n
+        self.mean = np.bincount(column[read], (lower * size)[read], len(self.unread)) / n
+        square = np.bincount(column[read], (lower * lower * size)[read], len(self.unread)) / n
         self.spread = np.maximum(square - self.mean * self.mean, 0)
         self.laid: np.ndarray | None = None
 
     def gains(self, block: Block) -> np.ndarray:
-        """The gains of the segments at their postings, laid out when first asked for."""
+        """The gains of the segments at their postings, for ``columns``, laid out when first asked for."""
         if self.laid is None:
-            self.laid = np.zeros(self.shape, self.kind)
-            segment = self.read % len(block.start)
-            for column, gain, start, end in zip(
-                self.column[self.read], self.lower[self.read], block.start[segment], block.end[segment], strict=True
-            ):
-                self.laid[column, block.postings[start:end]] = gain
+            self.laid = np.zeros((len(self.columns), self.n), self.kind)
+            for row, gain, segment in zip(self.row, self.gain, self.segment, strict=True):
+                self.laid[row, block.postings[block.start[segment] : block.end[segment]]] = gain
         return self.laid
 
 
@@ -323,12 +314,11 @@ def _packed(most: int):
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([x.shape[1]], pa.int32()),
-                    pa.array([len(ids)], pa.int32()),
                     pa.array([uuid.uuid4().int >> 65], pa.int64()),
                     pa.array([ids.tobytes()], pa.binary()),
                     pa.array([_narrow(x).tobytes()], pa.binary()),
                 ],
-                names=["dims", "n", "key", "ids", "rows"],
+                names=["dims", "key", "ids", "rows"],
             )
 
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -354,7 +344,7 @@ def _packed(most: int):
     return run
 
 
-_PACKED = "dims int, n int, key bigint, ids binary, rows binary"
+_PACKED = "dims int, key bigint, ids binary, rows binary"
 
 
 def _unpack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -412,15 +402,14 @@ def exact_top_k(
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    blocks = whole_vectors(vectors, id_col, vector_col, scale)
-    blocks = materialize(blocks.mapInArrow(released(_packed(BLOCK)), _PACKED), "blocks")
+    total = F.coalesce(F.sum(F.greatest(F.size(vector_col), F.lit(0))), F.lit(0))
+    (numbers, rows), wanted = vectors.agg(total, F.count("*")).first(), queries.agg(total).first()[0]
+    strips = max(1, -(-wanted // STRIP))
+    groups = max(-(-numbers // GROUP), -(-4 * spark.sparkContext.defaultParallelism // strips))
+    groups = max(1, min(groups, -(-rows // BLOCK)))
+    blocks = whole_vectors(vectors, id_col, vector_col, scale).mapInArrow(released(_packed(BLOCK)), _PACKED)
     asked = whole_vectors(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("x").alias("x"))
-    asked = materialize(asked.mapInArrow(released(_packed(BATCH)), _PACKED), "asked")
-    numbers = F.coalesce(F.sum(F.col("n").cast("bigint") * F.col("dims")), F.lit(0))
-    of_blocks, n_blocks = blocks.agg(numbers, F.count("*")).first()
-    strips = max(1, -(-asked.agg(numbers).first()[0] // STRIP))
-    groups = max(-(-of_blocks // GROUP), -(-4 * spark.sparkContext.defaultParallelism // strips))
-    groups = max(1, min(groups, n_blocks))
+    asked = asked.mapInArrow(released(_packed(BATCH)), _PACKED)
     own = lambda parts: F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     met = blocks.select("*", F.lit(True).alias("block"), own(groups).alias("group"), each(strips).alias("strip")).union(
