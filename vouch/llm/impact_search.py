@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vouch.llm.batches import bound_batches, released
+from vouch.session import new_path
 
-BLOCK, BATCH = 4096, 256  # vectors of an index block, queries that travel and are scored together
-PACK = 1 << 20  # components of a block or batch at most
-STRIP, GROUP = 8 << 20, 16 << 20  # components of the queries that a task holds, and of the vectors that it reads for them, about
+BLOCK, BATCH = 4096, 256  # vectors of an index block, queries that are scored together
+PACK, NUMBERS = 1 << 15, 1 << 20  # components of vectors that travel together, and of a block, at most
+STRIP, GROUP = 8 << 20, 16 << 20  # components of the queries that a task holds, of the vectors read for them, about
 PAIRS = 1 << 22  # components of the vectors that are scored exactly at once
+ROWS_MB = 16  # of a row group of packed vectors, which a reader holds whole
 STEP = 4  # width of an impact level
 LONG = 1 << 62  # sums that stay below are exact in 64 bits
 NONE = -(1 << 63)  # below every score
@@ -189,13 +191,12 @@ class Block:
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return possible[best], scores[best]
 
-
     def fill(self, strip: Strip) -> None:
         """Let the rows of the block into the best of all queries of ``strip``.
 
         For each query the same search, with sums for many queries at a time: the gains of segments, laid out by their
-        postings, times the weights.  Leading segments, by the mean weights of the strip, are read for queries that most vectors
-        could then no longer reach, by mean and variance of the gains; all segments are read for the others.
+        postings, times the weights.  Leading segments, by the mean weights of the strip, are read for queries that
+        most vectors could then no longer reach, by mean and variance of the gains; all segments for the others.
         """
         size = max(int(self.x.max()), -int(self.x.min())) + STEP
         wide = 2 * size * strip.size * self.x.shape[1]
@@ -232,7 +233,8 @@ class Block:
                 usual = mean + 2 * np.sqrt(weight * weight @ read.spread)
                 now = np.flatnonzero(use & (base + usual + missing < floor))
                 if len(now):
-                    possible = weight[np.ix_(now, read.columns)] @ read.gains(self) >= _under(floor - base - missing, kind)[now, None]
+                    least = _under(floor - base - missing, kind)[now, None]
+                    possible = weight[np.ix_(now, read.columns)] @ read.gains(self) >= least
                     done = np.count_nonzero(possible, axis=1) <= few
                     self._settle(strip, start, now[done], q[now[done]], possible[done], x, mine)
                     use[now[done]] = False
@@ -304,8 +306,8 @@ class Read:
 
 def _narrow(x: np.ndarray) -> np.ndarray:
     """Whole numbers in the smallest of three types that holds them."""
-    low, high = int(x.min()), int(x.max())
-    return x.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+    most = max(int(x.max()), -int(x.min()))
+    return x.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
 
 
 def _packed(most: int):
@@ -314,11 +316,12 @@ def _packed(most: int):
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([x.shape[1]], pa.int32()),
+                    pa.array([len(ids)], pa.int32()),
                     pa.array([uuid.uuid4().int >> 65], pa.int64()),
                     pa.array([ids.tobytes()], pa.binary()),
                     pa.array([_narrow(x).tobytes()], pa.binary()),
                 ],
-                names=["dims", "key", "ids", "rows"],
+                names=["dims", "n", "key", "ids", "rows"],
             )
 
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -330,7 +333,7 @@ def _packed(most: int):
                 at = np.flatnonzero(size == dims)
                 parts = held.setdefault(dims, [])
                 parts.append((ids[at], values[first[at][:, None] + np.arange(dims)]))
-                full = max(1, min(most, PACK // dims))
+                full = max(1, most // dims)
                 if sum(len(i) for i, _ in parts) >= full:
                     own, x = (np.concatenate(part) for part in zip(*parts, strict=True))
                     whole = len(own) // full * full
@@ -344,7 +347,14 @@ def _packed(most: int):
     return run
 
 
-_PACKED = "dims int, key bigint, ids binary, rows binary"
+_PACKED = "dims int, n int, key bigint, ids binary, rows binary"
+
+
+def _written(packed: DataFrame, label: str) -> DataFrame:
+    """As ``materialize``, in small row groups, since their rows are long."""
+    path = new_path(packed.sparkSession, label)
+    packed.write.option("parquet.block.size", ROWS_MB << 20).parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path)
 
 
 def _unpack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -353,28 +363,35 @@ def _unpack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(rows, f"i{rows.size // (len(ids) * dims)}").reshape(-1, dims)
 
 
-def _search(k: int):
+def _search(k: int, most: int):
     """Cells one after the other: for each length the queries, then the blocks, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, asked, strip = None, [], None
+        known, asked, held, strip = None, [], [], None
+        joined = lambda parts: (np.concatenate(part) for part in zip(*parts, strict=True))
         for batch in batches:
             for i in range(batch.num_rows):
                 cell = batch.column("cell")[i].as_py(), batch.column("dims")[i].as_py()
                 if cell != known:
                     if strip is not None:
+                        if held:
+                            Block(*joined(held)).fill(strip)
                         yield strip.batch()
-                    known, asked, strip = cell, [], None
-                ids, x = _unpack(batch, i)
+                    known, asked, held, strip = cell, [], [], None
                 if not batch.column("block")[i].as_py():
-                    asked.append((ids, x))
+                    asked.append(_unpack(batch, i))
                     continue
                 if asked:
-                    strip = Strip(*(np.concatenate(part) for part in zip(*asked, strict=True)), k)
-                    asked = []
+                    strip, asked = Strip(*joined(asked), k), []
                 if strip is not None:
-                    Block(ids, x).fill(strip)
+                    ids, x = _unpack(batch, i)
+                    held.append((ids.copy(), x.copy()))
+                    if sum(len(ids) for ids, _ in held) + len(ids) > min(most, NUMBERS // x.shape[1]):
+                        Block(*joined(held)).fill(strip)
+                        held = []
         if strip is not None:
+            if held:
+                Block(*joined(held)).fill(strip)
             yield strip.batch()
 
     return run
@@ -391,32 +408,33 @@ def exact_top_k(
     """``query_id, rank, vec_id, score``: the ``k`` best rows of ``vectors`` for each row of ``queries``.
 
     Components become ``floor(scale * x)`` (see ``whole_vectors``); a score is the integer inner product with a
-    vector of the same length, exact whatever its size; one that leaves a long raises.  Rows with the query's own id are no candidates; of query rows with one id the
-    smallest vector counts; a repeated candidate row takes a place each time.  Ties go to smaller ids.  No
-    queries or no candidates give no rows.
-
-    Vectors are packed into blocks as they are read, queries into batches, in the smallest whole numbers that hold
-    them.  Every query meets every block, which a search of given queries against all rows needs: blocks are dealt
-    into groups, queries into strips, and each pair of a group and a strip is a task that holds the strip, reads one
-    block at a time and returns ``k`` rows per query.  Groups and strips have bounded sizes at any size of the tables.
+    vector of the same length, exact whatever its size; one that leaves a long raises.  Rows with the query's own id
+    are no candidates; of query rows with one id the smallest vector counts; a repeated candidate row takes a place
+    each time.  Ties go to smaller ids.  No queries or no candidates give no rows.
+
+    Vectors and queries are packed as they are read, in the smallest whole numbers that hold them, and written.  Every
+    query meets every vector, which a search of given queries against all rows needs: packs of vectors are dealt into
+    groups, packs of queries into strips, and each pair of a group and a strip is a task that holds the strip, reads
+    one block at a time and returns ``k`` rows per query.  Groups and strips have bounded sizes at any size of tables.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    total = F.coalesce(F.sum(F.greatest(F.size(vector_col), F.lit(0))), F.lit(0))
-    (numbers, rows), wanted = vectors.agg(total, F.count("*")).first(), queries.agg(total).first()[0]
-    strips = max(1, -(-wanted // STRIP))
+    blocks = whole_vectors(vectors, id_col, vector_col, scale)
+    blocks = _written(blocks.mapInArrow(released(_packed(PACK)), _PACKED), "blocks")
+    asked = whole_vectors(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("x").alias("x"))
+    asked = _written(asked.mapInArrow(released(_packed(PACK)), _PACKED), "asked")
+    total = F.coalesce(F.sum(F.col("n").cast("bigint") * F.col("dims")), F.lit(0))
+    numbers, rows = blocks.agg(total, F.coalesce(F.sum("n"), F.lit(0))).first()
+    strips = max(1, -(-asked.agg(total).first()[0] // STRIP))
     groups = max(-(-numbers // GROUP), -(-4 * spark.sparkContext.defaultParallelism // strips))
     groups = max(1, min(groups, -(-rows // BLOCK)))
-    blocks = whole_vectors(vectors, id_col, vector_col, scale).mapInArrow(released(_packed(BLOCK)), _PACKED)
-    asked = whole_vectors(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("x").alias("x"))
-    asked = asked.mapInArrow(released(_packed(BATCH)), _PACKED)
     own = lambda parts: F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     met = blocks.select("*", F.lit(True).alias("block"), own(groups).alias("group"), each(strips).alias("strip")).union(
         asked.select("*", F.lit(False).alias("block"), each(groups).alias("group"), own(strips).alias("strip"))
     )
-    met = met.withColumn("cell", F.col("group") * strips + F.col("strip")).drop("group", "strip", "key")
+    met = met.withColumn("cell", F.col("group") * strips + F.col("strip")).drop("group", "strip", "key", "n")
     met = met.repartitionById(groups * strips, "cell").sortWithinPartitions("cell", "dims", "block")
-    found = met.mapInArrow(released(_search(k)), "query_id bigint, vec_id bigint, score bigint")
+    found = met.mapInArrow(released(_search(k, BLOCK)), "query_id bigint, vec_id bigint, score bigint")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
